@@ -44,7 +44,7 @@ def tokens_by_text(highlights: DataFrame, strict: bool = False) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min("seenAt").alias("first"), F.max("seenAt").alias("latest"))
     )
     return per_book.groupBy("text").agg(
-        F.collect_list("book").alias("books"),
+        F.array_sort(F.collect_list("book")).alias("books"),
         F.sum("n").cast("int").alias("occurrences"),
         F.min("first").alias("firstOccurrence"),
         F.max("latest").alias("latestOccurrence"),

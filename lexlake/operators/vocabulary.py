@@ -33,7 +33,7 @@ def group_definitions(silver: DataFrame) -> DataFrame:
     """
     key = list(GOLDEN.pk)
     stats = silver.groupBy(*key).agg(
-        F.collect_set("text").alias("forms"),
+        F.array_sort(F.collect_set("text")).alias("forms"),
         F.sum("occurrences").cast("int").alias("occurrences"),
         F.min("firstOccurrence").alias("firstOccurrence"),
         F.max("latestOccurrence").alias("latestOccurrence"),
@@ -43,7 +43,7 @@ def group_definitions(silver: DataFrame) -> DataFrame:
         silver.select(*key, F.explode("books").alias("book"))
         .distinct()
         .groupBy(*key)
-        .agg(F.collect_list("book").alias("books"))
+        .agg(F.array_sort(F.collect_list("book")).alias("books"))
     )
     s, b = qualified("s"), qualified("b")
     joined = stats.alias("s").join(books.alias("b"), GOLDEN.key_matches("s", "b"), "left")

@@ -24,11 +24,14 @@ def session(app_name: str = "lexlake", **settings: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a session without one (a local test) gets a new temporary folder."""
-    folder = spark.conf.get(WORK_DIR_SETTING, None)
+    """The shared folder the cluster names. Only a local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get(WORK_DIR_SETTING, None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="lexlake-")
-        spark.conf.set(WORK_DIR_SETTING, folder)
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {WORK_DIR_SETTING} to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexlake-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

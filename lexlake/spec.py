@@ -61,26 +61,31 @@ class TableSpec:
         return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+LONG, INT, DOUBLE = T.LongType(), T.IntegerType(), T.DoubleType()
+TEXT, TIME = T.StringType(), T.TimestampType()
+TEXTS = T.ArrayType(TEXT)
 
 
-_SEEN = "books array<string>, occurrences int, firstOccurrence timestamp, latestOccurrence timestamp"
-_SEEN_COLS = ("books", "occurrences", "firstOccurrence", "latestOccurrence")
-_SENSE_ARRAYS = ("examples", "synonyms", "antonyms")
+def schema(**columns: T.DataType) -> T.StructType:
+    """A schema from column names and types; unlike a DDL text it needs no running session."""
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+_SEEN = {"books": TEXTS, "occurrences": INT, "firstOccurrence": TIME, "latestOccurrence": TIME}
+_SENSE_ARRAYS = {"examples": TEXTS, "synonyms": TEXTS, "antonyms": TEXTS}
 
 MARKS = TableSpec(
     name="marks",
-    schema=_schema("oid bigint, val string, title string, authors string, timeEdt bigint"),
+    schema=schema(oid=LONG, val=TEXT, title=TEXT, authors=TEXT, timeEdt=LONG),
     pk=("oid",),
 )
 
 # the JSON document held in `marks.val`
-MARK_JSON = _schema("begin string, `end` string, text string, updated timestamp")
+MARK_JSON = schema(begin=TEXT, end=TEXT, text=TEXT, updated=TIME)
 
 STAGE = TableSpec(
     name="stage",
-    schema=_schema("oid bigint, text string, title string, authors string, timeEdt bigint, updatedAt timestamp"),
+    schema=schema(oid=LONG, text=TEXT, title=TEXT, authors=TEXT, timeEdt=LONG, updatedAt=TIME),
     pk=("oid",),
     copied=("oid", "title", "authors", "timeEdt"),
     transformed=("text",),
@@ -89,21 +94,27 @@ STAGE = TableSpec(
 
 BRONZE = TableSpec(
     name="bronze",
-    schema=_schema(f"text string, {_SEEN}, updatedAt timestamp"),
+    schema=schema(text=TEXT, **_SEEN, updatedAt=TIME),
     pk=("text",),
-    transformed=("text", *_SEEN_COLS, UPDATED_AT),
+    transformed=("text", *_SEEN, UPDATED_AT),
     metadata=(UPDATED_AT,),
     bucketed_by=("text",),
 )
 
 SILVER = TableSpec(
     name="silver",
-    schema=_schema(
-        f"text string, {_SEEN}, updatedAt timestamp, normalizedText string, phonetic string, partOfSpeech string, "
-        "definition string, examples array<string>, synonyms array<string>, antonyms array<string>"
+    schema=schema(
+        text=TEXT,
+        **_SEEN,
+        updatedAt=TIME,
+        normalizedText=TEXT,
+        phonetic=TEXT,
+        partOfSpeech=TEXT,
+        definition=TEXT,
+        **_SENSE_ARRAYS,
     ),
     pk=("text", "normalizedText", "definition"),
-    copied=("text", *_SEEN_COLS),
+    copied=("text", *_SEEN),
     enriched=("normalizedText", "definition", "phonetic", "partOfSpeech", *_SENSE_ARRAYS),
     metadata=(UPDATED_AT,),
     # joined with bronze on text; a text's definitions come from one response, so a text stays small
@@ -112,14 +123,21 @@ SILVER = TableSpec(
 
 GOLDEN = TableSpec(
     name="golden",
-    schema=_schema(
-        f"normalizedText string, partOfSpeech string, phonetic string, forms array<string>, {_SEEN}, "
-        "definition string, examples array<string>, synonyms array<string>, antonyms array<string>, "
-        "translations array<string>, `usage` double, updatedAt timestamp"
+    schema=schema(
+        normalizedText=TEXT,
+        partOfSpeech=TEXT,
+        phonetic=TEXT,
+        forms=TEXTS,
+        **_SEEN,
+        definition=TEXT,
+        **_SENSE_ARRAYS,
+        translations=TEXTS,
+        usage=DOUBLE,
+        updatedAt=TIME,
     ),
     pk=("normalizedText", "definition"),
     copied=("normalizedText", "definition"),
-    transformed=("forms", *_SEEN_COLS, "phonetic", "partOfSpeech", *_SENSE_ARRAYS),
+    transformed=("forms", *_SEEN, "phonetic", "partOfSpeech", *_SENSE_ARRAYS),
     enriched=("translations", "usage"),
     metadata=(UPDATED_AT,),
     bucketed_by=("normalizedText", "definition"),
@@ -127,11 +145,25 @@ GOLDEN = TableSpec(
 
 VOCABULARY_SHEET = TableSpec(
     name="vocabulary",
-    schema=_schema(
-        "id int, status string, normalizedText string, partOfSpeech string, phonetic string, forms string, "
-        "sources string, occurrences int, firstOccurrence string, latestOccurrence string, definition string, "
-        "examples string, synonyms string, antonyms string, translations string, `usage` string, tags string, "
-        "notes string"
+    schema=schema(
+        id=INT,
+        status=TEXT,
+        normalizedText=TEXT,
+        partOfSpeech=TEXT,
+        phonetic=TEXT,
+        forms=TEXT,
+        sources=TEXT,
+        occurrences=INT,
+        firstOccurrence=TEXT,
+        latestOccurrence=TEXT,
+        definition=TEXT,
+        examples=TEXT,
+        synonyms=TEXT,
+        antonyms=TEXT,
+        translations=TEXT,
+        usage=TEXT,
+        tags=TEXT,
+        notes=TEXT,
     ),
     pk=("id",),
     natural_pk=("normalizedText", "definition"),
@@ -139,22 +171,40 @@ VOCABULARY_SHEET = TableSpec(
 
 WORKLIST_SHEET = TableSpec(
     name="worklist",
-    schema=_schema("text string, books string, occurrences int, firstOccurrence string, latestOccurrence string"),
+    schema=schema(text=TEXT, books=TEXT, occurrences=INT, firstOccurrence=TEXT, latestOccurrence=TEXT),
     pk=("text",),
 )
 
-DEFINITION_RESPONSE = _schema(
-    "r array<struct<word: string, phonetic: string, meanings: array<struct<partOfSpeech: string, definitions: "
-    "array<struct<definition: string, example: string, synonyms: array<string>, antonyms: array<string>>>>>>>"
-)["r"].dataType
-
-TRANSLATION_RESPONSE = _schema(
-    "r array<struct<normalizedSource: string, displaySource: string, translations: array<struct<"
-    "normalizedTarget: string, displayTarget: string, posTag: string, confidence: double, prefixWord: string, "
-    "backTranslations: array<struct<normalizedText: string, displayText: string, numExamples: int, "
-    "frequencyCount: int>>>>>>"
-)["r"].dataType
-
-USAGE_RESPONSE = _schema(
-    "r array<struct<ngram: string, parent: string, type: string, timeseries: array<double>>>"
-)["r"].dataType
+DEFINITION_RESPONSE = T.ArrayType(
+    schema(
+        word=TEXT,
+        phonetic=TEXT,
+        meanings=T.ArrayType(
+            schema(
+                partOfSpeech=TEXT,
+                definitions=T.ArrayType(schema(definition=TEXT, example=TEXT, synonyms=TEXTS, antonyms=TEXTS)),
+            )
+        ),
+    )
+)
+
+_BACK_TRANSLATION = schema(normalizedText=TEXT, displayText=TEXT, numExamples=INT, frequencyCount=INT)
+
+TRANSLATION_RESPONSE = T.ArrayType(
+    schema(
+        normalizedSource=TEXT,
+        displaySource=TEXT,
+        translations=T.ArrayType(
+            schema(
+                normalizedTarget=TEXT,
+                displayTarget=TEXT,
+                posTag=TEXT,
+                confidence=DOUBLE,
+                prefixWord=TEXT,
+                backTranslations=T.ArrayType(_BACK_TRANSLATION),
+            )
+        ),
+    )
+)
+
+USAGE_RESPONSE = T.ArrayType(schema(ngram=TEXT, parent=TEXT, type=TEXT, timeseries=T.ArrayType(DOUBLE)))
