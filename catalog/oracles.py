@@ -589,14 +589,16 @@ ORACLES: dict[str, str] = {
       FROM orders""",
     "worklist_substring": with_ctes(
         *ORDER_RECORDS,
-        f"published AS (SELECT DISTINCT array_to_string(forms, {SEP}) AS forms FROM records)",
+        f"""published AS (SELECT DISTINCT array_to_string(forms, {SEP}) AS forms FROM records
+          UNION ALL SELECT 'by hand' || {SEP} || text FROM silver WHERE word IS NULL AND n % 2 = 0)""",
         select=f"""SELECT text, array_to_string(books, ', ') AS books, n AS occurrences, {ts('first')} AS "firstOccurrence",
           {ts('latest')} AS "latestOccurrence" FROM silver s
           WHERE word IS NULL AND NOT EXISTS (SELECT 1 FROM published p WHERE contains(p.forms, s.text))""",
     ),
     "worklist_form": with_ctes(
         *ORDER_RECORDS,
-        "published AS (SELECT DISTINCT unnest(forms) AS form FROM records)",
+        """published AS (SELECT DISTINCT unnest(forms) AS form FROM records
+          UNION ALL SELECT text FROM silver WHERE word IS NULL AND n % 2 = 0)""",
         select=f"""SELECT text, array_to_string(books, ', ') AS books, n AS occurrences, {ts('first')} AS "firstOccurrence",
           {ts('latest')} AS "latestOccurrence" FROM silver s
           WHERE word IS NULL AND NOT EXISTS (SELECT 1 FROM published p WHERE p.form = s.text)""",

@@ -456,7 +456,9 @@ def _worklist(spark: SparkSession, sf_dir: str, match: str) -> DataFrame:
     silver = written(i.order_silver(spark, sf_dir), "worklist-silver")
     defined = definitions.defined_rows(silver)
     records = vocabulary.group_definitions(vocabulary.sibling_forms(defined, defined))
-    published = records.select(F.array_join("forms", fixed.CELL_SEPARATOR).alias("forms"))
+    by_hand = definitions.undefined_rows(silver).where(F.col("occurrences") % 2 == 0)
+    cells = records.select("forms").union(by_hand.select(F.array(F.lit("by hand"), "text")))
+    published = cells.select(F.array_join("forms", fixed.CELL_SEPARATOR).alias("forms"))
     return flat(worklist.unpublished(worklist.render_worklist(silver), published, match))
 
 

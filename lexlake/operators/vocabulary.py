@@ -7,29 +7,39 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.functions.columns import timestamp_lit
+from lexlake.functions.columns import empty_strings, timestamp_lit
 from lexlake.spec import GOLDEN, SILVER, UPDATED_AT, qualified
 
 # definition attributes taken from the newest token of a record
 LATEST = tuple(c for c in SILVER.enriched if c not in GOLDEN.pk)
 
 
-def sibling_forms(silver: DataFrame, updated: DataFrame) -> DataFrame:
+def record_keys(silver: DataFrame) -> DataFrame:
+    """The distinct records tokens belong to; a token whose key is partly NULL belongs to none."""
+    return silver.select(*GOLDEN.pk).dropna().distinct()
+
+
+def sibling_forms(silver: DataFrame, updated: DataFrame, broadcast: bool = False) -> DataFrame:
     """All tokens that share a record with an updated one, so its statistics can be recomputed in full.
 
-    Keys are compared with plain equality: a token whose key is partly NULL belongs to no record. The updated keys are
-    made distinct before the join, so a record with many updated forms costs one row there.
+    The updated keys are made distinct first, so a record with many updated forms is one row there. With ``broadcast``
+    (for keys of a checked size) silver is not shuffled.
     """
-    touched = updated.select(*GOLDEN.pk).distinct()
+    touched = record_keys(updated)
+    if broadcast:
+        touched = F.broadcast(touched)
     return silver.join(touched, list(GOLDEN.pk), "left_semi").select(*silver.columns)
 
 
-def group_definitions(silver: DataFrame) -> DataFrame:
+def group_definitions(silver: DataFrame, since: int | None = None) -> DataFrame:
     """Forms, books, counts and range per record; the other attributes come whole from its newest token.
 
-    The newest token wins even where its attribute is NULL; equally new tokens are settled by text, descending. Books
-    are made distinct per (record, book) before they are gathered, so a record with very many forms never holds their
-    book lists at once: what one task gathers is the record's own row.
+    The newest token wins even where its attribute is NULL; equally new tokens are settled by text, descending. With
+    ``since`` (epoch microseconds) only records with a later token remain.
+
+    Both aggregations combine on the map side. Books are made distinct per (record, book) before they are gathered,
+    so a record with very many forms spreads over all tasks there and its forms' book lists are never held at once:
+    what one task gathers is the record's own row.
     """
     key = list(GOLDEN.pk)
     stats = silver.groupBy(*key).agg(
@@ -38,7 +48,10 @@ def group_definitions(silver: DataFrame) -> DataFrame:
         F.min("firstOccurrence").alias("firstOccurrence"),
         F.max("latestOccurrence").alias("latestOccurrence"),
         F.max_by(F.struct(*LATEST), F.struct(UPDATED_AT, "text")).alias("newest"),
+        F.unix_micros(F.max(UPDATED_AT)).alias("touchedAt"),
     )
+    if since is not None:
+        stats = stats.where(F.col("touchedAt") > since)
     books = (
         silver.select(*key, F.explode("books").alias("book"))
         .distinct()
@@ -49,7 +62,7 @@ def group_definitions(silver: DataFrame) -> DataFrame:
     joined = stats.alias("s").join(books.alias("b"), GOLDEN.key_matches("s", "b"), "left")
     columns = {
         **{c: s(c) for c in (*key, "forms", "occurrences", "firstOccurrence", "latestOccurrence")},
-        "books": F.coalesce(b("books"), F.array().cast("array<string>")),
+        "books": F.coalesce(b("books"), empty_strings()),
         **{c: F.col(f"s.newest.{c}") for c in LATEST},
     }
     return joined.select(*[columns[c].alias(c) for c in GOLDEN.attributes if c in columns])

@@ -6,8 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORK_DIR_SETTING = "spark.checkpoint.dir"
+# largest table we ask Spark to broadcast; there is another way for anything larger
+BROADCAST_LIMIT = 64 * 1024 * 1024
 
 
 def session(app_name: str = "lexlake", **settings: str) -> SparkSession:
@@ -48,3 +51,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def byte_size(df: DataFrame) -> int:
+    """Measured size of the text in ``df``, with a flat charge per row and cell."""
+    cells = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(16))
+    return df.agg(F.sum(cells).alias("n")).first()["n"] or 0

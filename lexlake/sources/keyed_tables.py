@@ -51,6 +51,10 @@ class KeyedTable:
     def snapshot(self) -> DataFrame:
         return self.spark.table(self.full_name)
 
+    def aligned(self, updates: DataFrame) -> DataFrame:
+        """Updates partitioned like the stored buckets, so that a merge moves the updates and not the table."""
+        return updates.repartition(self.buckets, *self.spec.bucketed_by)
+
     def replace(self, df: DataFrame) -> DataFrame:
         """Make ``df``, which may read the current version, the next version."""
         version = last_version(self.spark, self.path) + 1
