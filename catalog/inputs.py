@@ -15,7 +15,8 @@ from lexlake.functions.columns import definition_request, epoch_to_timestamp, ti
 from lexlake.operators.definitions import defined_rows
 from lexlake.operators.enrichment import definer, table_lookup
 from lexlake.operators.merges import unique_by_key
-from lexlake.operators.vocabulary import group_definitions, sibling_forms
+from lexlake.operators.vocabulary import group_definitions
+from lexlake.session import written
 from lexlake.spec import GOLDEN, SILVER
 
 DAY_1 = datetime(2024, 1, 1)
@@ -171,16 +172,19 @@ def order_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silver rows: the definitions, one per key, stamped with the order's date."""
+    """A stored silver table: the definitions, one per key, stamped with the order's date."""
     stamps = order_tokens(spark, sf_dir).select("text", "updatedAt")
     rows = unique_by_key(order_definitions(spark, sf_dir), SILVER.pk)
-    return rows.join(stamps, "text").select(*SILVER.attributes)
+    return written(rows.join(stamps, "text").select(*SILVER.attributes), "order-silver")
 
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Golden records before enrichment."""
-    defined = defined_rows(order_silver(spark, sf_dir))
-    return group_definitions(sibling_forms(defined, defined))
+    """Stored golden records before enrichment."""
+    return written(records_of(order_silver(spark, sf_dir)), "order-records")
+
+
+def records_of(silver: DataFrame) -> DataFrame:
+    return group_definitions(defined_rows(silver).dropna(subset=list(GOLDEN.pk)))
 
 
 def translation_responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,7 +259,7 @@ def sibling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_survivorship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(i.order_records(spark, sf_dir))
+    return flat(i.records_of(i.order_silver(spark, sf_dir)))
 
 
 def _stored_golden(records: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def golden_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def golden_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every third customer there are updates; the others stay as stored."""
-    records = written(i.order_records(spark, sf_dir), "golden-records")
+    records = i.order_records(spark, sf_dir)
     stored = _stored_golden(records)
     customer = F.substring_index("normalizedText", " ", -1).cast("bigint")
     new, existing = vocabulary.split_new_existing(records.where(customer % 3 == 0), stored)
@@ -453,9 +453,8 @@ def publish_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _worklist(spark: SparkSession, sf_dir: str, match: str) -> DataFrame:
-    silver = written(i.order_silver(spark, sf_dir), "worklist-silver")
-    defined = definitions.defined_rows(silver)
-    records = vocabulary.group_definitions(vocabulary.sibling_forms(defined, defined))
+    silver = i.order_silver(spark, sf_dir)
+    records = i.records_of(silver)
     by_hand = definitions.undefined_rows(silver).where(F.col("occurrences") % 2 == 0)
     cells = records.select("forms").union(by_hand.select(F.array(F.lit("by hand"), "text")))
     published = cells.select(F.array_join("forms", fixed.CELL_SEPARATOR).alias("forms"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexlake.functions import fixed_values as fixed
 from lexlake.functions.columns import sheet_time, split_cell
 from lexlake.operators.definitions import undefined_rows
+from lexlake.session import BROADCAST_LIMIT, byte_size, written
 from lexlake.spec import WORKLIST_SHEET
 
 # Texts up to this length are compared whole; a longer one is found by its first characters.
 ANCHOR_LENGTH = 8
-# Start positions handled per row when cells are cut; bounds the array one row holds, however long its cell is.
-POSITIONS_PER_PIECE = 256
+# Start positions per piece when cells are cut: bounds the array one row holds, however long its cell is. Small pieces
+# also keep substrings cheap, as Spark finds a position in a string by walking to it.
+POSITIONS_PER_PIECE = 32
 
 
 def render_worklist(silver: DataFrame) -> DataFrame:
@@ -59,35 +63,44 @@ def contained_texts(texts: DataFrame, cells: DataFrame) -> DataFrame:
     with the cells' grams of their length. A longer text is looked up by its first characters; each place found emits
     one substring per distinct length of the texts that start so, and these are compared whole. What is emitted grows
     with the cells' characters and not with texts x cells, even if very many texts share their beginning.
+
+    Where the texts are few (their size is measured) they are broadcast and only the hits are shuffled; otherwise the
+    grams are made distinct on the map side and both sides are shuffled.
     """
-    texts = texts.select("text").where(F.col("text").isNotNull()).distinct()
+    wanted = written(texts.select("text").where(F.col("text").isNotNull()).distinct(), "wanted-texts")
+    few = byte_size(wanted) <= BROADCAST_LIMIT
     cells = (
         cells.select("cell").where(F.col("cell").isNotNull()).distinct().withColumn("cell_id", F.xxhash64("cell"))
     )
-    probe = texts.select(F.least(F.length("text"), F.lit(ANCHOR_LENGTH + 1)).alias("n")).distinct()
-    lengths = sorted(r["n"] for r in probe.collect())  # at most ANCHOR_LENGTH + 2 numbers
+    size = F.length("text")
+    # at most ANCHOR_LENGTH + 2 numbers
+    sizes = wanted.select(F.least(size, F.lit(ANCHOR_LENGTH + 1)).alias("n")).distinct().collect()
+    lengths = sorted(r["n"] for r in sizes)
     short = [n for n in lengths if n <= ANCHOR_LENGTH]
-    found = None
+
+    def small(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if few else side
+
+    found = []
     if short:
-        found = _grams(cells, short).select(F.col("gram").alias("text")).distinct()
-    if lengths and lengths[-1] > ANCHOR_LENGTH:
+        grams = _grams(cells, short).select(F.col("gram").alias("text"))
+        grams = grams if few else grams.distinct()
+        found.append(grams.join(small(wanted.where(size <= ANCHOR_LENGTH)), "text", "left_semi"))
+    if len(lengths) > len(short):
         anchors = (
-            texts.where(F.length("text") > ANCHOR_LENGTH)
+            wanted.where(size > ANCHOR_LENGTH)
             .groupBy(F.substr("text", F.lit(1), F.lit(ANCHOR_LENGTH)).alias("gram"))
-            .agg(F.collect_set(F.length("text")).alias("lengths"))
+            .agg(F.collect_set(size).alias("lengths"))
         )
-        places = _grams(cells, [ANCHOR_LENGTH]).join(anchors, "gram").select("cell_id", "position", "lengths")
+        places = _grams(cells, [ANCHOR_LENGTH]).join(small(anchors), "gram").select("cell_id", "position", "lengths")
         # a cell_id shared by two cells only adds substrings of a cell that is published as well
         fitting = F.filter("lengths", lambda n: F.col("position") + n - 1 <= F.length("cell"))
-        long_found = (
-            places.join(cells, "cell_id")
-            .select(F.explode(F.transform(fitting, lambda n: F.substr("cell", F.col("position"), n))).alias("text"))
-            .distinct()
+        whole = places.join(cells, "cell_id").select(
+            F.explode(F.transform(fitting, lambda n: F.substr("cell", F.col("position"), n))).alias("text")
         )
-        found = long_found if found is None else found.unionByName(long_found)
-    if found is None:
-        return texts
-    return texts.join(found, "text", "left_semi")
+        whole = whole if few else whole.distinct()
+        found.append(whole.join(small(wanted.where(size > ANCHOR_LENGTH)), "text", "left_semi"))
+    return reduce(DataFrame.union, found, wanted.limit(0)).distinct()
 
 
 def unpublished(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexlake.sources.append_tables import ensure_database
+from lexlake.sources.append_tables import check_location, ensure_database
 from lexlake.sources.files import committed_versions, delete_folder, last_version, qualify
 from lexlake.spec import TableSpec
 
@@ -35,6 +35,7 @@ class KeyedTable:
 
     def ensure(self) -> None:
         """Create the catalog table if it is missing and point it at the newest complete version."""
+        check_location(self.spark, self.full_name, self.path)
         versions = committed_versions(self.spark, self.path)
         location = self._location(versions[-1] if versions else 0)
         by = ", ".join(self.spec.bucketed_by)
