@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexlake.functions import fixed_values as fixed
@@ -16,6 +16,9 @@ from lexlake.operators.responses import flatten_definitions, flatten_translation
 from lexlake.operators.translations import attach_translations
 from lexlake.operators.usage import USAGE_KEYS, attach_usage, request_keys
 from lexlake.session import written
+from lexlake.sources.append_tables import check_location, ensure_database
+from lexlake.sources.files import qualify
+from lexlake.sources.keyed_tables import DEFAULT_BUCKETS
 from lexlake.spec import UPDATED_AT
 
 # status recorded when the TLS handshake with the service fails
@@ -157,24 +160,46 @@ def send(requests: DataFrame, connect: Connect, total_rps: float | None = None,
 
 
 class ResponseTable:
-    """Answers a service has given, one row per request, as a Parquet table that later runs reuse."""
+    """Answers a service has given, one row per request, kept for later runs.
+
+    A Parquet table hash-bucketed on the request: looking requests up moves the requests and not the stored answers.
+    One run at a time may add to it; a run adds only what the table lacks, so requests stay unique.
+    """
 
     SCHEMA = "request string, response string"
 
-    def __init__(self, spark, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = DEFAULT_BUCKETS):
         self.spark = spark
         self.path = path
-        spark.createDataFrame([], self.SCHEMA).write.mode("append").parquet(path)
+        self.buckets = buckets
+        _, self.full_name = ensure_database(spark, path)
+        check_location(spark, self.full_name, path)
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.full_name} ({self.SCHEMA}) USING parquet "
+            f"CLUSTERED BY (request) SORTED BY (request) INTO {buckets} BUCKETS LOCATION '{qualify(spark, path)}'"
+        )
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path).dropDuplicates(["request"])
+        return self.spark.table(self.full_name)
+
+    def aligned(self, df: DataFrame) -> DataFrame:
+        """Rows that carry a request, partitioned like the stored buckets."""
+        return df.repartition(self.buckets, "request")
 
     def append(self, answers: DataFrame) -> None:
-        answers.select("request", "response").write.mode("append").parquet(self.path)
+        (
+            self.aligned(answers.select("request", "response"))
+            .write.format("parquet")
+            .bucketBy(self.buckets, "request")
+            .sortBy("request")
+            .mode("append")
+            .saveAsTable(self.full_name)
+        )
+        self.spark.catalog.refreshTable(self.full_name)
 
 
 def table_lookup(responses: DataFrame) -> Lookup:
-    """Look requests up in a table of (request, response); an unknown request has an empty response."""
+    """Look requests up in a table of (request, response), unique by request; an unknown one has an empty response."""
 
     def lookup(df: DataFrame) -> DataFrame:
         joined = df.join(responses.select("request", "response"), "request", "left")
@@ -199,7 +224,7 @@ def remote_lookup(
     """
 
     def lookup(df: DataFrame) -> DataFrame:
-        asked = request_keys(df, ["request"])
+        asked = table.aligned(request_keys(df, ["request"]))
         open_requests = asked.join(table.read().select("request"), "request", "left_anti")
         attempt = 1
         while True:
@@ -212,7 +237,7 @@ def remote_lookup(
                 raise EnrichmentError(f"{policy.name} request `{failure['request']}`: {failure['reason']}")
             open_requests = outcomes.where(F.col("outcome") == "retry").select("request")
             if open_requests.isEmpty():
-                return table_lookup(table.read())(df)
+                return table_lookup(table.read())(table.aligned(df))
             sleep(policy.pause_seconds)
             attempt += 1
 

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexlake.sources.files import delete_folder
+
 WORK_DIR_SETTING = "spark.checkpoint.dir"
 # largest table we ask Spark to broadcast; there is another way for anything larger
 BROADCAST_LIMIT = 64 * 1024 * 1024
@@ -42,6 +47,9 @@ def new_work_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_open_scopes: ContextVar[list[str] | None] = ContextVar("open_scopes", default=None)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back.
 
@@ -49,10 +57,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_work_path(spark, label)
+    scope = _open_scopes.get()
+    if scope is not None:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``written`` writes inside the block when the block ends.
+
+    For a job whose result has been stored elsewhere by then.
+    """
+    paths: list[str] = []
+    token = _open_scopes.set(paths)
+    try:
+        yield
+    finally:
+        _open_scopes.reset(token)
+        for path in paths:
+            delete_folder(spark, path)
+
+
 def byte_size(df: DataFrame) -> int:
     """Measured size of the text in ``df``, with a flat charge per row and cell."""
     cells = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(16))

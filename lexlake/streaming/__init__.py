@@ -1,0 +1 @@
+"""The batch jobs triggered by arriving marks."""

@@ -339,3 +339,19 @@ def test_a_request_in_a_third_of_all_rows(spark):
     responses = frame(spark, REQUESTS, ("hot", "yes"))
     found = table_lookup(responses)(df)
     assert found.where("response = 'yes'").count() == 10_000 and found.count() == 30_000
+
+
+def test_looking_up_does_not_shuffle_the_stored_answers(spark, folder):
+    table = ResponseTable(spark, f"{folder}/responses", buckets=4)
+    table.append(frame(spark, REQUESTS, *[(f"r{n}", "x") for n in range(50)]))
+    table.append(frame(spark, REQUESTS, ("r50", "x")))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(table_lookup(table.read())(table.aligned(asked(spark, "r1", "r50", "new"))))
+        assert "Bucketed: true" in text
+        assert text.count("Exchange") == text.count("REPARTITION_BY_NUM") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    found = table_lookup(table.read())(asked(spark, "r1", "r50", "new"))
+    assert rows(found, "request", "response") == [("new", ""), ("r1", "x"), ("r50", "x")]

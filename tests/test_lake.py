@@ -1,4 +1,5 @@
 import json
+import os
 
 from helpers import at, frame, rows
 
@@ -12,6 +13,7 @@ from lexlake.operators.enrichment import (
     usage_finder,
 )
 from lexlake.plans.lake import Lake
+from lexlake.streaming.arrivals import update_on_arrival
 from lexlake.spec import MARKS, TEXT, schema
 
 REQUESTS = schema(request=TEXT, response=TEXT)
@@ -158,3 +160,23 @@ def test_a_parquet_stage_gives_the_same_vocabulary(spark, folder):
     lake.update_all(marks(spark, "duck!zzz", "ducks"), DAY[1])
     assert rows(lake.golden.snapshot(), "definition", "occurrences") == [("bird", 2), ("dip", 1)]
     assert rows(lake.worklist.read(), "text") == [("zzz",)]
+
+
+def test_arriving_marks_update_the_lake(spark, folder):
+    lake = open_lake(spark, f"{folder}/lake_stream")
+    days = iter(DAY[1:])
+    for texts in (("duck!zzz",), ("duck!zzz", "ducks")):
+        marks(spark, *texts).where(f"oid = {len(texts)}").coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
+        stream = spark.readStream.schema(MARKS.schema).parquet(f"{folder}/arrivals")
+        update_on_arrival(stream, lake, f"{folder}/checkpoint", lambda: next(days)).awaitTermination(120)
+    assert rows(lake.golden.snapshot(), "definition", "occurrences", "updatedAt") == [
+        ("bird", 2, DAY[2]),
+        ("dip", 1, DAY[1]),
+    ]
+
+
+def test_jobs_leave_no_scratch_behind(spark, folder):
+    work = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(work)) if os.path.exists(work) else set()
+    open_lake(spark, folder).update_all(marks(spark, "duck!zzz", "ducks"), DAY[1])
+    assert set(os.listdir(work)) == before
