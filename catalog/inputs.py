@@ -173,9 +173,10 @@ def order_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored silver table: the definitions, one per key, stamped with the order's date."""
-    stamps = order_tokens(spark, sf_dir).select("text", "updatedAt")
-    rows = unique_by_key(order_definitions(spark, sf_dir), SILVER.pk)
-    return written(rows.join(stamps, "text").select(*SILVER.attributes), "order-silver")
+    stamped = order_tokens(spark, sf_dir).withColumn("stamp", F.col("updatedAt"))
+    defined = definer(table_lookup(definition_responses(spark, sf_dir)))(stamped)
+    rows = unique_by_key(defined.withColumnRenamed("stamp", "updatedAt"), SILVER.pk)
+    return written(rows.select(*SILVER.attributes), "order-silver")
 
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,7 +196,7 @@ def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _silver_and_updates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Silver holds the first half of the orders; the updates are the tokens dated 1998 or later, counted anew."""
-    tokens, silver = i.order_tokens(spark, sf_dir), i.order_silver(spark, sf_dir)
+    tokens, silver = written(i.order_tokens(spark, sf_dir), "order-tokens"), i.order_silver(spark, sf_dir)
     key = F.substring_index("text", " ", -1).cast("bigint")
     cut = i.half(i.table(spark, sf_dir, "orders"), "o_orderkey")
     updates = tokens.where(F.col(UPDATED_AT) >= "1998-01-01").withColumns(
