@@ -326,11 +326,11 @@ def conversation_usage(tokens: DataFrame) -> DataFrame:
 
 
 def published_rows(records: DataFrame, separator: str) -> DataFrame:
-    """A sheet users have worked on: the records of even parts, and rows golden no longer has."""
+    """A sheet users have worked on: the records first seen before 1998, and rows golden no longer has."""
     part = F.substring_index("definition", " ", -1).cast("int")
     customer = F.substring_index("normalizedText", " ", -1).cast("int")
     row_id = (customer * 100 + part + 1).cast("int")
-    edited = records.where(part % 2 == 0).withColumn("id", row_id)
+    edited = records.where(F.col("firstOccurrence") < "1998-01-01").withColumn("id", row_id)
     none = F.lit(None).cast("string")
     kept = edited.select(
         "id",
@@ -352,7 +352,5 @@ def published_rows(records: DataFrame, separator: str) -> DataFrame:
         F.concat(F.lit("tag "), F.col("id")).alias("tags"),
         none.alias("notes"),
     )
-    gone = kept.where(F.col("id") % 7 == 0).withColumns(
-        {"id": F.col("id") + 50, "definition": F.lit("gone"), "firstOccurrence": F.col("firstOccurrence")}
-    )
+    gone = kept.where(F.col("status") == "learned").withColumns({"id": F.col("id") + 50, "definition": F.lit("gone")})
     return kept.unionByName(gone)

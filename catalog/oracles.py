@@ -176,7 +176,7 @@ USAGE = """usages AS (
 # ---- the state of silver halfway ----------------------------------------------------------------------------------
 
 HALFWAY = """stored AS (
-    SELECT * FROM silver WHERE split_part(text, ' ', 2)::BIGINT <= (SELECT max(o_orderkey) // 2 FROM orders)),
+    SELECT * FROM silver WHERE u < TIMESTAMP '1999-01-01'),
   fresh AS (
     SELECT text, list_append(books, 'again') AS books, n + 1000 AS n, first, latest, u FROM order_tokens
     WHERE u >= TIMESTAMP '1998-01-01'),
@@ -200,7 +200,7 @@ RECORD_COLUMNS = f"""word AS "normalizedText", a.pos AS "partOfSpeech", a.phonet
   {arr('books')} AS books, n AS occurrences, {ts('first')} AS "firstOccurrence", {ts('latest')} AS "latestOccurrence",
   def AS definition, {arr('a.examples')} AS examples, {arr('a.synonyms')} AS synonyms, {arr('a.antonyms')} AS antonyms"""
 
-STORED_GOLDEN = """stored_golden AS (SELECT * FROM records WHERE split_part(word, ' ', 2)::BIGINT % 2 = 0)"""
+STORED_GOLDEN = """stored_golden AS (SELECT * FROM records WHERE first < TIMESTAMP '1998-01-01')"""
 
 
 def or_missing(column: str, is_list: bool = False) -> str:
@@ -243,10 +243,10 @@ PUBLISHED = f"""sheet_kept AS (
       NULL::VARCHAR AS examples, '.' AS synonyms, '' AS antonyms, 'manual translation' AS translations,
       CASE WHEN id % 5 = 0 THEN '50.000000%' END AS usage, 'tag ' || id AS tags, '' AS cell
     FROM (SELECT *, split_part(word, ' ', 2)::INT * 100 + split_part(def, ' ', 2)::INT + 1 AS id FROM golden
-          WHERE split_part(def, ' ', 2)::INT % 2 = 0)),
+          WHERE golden.first < TIMESTAMP '1998-01-01')),
   sheet AS (
     SELECT * FROM sheet_kept
-    UNION ALL SELECT * REPLACE (id + 50 AS id, 'gone' AS def) FROM sheet_kept WHERE id % 7 = 0)"""
+    UNION ALL SELECT * REPLACE (id + 50 AS id, 'gone' AS def) FROM sheet_kept WHERE status = 'learned')"""
 
 
 def reconcile(published: str, golden: str, separator: str = SEP, out: str = "next_sheet") -> str:
@@ -509,14 +509,14 @@ ORACLES: dict[str, str] = {
     ),
     "golden_merge": with_ctes(
         *ORDER_RECORDS,
-        """numbered AS (SELECT *, split_part(word, ' ', 2)::BIGINT AS c FROM records)""",
-        select=f"""SELECT * EXCLUDE (c) REPLACE (
-            CASE WHEN c % 3 = 0 THEN occurrences ELSE 0 END AS occurrences,
-            CASE WHEN c % 3 = 0 THEN phonetic ELSE 'old' END AS phonetic)
-          FROM (SELECT c, {RECORD_COLUMNS}, CASE WHEN c % 2 = 0 THEN 'stored ' || def ELSE 'new' END AS translations,
-            CASE WHEN c % 2 = 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS usage,
-            CASE WHEN c % 3 = 0 THEN '{DAY_2}' ELSE '{DAY_1}' END AS "updatedAt"
-          FROM numbered WHERE c % 2 = 0 OR c % 3 = 0)""",
+        """flagged AS (SELECT *, first < TIMESTAMP '1998-01-01' AS was_stored, latest >= TIMESTAMP '1998-01-01' AS updated
+          FROM records)""",
+        select=f"""SELECT * EXCLUDE (updated) REPLACE (
+            CASE WHEN updated THEN occurrences ELSE 0 END AS occurrences,
+            CASE WHEN updated THEN phonetic ELSE 'old' END AS phonetic)
+          FROM (SELECT updated, {RECORD_COLUMNS}, CASE WHEN was_stored THEN 'stored ' || def ELSE 'new' END AS translations,
+            CASE WHEN was_stored THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS usage,
+            CASE WHEN updated THEN '{DAY_2}' ELSE '{DAY_1}' END AS "updatedAt" FROM flagged)""",
     ),
     "translation_flatten": with_ctes(
         TRANSLATIONS,
@@ -590,7 +590,7 @@ ORACLES: dict[str, str] = {
     "worklist_substring": with_ctes(
         *ORDER_RECORDS,
         f"""published AS (SELECT DISTINCT array_to_string(forms, {SEP}) AS forms FROM records
-          UNION ALL SELECT 'by hand' || {SEP} || text FROM silver WHERE word IS NULL AND n % 2 = 0)""",
+          UNION ALL SELECT 'by hand' || {SEP} || text FROM silver WHERE word IS NULL AND first < TIMESTAMP '1998-01-01')""",
         select=f"""SELECT text, array_to_string(books, ', ') AS books, n AS occurrences, {ts('first')} AS "firstOccurrence",
           {ts('latest')} AS "latestOccurrence" FROM silver s
           WHERE word IS NULL AND NOT EXISTS (SELECT 1 FROM published p WHERE contains(p.forms, s.text))""",
@@ -598,7 +598,7 @@ ORACLES: dict[str, str] = {
     "worklist_form": with_ctes(
         *ORDER_RECORDS,
         """published AS (SELECT DISTINCT unnest(forms) AS form FROM records
-          UNION ALL SELECT text FROM silver WHERE word IS NULL AND n % 2 = 0)""",
+          UNION ALL SELECT text FROM silver WHERE word IS NULL AND first < TIMESTAMP '1998-01-01')""",
         select=f"""SELECT text, array_to_string(books, ', ') AS books, n AS occurrences, {ts('first')} AS "firstOccurrence",
           {ts('latest')} AS "latestOccurrence" FROM silver s
           WHERE word IS NULL AND NOT EXISTS (SELECT 1 FROM published p WHERE p.form = s.text)""",

@@ -195,14 +195,12 @@ def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _silver_and_updates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Silver holds the first half of the orders; the updates are the tokens dated 1998 or later, counted anew."""
+    """Silver knows the tokens dated before 1999; the updates are those dated 1998 or later, counted anew."""
     tokens, silver = written(i.order_tokens(spark, sf_dir), "order-tokens"), i.order_silver(spark, sf_dir)
-    key = F.substring_index("text", " ", -1).cast("bigint")
-    cut = i.half(i.table(spark, sf_dir, "orders"), "o_orderkey")
     updates = tokens.where(F.col(UPDATED_AT) >= "1998-01-01").withColumns(
         {"occurrences": F.col("occurrences") + 1000, "books": F.array_append("books", F.lit("again"))}
     )
-    return silver.where(key <= cut), updates
+    return silver.where(F.col(UPDATED_AT) < "1999-01-01"), updates
 
 
 def silver_request_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,10 +261,9 @@ def golden_survivorship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_golden(records: DataFrame) -> DataFrame:
-    """Golden as it was: the records of even customers, with other statistics and their enrichment."""
-    customer = F.substring_index("normalizedText", " ", -1).cast("bigint")
+    """Golden as it was: the records first seen before 1998, with other statistics and their enrichment."""
     return (
-        records.where(customer % 2 == 0)
+        records.where(F.col("firstOccurrence") < "1998-01-01")
         .withColumns(
             {
                 "occurrences": F.lit(0),
@@ -287,11 +284,11 @@ def golden_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every third customer there are updates; the others stay as stored."""
+    """Records seen in 1998 or later are updates, new or to a stored record; the others stay as stored."""
     records = i.order_records(spark, sf_dir)
     stored = _stored_golden(records)
-    customer = F.substring_index("normalizedText", " ", -1).cast("bigint")
-    new, existing = vocabulary.split_new_existing(records.where(customer % 3 == 0), stored)
+    updated = records.where(F.col("latestOccurrence") >= "1998-01-01")
+    new, existing = vocabulary.split_new_existing(updated, stored)
     enriched = new.withColumns({"translations": F.array(F.lit("new")), "usage": F.lit(0.5)})
     return flat(merge_partial(stored, vocabulary.record_updates(existing, enriched, i.DAY_2)))
 
@@ -455,7 +452,7 @@ def publish_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _worklist(spark: SparkSession, sf_dir: str, match: str) -> DataFrame:
     silver = i.order_silver(spark, sf_dir)
     records = i.records_of(silver)
-    by_hand = definitions.undefined_rows(silver).where(F.col("occurrences") % 2 == 0)
+    by_hand = definitions.undefined_rows(silver).where(F.col("firstOccurrence") < "1998-01-01")
     cells = records.select("forms").union(by_hand.select(F.array(F.lit("by hand"), "text")))
     published = cells.select(F.array_join("forms", fixed.CELL_SEPARATOR).alias("forms"))
     return flat(worklist.unpublished(worklist.render_worklist(silver), published, match))

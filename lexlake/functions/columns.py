@@ -15,12 +15,16 @@ def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def timestamp_lit(moment: datetime) -> Column:
-    """A timestamp literal that does not depend on the driver's local time zone; naive moments are UTC."""
+def to_micros(moment: datetime) -> int:
+    """Epoch microseconds; a moment without a time zone is UTC."""
     aware = moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
     delta = aware - datetime(1970, 1, 1, tzinfo=timezone.utc)
-    micros = (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
-    return F.timestamp_micros(F.lit(micros))
+    return (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
+
+
+def timestamp_lit(moment: datetime) -> Column:
+    """A timestamp literal that does not depend on the driver's local time zone."""
+    return F.timestamp_micros(F.lit(to_micros(moment)))
 
 
 # ---- text ---------------------------------------------------------------------------------------------------------

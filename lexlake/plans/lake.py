@@ -7,12 +7,14 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexlake.functions.columns import to_micros
 from lexlake.operators.enrichment import Definer, Translator, UsageFinder
+from lexlake.operators.incremental import max_value
 from lexlake.plans import jobs
 from lexlake.sources.append_tables import AppendTable
 from lexlake.sources.keyed_tables import DEFAULT_BUCKETS, KeyedTable
 from lexlake.sources.sheet_store import SheetStore
-from lexlake.spec import BRONZE, GOLDEN, SILVER, STAGE, VOCABULARY_SHEET, WORKLIST_SHEET
+from lexlake.spec import BRONZE, GOLDEN, SILVER, STAGE, UPDATED_AT, VOCABULARY_SHEET, WORKLIST_SHEET
 
 
 @dataclass
@@ -58,13 +60,21 @@ class Lake:
     def update_internal(self, marks: DataFrame, now: datetime) -> DataFrame:
         """marks -> stage -> bronze -> silver -> golden; returns golden.
 
-        Every run needs a later ``now`` than the one before: updates are found by their stamps.
+        Every run needs a later ``now`` than the one before, as updates are found by their stamps.
         """
+        self.check_clock(now)
         staged = jobs.update_stage(marks, self.stage, now)
         bronze = jobs.update_bronze(staged, self.bronze, now)
         silver = jobs.update_silver(bronze, self.silver, self.define, now, self.fill_missing)
         return jobs.update_golden(silver, self.golden, self.translate, self.find_usage, now)
 
+    def check_clock(self, now: datetime) -> None:
+        """Refuse a run that is not later than every stored stamp: its updates would be missed downstream."""
+        stamps = [max_value(t.snapshot(), UPDATED_AT) for t in (self.bronze, self.silver, self.golden)]
+        newest = max((s for s in (self.stage.newest_stamp(), *stamps) if s is not None), default=None)
+        if newest is not None and to_micros(now) <= newest:
+            raise ValueError(f"{now} is not later than the last run")
+
     def update_all(self, marks: DataFrame, now: datetime) -> DataFrame:
         """Update the tables, publish the vocabulary and rewrite the worklist; returns the worklist."""
         golden = self.update_internal(marks, now)

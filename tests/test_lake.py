@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from helpers import at, frame, rows
 
 from lexlake.operators.enrichment import (
@@ -124,6 +125,15 @@ def test_a_lake_is_found_again_after_its_catalog_is_lost(spark, folder):
     assert rows(again.bronze.snapshot().where("text = 'duck'"), "occurrences") == [(2,)]
 
 
+def test_a_run_must_be_later_than_the_one_before(spark, folder):
+    lake = open_lake(spark, folder)
+    lake.update_internal(marks(spark, "duck!zzz"), DAY[2])
+    for moment in (DAY[1], DAY[2]):
+        with pytest.raises(ValueError, match="not later"):
+            lake.update_internal(marks(spark, "duck!zzz", "ducks"), moment)
+    assert rows(lake.stage.read(), "text") == [("duck!zzz",)]
+
+
 def test_user_edits_survive_the_next_publish(spark, folder):
     lake = open_lake(spark, folder)
     lake.update_all(marks(spark, "duck"), DAY[1])
