@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexlake.functions import fixed_values as fixed
@@ -45,15 +45,12 @@ def _grams(cells: DataFrame, lengths: list[int]) -> DataFrame:
         ).alias("piece"),
     )
 
-    def cuts_at(position: Column) -> Column:
-        grams = F.array(*[F.substr("piece.text", position, F.lit(n)) for n in lengths])
-        return F.transform(
-            grams, lambda gram: F.named_struct(F.lit("position"), F.col("piece.start") + position, F.lit("gram"), gram)
-        )
-
     last = F.greatest(F.lit(1), F.least(F.lit(POSITIONS_PER_PIECE), F.length("piece.text")))
-    cuts = F.flatten(F.transform(F.sequence(F.lit(1), last), cuts_at))
-    return pieces.select("cell_id", F.explode(cuts).alias("cut")).select("cell_id", "cut.position", "cut.gram")
+    places = pieces.select("cell_id", "piece", F.explode(F.sequence(F.lit(1), last)).alias("at"))
+    grams = F.array(*[F.substr("piece.text", "at", F.lit(n)) for n in lengths])
+    return places.select(
+        "cell_id", (F.col("piece.start") + F.col("at")).alias("position"), F.explode(grams).alias("gram")
+    )
 
 
 def contained_texts(texts: DataFrame, cells: DataFrame) -> DataFrame:
