@@ -17,7 +17,7 @@ from lexlake.operators.translations import attach_translations
 from lexlake.operators.usage import USAGE_KEYS, attach_usage, request_keys
 from lexlake.session import written
 from lexlake.sources.append_tables import check_location, ensure_database
-from lexlake.sources.files import qualify
+from lexlake.sources.files import bucket_folder, qualify
 from lexlake.sources.keyed_tables import DEFAULT_BUCKETS
 from lexlake.spec import UPDATED_AT
 
@@ -173,10 +173,11 @@ class ResponseTable:
         self.path = path
         self.buckets = buckets
         _, self.full_name = ensure_database(spark, path)
-        check_location(spark, self.full_name, path)
+        folder = bucket_folder(spark, path, buckets)
+        check_location(spark, self.full_name, folder)
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.full_name} ({self.SCHEMA}) USING parquet "
-            f"CLUSTERED BY (request) SORTED BY (request) INTO {buckets} BUCKETS LOCATION '{qualify(spark, path)}'"
+            f"CLUSTERED BY (request) SORTED BY (request) INTO {buckets} BUCKETS LOCATION '{qualify(spark, folder)}'"
         )
 
     def read(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexlake.sources.append_tables import check_location, ensure_database
-from lexlake.sources.files import committed_versions, delete_folder, last_version, qualify
+from lexlake.sources.files import bucket_folder, committed_versions, last_version, prune_versions, qualify
 from lexlake.spec import TableSpec
 
 DEFAULT_BUCKETS = 8
@@ -18,25 +18,26 @@ class KeyedTable:
     readers see the old or the new state, and a version is never written over while it is read. Versions are Parquet,
     hash-bucketed and sorted on the spec's ``bucketed_by`` columns: joins on these, and so the merges themselves, do
     not shuffle the stored rows. Choose ``buckets`` so that one bucket fits a task (thousands, for a large table); it
-    has to stay the same for the life of the table, and equal for tables that are joined.
+    stays the same for the life of the table, and should be equal for tables that are joined.
     """
 
     def __init__(self, spark: SparkSession, spec: TableSpec, path: str, buckets: int = DEFAULT_BUCKETS, keep: int = 1):
         self.spark = spark
         self.spec = spec
         self.path = path
+        self.folder = bucket_folder(spark, path, buckets)
         self.buckets = buckets
         self.keep = keep
         self.database, self.full_name = ensure_database(spark, path)
         self.ensure()
 
     def _location(self, version: int) -> str:
-        return f"{qualify(self.spark, self.path)}/version={version}"
+        return f"{qualify(self.spark, self.folder)}/version={version}"
 
     def ensure(self) -> None:
         """Create the catalog table if it is missing and point it at the newest complete version."""
-        check_location(self.spark, self.full_name, self.path)
-        versions = committed_versions(self.spark, self.path)
+        check_location(self.spark, self.full_name, self.folder)
+        versions = committed_versions(self.spark, self.folder)
         location = self._location(versions[-1] if versions else 0)
         by = ", ".join(self.spec.bucketed_by)
         self.spark.sql(
@@ -58,7 +59,7 @@ class KeyedTable:
 
     def replace(self, df: DataFrame) -> DataFrame:
         """Make ``df``, which may read the current version, the next version."""
-        version = last_version(self.spark, self.path) + 1
+        version = last_version(self.spark, self.folder) + 1
         location = self._location(version)
         incoming = f"{self.full_name[:-1]}__v{version}`"
         self.spark.sql(f"DROP TABLE IF EXISTS {incoming}")
@@ -73,6 +74,5 @@ class KeyedTable:
         )
         self._point_to(location)
         self.spark.sql(f"DROP TABLE {incoming}")
-        for old in committed_versions(self.spark, self.path)[: -1 - self.keep]:
-            delete_folder(self.spark, f"{self.path}/version={old}")
+        prune_versions(self.spark, self.folder, self.keep)
         return self.snapshot()

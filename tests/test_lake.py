@@ -3,6 +3,7 @@ import os
 
 import pytest
 from helpers import at, frame, rows
+from pyspark.sql import functions as F
 
 from lexlake.operators.enrichment import (
     DEFINITION_POLICY,
@@ -15,7 +16,8 @@ from lexlake.operators.enrichment import (
 )
 from lexlake.plans.lake import Lake
 from lexlake.streaming.arrivals import update_on_arrival
-from lexlake.spec import MARKS, TEXT, schema
+from lexlake.sources.keyed_tables import KeyedTable
+from lexlake.spec import BRONZE, MARKS, TEXT, schema
 
 REQUESTS = schema(request=TEXT, response=TEXT)
 ENTRIES = "https://api.dictionaryapi.dev/api/v2/entries/en/"
@@ -125,6 +127,27 @@ def test_a_lake_is_found_again_after_its_catalog_is_lost(spark, folder):
     assert rows(again.bronze.snapshot().where("text = 'duck'"), "occurrences") == [(2,)]
 
 
+def test_the_number_of_buckets_cannot_change(spark, folder):
+    open_lake(spark, folder)
+    table = KeyedTable(spark, BRONZE, f"{folder}/bronze", buckets=4)
+    table.replace(table.snapshot())
+    with pytest.raises(ValueError, match="holds a table with buckets=4, not buckets=8"):
+        KeyedTable(spark, BRONZE, f"{folder}/bronze", buckets=8)
+
+
+def test_an_unfinished_version_is_passed_over(spark, folder):
+    table = KeyedTable(spark, BRONZE, f"{folder}/bronze", buckets=2)
+    one = frame(spark, BRONZE, {"text": "a", "occurrences": 1})
+    table.replace(one)
+    os.makedirs(f"{table.folder}/version=2")
+    assert rows(KeyedTable(spark, BRONZE, f"{folder}/bronze", buckets=2).snapshot(), "text") == [("a",)]
+    for n in (2, 3, 4):
+        table.replace(one.withColumn("occurrences", F.lit(n)))
+    assert rows(table.snapshot(), "occurrences") == [(4,)]
+    # the version before stays readable, older ones and the unfinished one are gone
+    assert sorted(os.listdir(table.folder)) == ["version=4", "version=5"]
+
+
 def test_a_run_must_be_later_than_the_one_before(spark, folder):
     lake = open_lake(spark, folder)
     lake.update_internal(marks(spark, "duck!zzz"), DAY[2])

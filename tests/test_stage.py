@@ -1,5 +1,6 @@
 import json
 
+import duckdb
 import pytest
 
 from helpers import at, frame, plan, rows
@@ -8,7 +9,7 @@ from lexlake.operators.highlights import first_marks, parse_highlights
 from lexlake.operators.incremental import max_value, new_by_max_key, new_by_watermark
 from lexlake.plans.jobs import update_stage
 from lexlake.sources.append_tables import CSV_OPTIONS, AppendTable
-from lexlake.sources.marks import read_marks, read_marks_csv
+from lexlake.sources.marks import marks_query, read_marks, read_marks_csv
 from lexlake.spec import BRONZE, MARKS, STAGE
 
 
@@ -117,7 +118,14 @@ def test_marks_are_joined_to_the_book_of_their_item(spark):
     )
     items = spark.createDataFrame([(10, 20), (12, 21), (20, None), (21, None)], "OID long, ParentID long")
     books = spark.createDataFrame([(20, "Emma", "Austen")], "OID long, Title string, Authors string")
-    assert rows(read_marks(tags, items, books)) == [(1, "v1", "Emma", "Austen", 5)]
+    expected = [(1, "v1", "Emma", "Austen", 5)]
+    assert rows(read_marks(tags, items, books)) == expected
+    database = duckdb.connect()
+    for name, df in (("Tags", tags), ("Items", items), ("Books", books)):
+        database.register(name, df.toPandas())
+    result = database.execute(marks_query())
+    assert result.fetchall() == expected
+    assert [c[0] for c in result.description] == list(MARKS.attributes)
 
 
 def test_marks_from_csv_are_ordered_and_checked(spark, folder):
