@@ -12,7 +12,7 @@ from lexlake.operators.sheets import InvalidSheetError, read_sheet
 from lexlake.operators.worklist import contained_texts, render_worklist, unpublished
 from lexlake.plans.jobs import update_vocabulary, update_worklist
 from lexlake.sources.append_tables import SnapshotTable
-from lexlake.sources.sheet_store import SheetStore
+from lexlake.sources.sheet_store import SheetStore, read_csv_sheet
 from lexlake.spec import DOUBLE, GOLDEN, INT, LONG, SILVER, TEXT, TEXTS, TIME, VOCABULARY_SHEET, WORKLIST_SHEET, TableSpec, schema
 
 SEP = "\n* "
@@ -210,6 +210,26 @@ def test_a_wrong_layout_raises(spark):
         read_sheet(cells(spark, ("one", "a", "2020-01-01 00:00:00")), header, SMALL).collect()
 
 
+def test_a_sheet_edited_elsewhere(spark, folder):
+    def sheet(name, *lines):
+        os.makedirs(f"{folder}/{name}")
+        with open(f"{folder}/{name}/part.csv", "w") as f:
+            f.write("\n".join(lines) + "\n")
+        return read_csv_sheet(spark, f"{folder}/{name}", WORKLIST_SHEET)
+
+    header = "text,books,occurrences,firstOccurrence,latestOccurrence"
+    assert rows(sheet("short", header, "a,b,3", '"two\nlines",,4,x,y')) == [
+        ("a", "b", 3, "", ""),
+        ("two\nlines", "", 4, "x", "y"),
+    ]
+    with pytest.raises(Exception, match="row has 6 cells"):
+        sheet("wide", header, "a,b,3,x,y,z").collect()
+    with pytest.raises(Exception, match="column occurrences is not of type int"):
+        sheet("untyped", header, "a,b,many,x,y").collect()
+    with pytest.raises(InvalidSheetError, match="word, books"):
+        sheet("renamed", header.replace("text", "word"), "a,b,3,x,y")
+
+
 def worklist_row(text, forms_hint=""):
     return dict(text=text, books=forms_hint, occurrences=1, firstOccurrence="x", latestOccurrence="y")
 
