@@ -35,6 +35,7 @@ from lexlake.operators.ids import assign_ids
 from lexlake.operators.incremental import max_value, new_by_max_key, new_by_watermark
 from lexlake.operators.merges import merge_accumulate, merge_partial, merge_replace, unique_by_key
 from lexlake.operators.sheets import read_sheet
+from lexlake.plans import jobs
 from lexlake.plans.lake import Lake
 from lexlake.session import new_work_path, written
 from lexlake.sources.append_tables import CSV_OPTIONS, AppendTable, SnapshotTable
@@ -48,7 +49,7 @@ from lexlake.spec import (
     TEXT,
     TIME,
     UPDATED_AT,
-    VOCABULARY_SHEET,
+    VOCABULARY_CSV,
     WORKLIST_SHEET,
     TableSpec,
     schema,
@@ -430,16 +431,12 @@ def publish_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def publish_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First publish as CSV snapshots, one file per publish; the second publish changes nothing."""
-    columns = {f.name: f.dataType for f in VOCABULARY_SHEET.schema.fields}
-    spec = TableSpec("published", schema(**columns, updatedAt=TIME), pk=("id",))
+    """First publish as CSV snapshots, one file per publish; the second publish changes nothing but the stamp."""
     golden = written(_golden(spark, sf_dir), "publish-golden")
-    sheets = SnapshotTable(spark, spec, new_work_path(spark, "publish_csv") + "/published", output_files=1)
-    empty = spark.createDataFrame([], VOCABULARY_SHEET.schema)
-    first = sheets.write(publish.reconcile(empty, golden, fixed.CSV_CELL_SEPARATOR), i.DAY_1)
-    second = sheets.write(publish.reconcile(first.drop(UPDATED_AT), golden, fixed.CSV_CELL_SEPARATOR), i.DAY_2)
-    shown = second.select("id", "normalizedText", "definition", *publish.ARRAY_CELLS, "usage", UPDATED_AT)
-    return _cells_sorted(shown, fixed.CSV_CELL_SEPARATOR)
+    published = SnapshotTable(spark, VOCABULARY_CSV, new_work_path(spark, "publish_csv") + "/published", output_files=1)
+    jobs.publish_csv(golden, published, i.DAY_1)
+    shown = ["id", "normalizedText", "definition", *publish.ARRAY_CELLS, "usage", UPDATED_AT]
+    return _cells_sorted(jobs.publish_csv(golden, published, i.DAY_2).select(*shown), fixed.CSV_CELL_SEPARATOR)
 
 
 def publish_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,18 @@ VOCABULARY_SHEET = TableSpec(
     natural_pk=("normalizedText", "definition"),
 )
 
+# the vocabulary published as CSV snapshots: no user columns, and a stamp
+VOCABULARY_CSV = TableSpec(
+    name="vocabulary_csv",
+    schema=schema(
+        **{f.name: f.dataType for f in VOCABULARY_SHEET.schema.fields if f.name not in ("tags", "notes")},
+        updatedAt=TIME,
+    ),
+    pk=("id",),
+    natural_pk=VOCABULARY_SHEET.natural_pk,
+    metadata=(UPDATED_AT,),
+)
+
 WORKLIST_SHEET = TableSpec(
     name="worklist",
     schema=schema(text=TEXT, books=TEXT, occurrences=INT, firstOccurrence=TEXT, latestOccurrence=TEXT),

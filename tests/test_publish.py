@@ -10,10 +10,10 @@ from lexlake.operators.ids import assign_ids
 from lexlake.operators.publish import grown_rows, pair_states, reconcile
 from lexlake.operators.sheets import InvalidSheetError, read_sheet
 from lexlake.operators.worklist import contained_texts, render_worklist, unpublished
-from lexlake.plans.jobs import update_vocabulary, update_worklist
+from lexlake.plans.jobs import publish_csv, update_vocabulary, update_worklist
 from lexlake.sources.append_tables import SnapshotTable
 from lexlake.sources.sheet_store import SheetStore, read_csv_sheet
-from lexlake.spec import DOUBLE, GOLDEN, INT, LONG, SILVER, TEXT, TEXTS, TIME, VOCABULARY_SHEET, WORKLIST_SHEET, TableSpec, schema
+from lexlake.spec import DOUBLE, GOLDEN, INT, LONG, SILVER, TEXT, TEXTS, TIME, VOCABULARY_CSV, VOCABULARY_SHEET, WORKLIST_SHEET, TableSpec, schema
 
 SEP = "\n* "
 
@@ -290,6 +290,26 @@ def test_snapshots_keep_their_history_in_one_file_each(spark, folder):
     assert len(parts) == 2
 
 
+def test_csv_snapshots_keep_edits_and_use_one_file_each(spark, folder):
+    table = SnapshotTable(spark, VOCABULARY_CSV, f"{folder}/published", output_files=1)
+    edited = {k: v for k, v in sheet_row(2, "die hard", "slow", partOfSpeech="phrase").items() if k not in ("tags", "notes")}
+    learned = {
+        **edited,
+        **dict(id=1, status="learned", normalizedText="duck", definition="bird", sources="duck Book, manual", synonyms="."),
+    }
+    table.write(frame(spark, VOCABULARY_CSV, edited, learned), at("2019-01-01"))
+    die_hard = golden_record("die hard", "slow", "1999-01-01T01:01:02", pos=None, forms=["die hard"])
+    result = publish_csv(frame(spark, GOLDEN, DUCK, die_hard, PEEVISH).repartition(3), table, at("2020-01-01"))
+    assert rows(result, "id", "status", "partOfSpeech", "sources", "synonyms", "usage", "updatedAt") == [
+        (1, "learned", "phrase", "duck Book, manual, ducks Book", "., s1, s2", "", at("2020-01-01")),
+        (2, "new", "phrase", "", "", "", at("2020-01-01")),
+        (3, "new", "adjective", "P", "x, ..., m", "25.000000%", at("2020-01-01")),
+    ]
+    assert table.history().count() == 5
+    files = [f for _, _, names in os.walk(f"{folder}/published") for f in names if f.endswith(".csv")]
+    assert len(files) == 2
+
+
 # ---- worklist -----------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from helpers import plan
 
 import __spark_entry__ as entry_points
 
@@ -33,6 +34,8 @@ def test_every_query_has_its_sql():
 def test_query_equals_sql(spark, duck, name):
     df = entry_points.queries()[name](spark, SF)
     columns = sorted(df.columns)
+    for node in ("CartesianProduct", "NestedLoopJoin", "SinglePartition"):
+        assert node not in plan(df)
     actual = ordered(tuple(r[c] for c in columns) for r in df.collect())
     result = duck.execute(entry_points.oracle_sql()[name])
     names = [d[0] for d in result.description]
