@@ -204,7 +204,8 @@ STORED_GOLDEN = """stored_golden AS (SELECT * FROM records WHERE first < TIMESTA
 
 
 def or_missing(column: str, is_list: bool = False) -> str:
-    return f"coalesce({column}, {f'[{chr(39)}{fixed.MISSING_TEXT}{chr(39)}]' if is_list else chr(39) + fixed.MISSING_TEXT + chr(39)})"
+    missing = f"'{fixed.MISSING_TEXT}'"
+    return f"coalesce({column}, {f'[{missing}]' if is_list else missing})"
 
 
 # ---- published cells ----------------------------------------------------------------------------------------------

@@ -78,5 +78,5 @@ class Lake:
     def update_all(self, marks: DataFrame, now: datetime) -> DataFrame:
         """Update the tables, publish the vocabulary and rewrite the worklist; returns the worklist."""
         golden = self.update_internal(marks, now)
-        published = jobs.update_vocabulary(golden, self.vocabulary)
+        published = jobs.update_vocabulary(golden, self.vocabulary, align=self.golden.aligned)
         return jobs.update_worklist(self.silver.snapshot(), published, self.worklist, self.worklist_match)

@@ -70,7 +70,11 @@ def test_translations_follow_the_part_of_speech(spark):
 def test_no_translation_is_an_empty_list(spark):
     records = [("because", "conjunction", ["Because"], "so that"), ("unknown", None, ["u"], "d"), ("x", None, ["x"], "e")]
     responses = {"because": response("because"), "unknown": "[]"}
-    assert translated(spark, records, responses) == [("d", ("u",), ()), ("e", ("x",), ()), ("so that", ("Because", "because"), ())]
+    assert translated(spark, records, responses) == [
+        ("d", ("u",), ()),
+        ("e", ("x",), ()),
+        ("so that", ("Because", "because"), ()),
+    ]
 
 
 def test_translations_of_an_unmatched_tag_go_to_all(spark):
@@ -188,7 +192,8 @@ def test_usage_is_the_mean_of_all_points(spark):
 
 def test_usage_keys(spark):
     df = frame(spark, schema(t=TEXT, p=TEXT), ("die hard", None), ("MY", "abbreviation"), ("up", "infinitive marker"))
-    assert rows(df.select(usage_query(F.col("t"), F.col("p")))) == [("MY:eng_2019",), ("die hard:eng_2019",), ("up_PRT:eng_2019",)]
+    keys = rows(df.select(usage_query(F.col("t"), F.col("p"))))
+    assert keys == [("MY:eng_2019",), ("die hard:eng_2019",), ("up_PRT:eng_2019",)]
     built = rows(df.select(usage_request(F.col("t"), F.col("p"), "eng_2012", 1990, 2000)))
     assert built[1] == ("https://books.google.com/ngrams/json?content=die+hard%3Aeng_2012&year_start=1990&year_end=2000",)
 
@@ -202,9 +207,8 @@ def outcomes(spark, policy, *tries):
 
 
 def test_definition_policy(spark):
-    result, reasons = outcomes(
-        spark, DEFINITION_POLICY, (1, 200, "b"), (9, 429, ""), (1, 404, "x"), (2, TLS_FAILURE, None), (3, TLS_FAILURE, None), (1, 500, "oops")
-    )
+    tries = [(1, 200, "b"), (9, 429, ""), (1, 404, "x"), (2, TLS_FAILURE, None), (3, TLS_FAILURE, None), (1, 500, "oops")]
+    result, reasons = outcomes(spark, DEFINITION_POLICY, *tries)
     assert result == [("value", "b"), ("retry", None), ("value", ""), ("retry", None), ("fail", None), ("fail", None)]
     assert "`3` attempts" in reasons[4] and "`500`" in reasons[5] and "`oops`" in reasons[5]
 
@@ -294,7 +298,9 @@ def test_retries_pause_and_only_resend_what_is_open(spark, folder):
 def test_a_failure_stops_the_run_but_answers_are_kept(spark, folder):
     os.mkdir(f"{folder}/calls")
     table = ResponseTable(spark, f"{folder}/r")
-    connect = logged_service(f"{folder}/calls", lambda request, n: (500, "boom") if request == "bad" and n == 1 else (200, "ok"))
+    connect = logged_service(
+        f"{folder}/calls", lambda request, n: (500, "boom") if request == "bad" and n == 1 else (200, "ok")
+    )
     lookup = remote_lookup(table, connect, DEFINITION_POLICY, sleep=None)
     with pytest.raises(EnrichmentError, match="`bad`.*`500`.*`boom`"):
         lookup(asked(spark, "good", "bad"))

@@ -3,11 +3,12 @@ from helpers import at, frame, plan, rows, same
 from pyspark.sql import functions as F
 
 from lexlake.operators.merges import merge_partial
-from lexlake.operators.vocabulary import group_definitions, record_updates, sibling_forms, split_new_existing
+from lexlake.operators.publish import pair_states
+from lexlake.operators.vocabulary import classify, group_definitions, record_updates, sibling_forms, split_new_existing
 from lexlake.plans import jobs
 from lexlake.plans.jobs import update_golden
 from lexlake.sources.keyed_tables import KeyedTable
-from lexlake.spec import GOLDEN, SILVER
+from lexlake.spec import GOLDEN, SILVER, VOCABULARY_SHEET
 
 Y = {y: at(f"{y}-01-01T01:01:01") for y in (1999, 2000, 2001, 2002, 2019, 2020, 2021, 2022, 2023, 2024)}
 
@@ -30,7 +31,9 @@ def form(text, definition, stamp, word="duck", pos="noun", seen=2000, n=1, book=
     )
 
 
-def record(definition, stamp, forms, word="duck", pos="noun", n=1, first=2000, latest=2000, translations=("t",), usage=1.0, **more):
+def record(
+    definition, stamp, forms, word="duck", pos="noun", n=1, first=2000, latest=2000, translations=("t",), usage=1.0
+):
     return dict(
         normalizedText=word,
         partOfSpeech=pos,
@@ -47,7 +50,6 @@ def record(definition, stamp, forms, word="duck", pos="noun", n=1, first=2000, l
         translations=None if translations is None else list(translations),
         usage=usage,
         updatedAt=Y[stamp],
-        **more,
     )
 
 
@@ -82,7 +84,8 @@ def test_newest_form_gives_the_attributes_and_all_forms_the_statistics(spark):
         form("duck", "to dip", 2021, pos="verb", seen=2001, book="verbs", examples=["new"]),
         form("ducked", "to dip", 2022, pos=None, phonetic=None, seen=2002, book="more verbs"),
     )
-    columns = ("definition", "partOfSpeech", "phonetic", "forms", "books", "occurrences", "firstOccurrence", "latestOccurrence", "examples")
+    columns = ["definition", "partOfSpeech", "phonetic", "forms", "books", "occurrences"]
+    columns += ["firstOccurrence", "latestOccurrence", "examples"]
     assert rows(group_definitions(silver), *columns) == [
         ("bird", "noun", "/dʌk/", ("duck", "ducks"), ("duck Book", "ducks Book"), 3, Y[2000], Y[2001], ("quack",)),
         ("other", "noun", "/dʌk/", ("duck",), ("duck Book",), 2, Y[2001], Y[2001], ("quack",)),
@@ -148,7 +151,8 @@ def test_nothing_changes_without_updates(spark, folder):
     golden = golden_with(spark, folder, record("bird", 2022, ["duck"]))
     files = golden.snapshot().inputFiles()
     silver = frame(spark, SILVER, form("duck", "bird", 2021))
-    same(update_golden(silver, golden, translate([]), find_usage, Y[2024]), frame(spark, GOLDEN, record("bird", 2022, ["duck"])))
+    result = update_golden(silver, golden, translate([]), find_usage, Y[2024])
+    same(result, frame(spark, GOLDEN, record("bird", 2022, ["duck"])))
     assert golden.snapshot().inputFiles() == files
 
 
@@ -172,7 +176,8 @@ def test_split_keeps_stored_enrichment_beside_fresh_statistics(spark):
     golden = frame(spark, GOLDEN, record("d", 2019, ["old"], translations=["kept"], usage=0.5))
     new, existing = split_new_existing(grouped, golden)
     assert rows(new, "definition", "forms") == [("e", ("b",))]
-    assert rows(existing, "definition", "forms", "occurrences", "translations", "usage") == [("d", ("a",), 5, ("kept",), 0.5)]
+    kept = rows(existing, "definition", "forms", "occurrences", "translations", "usage")
+    assert kept == [("d", ("a",), 5, ("kept",), 0.5)]
     enriched = new.withColumns({"translations": F.array(F.lit("n")), "usage": F.lit(0.1)})
     updates = record_updates(existing, enriched, Y[2024])
     assert updates.schema.simpleString() == frame(spark, GOLDEN).schema.simpleString()
@@ -203,9 +208,23 @@ def test_partial_merge(spark):
 def test_the_stored_records_are_not_shuffled(spark, folder):
     golden = golden_with(spark, folder, record("bird", 2022, ["duck"]))
     updates = frame(spark, GOLDEN, record("bird", 2023, ["duck"]))
-    text = plan(merge_partial(golden.snapshot(), golden.aligned(updates)))
-    assert "Bucketed: true" in text
-    assert text.count("Exchange") == text.count("REPARTITION_BY_NUM") == 1
+    grouped = updates.drop("translations", "usage", "updatedAt")
+    published = spark.createDataFrame([], VOCABULARY_SHEET.schema).union(
+        spark.range(1).select(*[F.lit("1").cast(f.dataType) for f in VOCABULARY_SHEET.schema.fields])
+    )
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = plan(merge_partial(golden.snapshot(), golden.aligned(updates)))
+        classified = plan(classify(golden.aligned(grouped), golden.snapshot()))
+        paired = plan(pair_states(golden.aligned(published), golden.snapshot()).where("p.id > 0 or g.occurrences > 0"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for text in (merged, classified):
+        assert "Bucketed: true" in text
+        assert text.count("Exchange") == text.count("REPARTITION_BY_NUM") == 1
+    # rows with and without a whole key are read apart; only the sheet's move
+    assert "Bucketed: true" in paired and paired.count("Exchange") == paired.count("REPARTITION_BY_NUM")
 
 
 def test_grouping_combines_before_it_shuffles_and_uses_no_window(spark):

@@ -13,7 +13,21 @@ from lexlake.operators.worklist import contained_texts, render_worklist, unpubli
 from lexlake.plans.jobs import publish_csv, update_vocabulary, update_worklist
 from lexlake.sources.append_tables import SnapshotTable
 from lexlake.sources.sheet_store import SheetStore, read_csv_sheet
-from lexlake.spec import DOUBLE, GOLDEN, INT, LONG, SILVER, TEXT, TEXTS, TIME, VOCABULARY_CSV, VOCABULARY_SHEET, WORKLIST_SHEET, TableSpec, schema
+from lexlake.spec import (
+    DOUBLE,
+    GOLDEN,
+    INT,
+    LONG,
+    SILVER,
+    TEXT,
+    TEXTS,
+    TIME,
+    VOCABULARY_CSV,
+    VOCABULARY_SHEET,
+    WORKLIST_SHEET,
+    TableSpec,
+    schema,
+)
 
 SEP = "\n* "
 
@@ -57,7 +71,14 @@ DUCK = golden_record(
     translations=["t"],
 )
 PEEVISH = golden_record(
-    "peevish", "irritable", "2000-01-01T01:01:01", pos="adjective", forms=["peevish"], books=["P"], usage=0.25, synonyms=["x", "...", "m"]
+    "peevish",
+    "irritable",
+    "2000-01-01T01:01:01",
+    pos="adjective",
+    forms=["peevish"],
+    books=["P"],
+    usage=0.25,
+    synonyms=["x", "...", "m"],
 )
 
 
@@ -252,7 +273,8 @@ def test_publishing_keeps_backups_and_replaces_the_sheet(spark, folder):
 def test_an_unfinished_write_does_not_count(spark, folder):
     store = SheetStore(spark, WORKLIST_SHEET, f"{folder}/sheet")
     store.publish(frame(spark, WORKLIST_SHEET, worklist_row("good")))
-    failing = frame(spark, WORKLIST_SHEET, worklist_row("bad")).withColumn("text", F.raise_error(F.lit("broken")).cast("string"))
+    broken = F.raise_error(F.lit("broken")).cast("string")
+    failing = frame(spark, WORKLIST_SHEET, worklist_row("bad")).withColumn("text", broken)
     with pytest.raises(Exception, match="broken"):
         store.publish(failing)
     os.makedirs(f"{folder}/sheet/version=7")
@@ -315,7 +337,8 @@ def test_csv_snapshots_keep_edits_and_use_one_file_each(spark, folder):
 
 def undefined(text, *books, year=2100, **more):
     seen = at(f"{year}-01-01T01:01:01")
-    return dict(text=text, books=list(books), occurrences=1, firstOccurrence=seen, latestOccurrence=seen, updatedAt=seen, **more)
+    stats = dict(books=list(books), occurrences=1, firstOccurrence=seen, latestOccurrence=seen, updatedAt=seen)
+    return {"text": text, **stats, **more}
 
 
 def test_the_worklist_lists_unpublished_undefined_tokens(spark, folder):
