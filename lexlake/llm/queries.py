@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import bpe_backtrack, pivotal_mixing, rule_ensemble, weak_toxicity
+from lexlake.llm import bpe_backtrack, pivotal_mixing, rule_ensemble, simhash_anchors, weak_toxicity
 from lexlake.llm.common import table
 
 
@@ -18,6 +18,10 @@ def word_vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchors.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rule_ensemble.scores(docs, rule_ensemble.learn(docs, table(spark, sf_dir, "labels")))
@@ -40,6 +44,7 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_anchors": op2_simhash_anchors,
     "op4_rule_ensemble": op4_rule_ensemble,
     "op7_weak_toxicity": op7_weak_toxicity,
     "op8_bpe_backtracking": op8_bpe_backtracking,
