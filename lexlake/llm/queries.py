@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import bpe_backtrack, pivotal_mixing, rule_ensemble, simhash_anchors, weak_toxicity
+from lexlake.llm import bpe_backtrack, pivotal_mixing, rule_ensemble, simhash_anchors, wavelet_shards, weak_toxicity
 from lexlake.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.scores(docs, rule_ensemble.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet_shards.token_files(table(spark, sf_dir, "documents"), word_vocabulary())
+
+
 def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return weak_toxicity.scores(docs, weak_toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -46,6 +50,7 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_anchors": op2_simhash_anchors,
     "op4_rule_ensemble": op4_rule_ensemble,
+    "op6_wavelet_shards": op6_wavelet_shards,
     "op7_weak_toxicity": op7_weak_toxicity,
     "op8_bpe_backtracking": op8_bpe_backtracking,
     "op9_pivotal_mixing": op9_pivotal_mixing,
