@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
 # documents rounded in one group, and open documents that meet in one group of the tree
-LEAF_ROWS = 20_000
+LEAF_ROWS = 1_000
 FAN_IN = 1_000
 
 _NEAR = 1e-9
