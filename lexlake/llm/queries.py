@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import bpe_backtrack, pivotal_mixing, rule_ensemble, simhash_anchors, wavelet_shards, weak_toxicity
+from lexlake.llm import (
+    bpe_backtrack,
+    imatch,
+    pivotal_mixing,
+    rule_ensemble,
+    simhash_anchors,
+    wavelet_shards,
+    weak_toxicity,
+)
 from lexlake.llm.common import table
 
 
@@ -47,6 +55,10 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_anchors": op2_simhash_anchors,
     "op4_rule_ensemble": op4_rule_ensemble,
@@ -54,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_weak_toxicity": op7_weak_toxicity,
     "op8_bpe_backtracking": op8_bpe_backtracking,
     "op9_pivotal_mixing": op9_pivotal_mixing,
+    "op10_imatch": op10_imatch,
 }
 
 ORACLES: dict[str, str] = {}
