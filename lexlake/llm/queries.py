@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexlake.llm import (
     bpe_backtrack,
     imatch,
+    itq_links,
     pivotal_mixing,
     rule_ensemble,
     simhash_anchors,
@@ -26,6 +27,10 @@ def word_vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_itq_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_links.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchors.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_itq_links": op1_itq_links,
     "op2_simhash_anchors": op2_simhash_anchors,
     "op4_rule_ensemble": op4_rule_ensemble,
     "op6_wavelet_shards": op6_wavelet_shards,
