@@ -14,6 +14,7 @@ from lexlake.llm import (
     pivotal_mixing,
     rule_ensemble,
     simhash_anchors,
+    surrogates,
     wavelet_shards,
     weak_toxicity,
 )
@@ -35,6 +36,11 @@ def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchors.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymised(docs)
+
+
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rule_ensemble.scores(docs, rule_ensemble.learn(docs, table(spark, sf_dir, "labels")))
@@ -67,6 +73,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_itq_links": op1_itq_links,
     "op2_simhash_anchors": op2_simhash_anchors,
+    "op3_surrogates": op3_surrogates,
     "op4_rule_ensemble": op4_rule_ensemble,
     "op6_wavelet_shards": op6_wavelet_shards,
     "op7_weak_toxicity": op7_weak_toxicity,
