@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexlake.llm import (
     bpe_backtrack,
+    context_mixing,
     imatch,
     itq_links,
     pivotal_mixing,
@@ -46,6 +47,10 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.scores(docs, rule_ensemble.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_shards.token_files(table(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_anchors": op2_simhash_anchors,
     "op3_surrogates": op3_surrogates,
     "op4_rule_ensemble": op4_rule_ensemble,
+    "op5_context_mixing": op5_context_mixing,
     "op6_wavelet_shards": op6_wavelet_shards,
     "op7_weak_toxicity": op7_weak_toxicity,
     "op8_bpe_backtracking": op8_bpe_backtracking,
