@@ -130,7 +130,7 @@ class RuleModel:
 
     def column(self) -> Column:
         """The score as a Spark column over the statistics' columns."""
-        total = F.lit(self.intercept)
+        terms = [F.lit(self.intercept)]
         for rule, weight in zip(self.rules, self.weights, strict=True):
             holds = reduce(
                 Column.__and__,
@@ -139,8 +139,10 @@ class RuleModel:
                     for s, below, limit in rule
                 ],
             )
-            total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+            terms.append(F.when(holds, F.lit(weight)).otherwise(F.lit(0.0)))
+        while len(terms) > 1:  # added up in pairs, so that the expression stays flat
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) & ~1 :]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.intercept)
@@ -197,7 +199,7 @@ def fit_rules(
     trees: int = 60,
     depth: int = 3,
     rate: float = 0.15,
-    lasso: float = 2e-4,
+    lasso: float = 2e-3,
     seed: int = 4,
     limits: int = 48,
 ) -> RuleModel:
@@ -234,7 +236,7 @@ def fit_rules(
     use = (share > 0) & (share < 1)
     kept, design = [r for r, ok in zip(kept, use, strict=True) if ok], design[:, use]
     scale = np.sqrt(share[use] * (1 - share[use])) ** 0.5
-    intercept, weights = logistic_weights(design / scale, y, lasso=lasso, steps=600)
+    intercept, weights = logistic_weights(design / scale, y, lasso=lasso, steps=400)
     weights = weights / scale
     live = [i for i in np.argsort(-np.abs(weights)) if abs(weights[i]) > 1e-6]
     return RuleModel(intercept, tuple(kept[i] for i in live), tuple(float(weights[i]) for i in live))
