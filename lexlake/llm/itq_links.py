@@ -62,8 +62,15 @@ class Rotations:
 
 
 def learn_rotations(sample: np.ndarray, length: int, bits: int, rounds: int = 12, seed: int = 1) -> Rotations:
-    """Iterative quantisation on a sample of unit vectors, once per ``length`` bits wanted."""
+    """Iterative quantisation on a sample of unit vectors, once per ``length`` bits wanted.
+
+    Of near copies in the sample only the first counts, or a large group of them would draw the centre and the cuts to
+    itself and be cut apart. With fewer vectors than they are long the codes are those of random planes.
+    """
     rng = np.random.default_rng([seed, length])
+    sample = _leaders(sample)
+    if len(sample) <= length:
+        sample = sample[:0]
     mean = sample.mean(axis=0) if len(sample) else np.zeros(length)
     centred = sample - mean
     _, _, axes = np.linalg.svd(centred.T @ centred) if len(sample) else (0, 0, np.eye(length))
@@ -71,7 +78,7 @@ def learn_rotations(sample: np.ndarray, length: int, bits: int, rounds: int = 12
     parts = []
     for _ in range(-(-bits // length)):
         turn = np.linalg.qr(rng.standard_normal((length, length)))[0]
-        for _ in range(rounds if len(sample) > length else 0):
+        for _ in range(rounds if len(sample) else 0):
             signs = np.where(projected @ turn >= 0, 1.0, -1.0)
             left, _, right = np.linalg.svd(projected.T @ signs)
             turn = left @ right
@@ -81,6 +88,15 @@ def learn_rotations(sample: np.ndarray, length: int, bits: int, rounds: int = 12
     return Rotations(mean, every, cut)
 
 
+def _leaders(unit: np.ndarray, cosine: float = COSINE) -> np.ndarray:
+    """The vectors that are not close to one before them."""
+    keep = np.ones(len(unit), dtype=bool)
+    for at in range(len(unit)):
+        if keep[at]:
+            keep[at + 1 :] &= unit[at + 1 :] @ unit[at] < cosine
+    return unit[keep]
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     """Unit vectors in double precision; scaled first, so that no square overflows or vanishes."""
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
