@@ -245,12 +245,38 @@ def test_a_sheet_edited_elsewhere(spark, folder):
     ]
     with pytest.raises(Exception, match="row has 6 cells"):
         sheet("wide", header, "a,b,3,x,y,z").collect()
-    with pytest.raises(Exception, match="column occurrences is not of type int"):
+    for name, line, n in (("gap", "a,b,1,x,y,,EXTRA", 7), ("one_more", "a,b,1,x,y,EXTRA", 6), ("blank", "a,b,1,x,y,,", 7)):
+        with pytest.raises(Exception, match=f"row has {n} cells"):
+            sheet(name, header, line).collect()
+    with pytest.raises(Exception, match="column occurrences is not of type bigint"):
         sheet("untyped", header, "a,b,many,x,y").collect()
     with pytest.raises(InvalidSheetError, match="word, books"):
         sheet("renamed", header.replace("text", "word"), "a,b,3,x,y")
 
 
+def test_every_file_of_a_sheet_has_its_header_checked(spark, folder):
+    os.makedirs(f"{folder}/two")
+    header = "text,books,occurrences,firstOccurrence,latestOccurrence"
+    with open(f"{folder}/two/part-0.csv", "w") as f:
+        f.write(f"{header}\na,b,3,x,y\n")
+    with open(f"{folder}/two/part-1.csv", "w") as f:
+        f.write(f"{header}\nc,d,4,x,y\n")
+    assert rows(read_csv_sheet(spark, f"{folder}/two", WORKLIST_SHEET), "text") == [("a",), ("c",)]
+    with open(f"{folder}/two/part-2.csv", "w") as f:
+        f.write("books,text,occurrences,firstOccurrence,latestOccurrence\nd,c,4,x,y\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv_sheet(spark, f"{folder}/two", WORKLIST_SHEET).collect()
+
+
+def test_quoted_cells_count_as_one(spark, folder):
+    """Short rows, whose cells are counted in the raw text: commas, quotes and line breaks inside cells."""
+    os.makedirs(f"{folder}/quoted")
+    with open(f"{folder}/quoted/part.csv", "w") as f:
+        f.write('text,books,occurrences,firstOccurrence,latestOccurrence\n"a, b","c,\nd, e, f, g",7\n"x","y \\"z\\", w",8\n')
+    found = rows(read_csv_sheet(spark, f"{folder}/quoted", WORKLIST_SHEET), "text", "books", "occurrences")
+    assert found == [("a, b", "c,\nd, e, f, g", 7), ("x", 'y "z", w', 8)]
+
+
 def worklist_row(text, forms_hint=""):
     return dict(text=text, books=forms_hint, occurrences=1, firstOccurrence="x", latestOccurrence="y")
 
