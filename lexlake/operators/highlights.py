@@ -23,11 +23,13 @@ def tokens(highlights: DataFrame, strict: bool = False) -> DataFrame:
     Tokens of one character are dropped. Length is measured before trimming, as the reader's users expect ``" a"`` to
     survive; ``strict`` measures it after.
     """
-    pieces = highlights.select(
-        F.explode(token_array(F.col("text"))).alias("token"),
+    # label and time are made once per highlight, below the explode, not once per token
+    labelled = highlights.select(
+        token_array(F.col("text")).alias("tokens"),
         book_label(F.col("title"), F.col("authors")).alias("book"),
         epoch_to_timestamp(F.col("timeEdt")).alias("seenAt"),
     )
+    pieces = labelled.select(F.explode("tokens").alias("token"), "book", "seenAt")
     kept = pieces.where(F.length("token") > 1).select(clean_token(F.col("token")).alias("text"), "book", "seenAt")
     return kept.where(F.length("text") > 1) if strict else kept
 
@@ -45,7 +47,7 @@ def tokens_by_text(highlights: DataFrame, strict: bool = False) -> DataFrame:
     )
     return per_book.groupBy("text").agg(
         F.array_sort(F.collect_list("book")).alias("books"),
-        F.sum("n").cast("int").alias("occurrences"),
+        F.sum("n").alias("occurrences"),
         F.min("first").alias("firstOccurrence"),
         F.max("latest").alias("latestOccurrence"),
     )

@@ -44,7 +44,7 @@ def group_definitions(silver: DataFrame, since: int | None = None) -> DataFrame:
     key = list(GOLDEN.pk)
     stats = silver.groupBy(*key).agg(
         F.array_sort(F.collect_set("text")).alias("forms"),
-        F.sum("occurrences").cast("int").alias("occurrences"),
+        F.sum("occurrences").alias("occurrences"),
         F.min("firstOccurrence").alias("firstOccurrence"),
         F.max("latestOccurrence").alias("latestOccurrence"),
         F.max_by(F.struct(*LATEST), F.struct(UPDATED_AT, "text")).alias("newest"),

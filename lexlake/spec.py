@@ -35,14 +35,6 @@ class TableSpec:
     def attributes(self) -> tuple[str, ...]:
         return tuple(self.schema.names)
 
-    @property
-    def non_pk(self) -> tuple[str, ...]:
-        return tuple(c for c in self.attributes if c not in self.pk)
-
-    @property
-    def business_non_pk(self) -> tuple[str, ...]:
-        return tuple(c for c in self.non_pk if c not in self.metadata)
-
     def fields(self, names: Iterable[str]) -> list[T.StructField]:
         return [self.schema[n] for n in names]
 
@@ -71,7 +63,7 @@ def schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
-_SEEN = {"books": TEXTS, "occurrences": INT, "firstOccurrence": TIME, "latestOccurrence": TIME}
+_SEEN = {"books": TEXTS, "occurrences": LONG, "firstOccurrence": TIME, "latestOccurrence": TIME}
 _SENSE_ARRAYS = {"examples": TEXTS, "synonyms": TEXTS, "antonyms": TEXTS}
 
 MARKS = TableSpec(
@@ -146,14 +138,14 @@ GOLDEN = TableSpec(
 VOCABULARY_SHEET = TableSpec(
     name="vocabulary",
     schema=schema(
-        id=INT,
+        id=LONG,
         status=TEXT,
         normalizedText=TEXT,
         partOfSpeech=TEXT,
         phonetic=TEXT,
         forms=TEXT,
         sources=TEXT,
-        occurrences=INT,
+        occurrences=LONG,
         firstOccurrence=TEXT,
         latestOccurrence=TEXT,
         definition=TEXT,
@@ -183,7 +175,7 @@ VOCABULARY_CSV = TableSpec(
 
 WORKLIST_SHEET = TableSpec(
     name="worklist",
-    schema=schema(text=TEXT, books=TEXT, occurrences=INT, firstOccurrence=TEXT, latestOccurrence=TEXT),
+    schema=schema(text=TEXT, books=TEXT, occurrences=LONG, firstOccurrence=TEXT, latestOccurrence=TEXT),
     pk=("text",),
 )
 

@@ -1,6 +1,6 @@
 from helpers import at, frame, plan, rows
 
-from lexlake.operators.highlights import tokens_by_text, top_tokens
+from lexlake.operators.highlights import tokens, tokens_by_text, top_tokens
 from lexlake.operators.merges import merge_accumulate
 from lexlake.plans.jobs import update_bronze
 from lexlake.sources.keyed_tables import KeyedTable
@@ -21,6 +21,19 @@ def epoch(seconds):
     return at(f"1970-01-01T00:00:0{seconds}")
 
 
+def test_counts_beyond_32_bits_add_up(spark):
+    many = dict(text="t", books=["b"], occurrences=2_000_000_000, firstOccurrence=FIRST, latestOccurrence=FIRST, updatedAt=FIRST)
+    merged = merge_accumulate(frame(spark, BRONZE, many), frame(spark, BRONZE, many))
+    assert rows(merged, "occurrences") == [(4_000_000_000,)]
+
+
+def test_the_book_label_is_made_once_per_highlight(spark):
+    highlights = frame(spark, STAGE, dict(oid=1, text="a!b", title="t", authors="x", timeEdt=1))
+    lines = plan(tokens(highlights)).split("\n")
+    at = {name: next(i for i, line in enumerate(lines) if name in line) for name in ("Generate", "format_string")}
+    assert at["format_string"] > at["Generate"]  # below it
+
+
 def test_punctuation_splits_and_single_characters_drop(spark):
     stage = frame(
         spark,
