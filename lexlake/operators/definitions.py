@@ -19,27 +19,28 @@ def undefined_rows(silver: DataFrame) -> DataFrame:
     return silver.where(is_undefined())
 
 
-def never_seen(updates: DataFrame, silver: DataFrame) -> DataFrame:
-    """Updated tokens silver does not hold at all."""
-    return updates.join(silver.select("text"), "text", "left_anti")
-
-
-def still_undefined(updates: DataFrame, silver: DataFrame) -> DataFrame:
-    """Updated tokens silver holds without a definition."""
-    return updates.join(undefined_rows(silver).select("text"), "text", "left_semi")
-
-
-def waiting_for_retry(updates: DataFrame, silver: DataFrame) -> DataFrame:
-    """Undefined tokens without an update, with their stored statistics and stamp."""
-    waiting = undefined_rows(silver).join(updates.select("text"), "text", "left_anti")
-    return waiting.select(*BRONZE.attributes)
-
-
-def undefined_requests(updates: DataFrame, silver: DataFrame) -> DataFrame:
-    """Every token to look up in this run: new, updated but undefined, and undefined from before."""
-    wanted = [never_seen(updates, silver), still_undefined(updates, silver), waiting_for_retry(updates, silver)]
-    new, again, retry = (df.select(*BRONZE.attributes) for df in wanted)
-    return new.union(again).union(retry)
+def request_states(updates: DataFrame, silver: DataFrame) -> DataFrame:
+    """Tokens without a definition, each with why it is to be looked up: bronze columns and ``state``.
+
+    ``new``: updated, not in silver. ``again``: updated, in silver without a definition. ``retry``: in silver without a
+    definition and not updated, with its stored statistics and stamp. Silver is read once: one row per text is joined to
+    the updates, and both lie bucketed on the text.
+    """
+    bare = F.when(is_undefined(), F.struct(*BRONZE.attributes))
+    stored = silver.groupBy("text").agg(F.min(bare).alias("bare"), F.lit(True).alias("known"))
+    new, old = qualified("new"), qualified("old")
+    fresh = updates.select(*BRONZE.attributes, F.lit(True).alias("updated")).alias("new")
+    joined = fresh.join(stored.alias("old"), new("text") == old("text"), "full_outer")
+    wanted = joined.where(old("known").isNull() | old("bare").isNotNull())
+    state = F.when(old("known").isNull(), "new").when(new("updated"), "again").otherwise("retry")
+    pick = [F.when(new("updated"), new(c)).otherwise(F.col(f"old.bare.{c}")).alias(c) for c in BRONZE.attributes]
+    return wanted.select(*pick, state.alias("state"))
+
+
+def undefined_requests(updates: DataFrame, silver: DataFrame, retry: bool = True) -> DataFrame:
+    """Every token to look up in this run: new, updated but undefined and, with ``retry``, undefined from before."""
+    wanted = request_states(updates, silver)
+    return (wanted if retry else wanted.where("state <> 'retry'")).drop("state")
 
 
 def refresh_defined(updates: DataFrame, silver: DataFrame) -> DataFrame:

@@ -57,15 +57,18 @@ class Lake:
             **settings,
         )
 
-    def update_internal(self, marks: DataFrame, now: datetime) -> DataFrame:
+    def update_internal(
+        self, marks: DataFrame, now: datetime, in_order: bool = True, retry: bool = True
+    ) -> DataFrame:
         """marks -> stage -> bronze -> silver -> golden; returns golden.
 
-        Every run needs a later ``now`` than the one before, as updates are found by their stamps.
+        ``in_order`` tells whether marks come by rising ids (see `update_stage`), ``retry`` whether tokens that stayed
+        undefined are asked for again. Every run needs a later ``now`` than the one before, as updates are found by their stamps.
         """
         self.check_clock(now)
-        staged = jobs.update_stage(marks, self.stage, now)
+        staged = jobs.update_stage(marks, self.stage, now, in_order)
         bronze = jobs.update_bronze(staged, self.bronze, now)
-        silver = jobs.update_silver(bronze, self.silver, self.define, now, self.fill_missing)
+        silver = jobs.update_silver(bronze, self.silver, self.define, now, self.fill_missing, retry)
         return jobs.update_golden(silver, self.golden, self.translate, self.find_usage, now)
 
     def check_clock(self, now: datetime) -> None:

@@ -1,10 +1,12 @@
 import json
 import os
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from helpers import at, frame, rows
 from pyspark.sql import functions as F
 
+from lexlake.functions import fixed_values as fixed
 from lexlake.operators.enrichment import (
     DEFINITION_POLICY,
     ResponseTable,
@@ -20,7 +22,7 @@ from lexlake.sources.keyed_tables import KeyedTable
 from lexlake.spec import BRONZE, MARKS, TEXT, schema
 
 REQUESTS = schema(request=TEXT, response=TEXT)
-ENTRIES = "https://api.dictionaryapi.dev/api/v2/entries/en/"
+ENTRIES = f"{fixed.DEFINITION_ENDPOINT}/"
 DAY = [None, at("2020-01-01"), at("2020-01-02"), at("2020-01-03"), at("2020-01-04")]
 
 
@@ -208,6 +210,31 @@ def test_arriving_marks_update_the_lake(spark, folder):
     ]
 
 
+def test_marks_may_arrive_in_any_order(spark, folder):
+    """Ids 5, then 3, then 4 and 6; an empty batch asks for nothing until the retry is due."""
+    asked = []
+    lake = open_lake(spark, f"{folder}/lake_late_marks")
+    define = lake.define
+
+    def counted(tokens):
+        asked.append(sorted(r.text for r in tokens.select("text").collect()))
+        return define(tokens)
+
+    lake.define = counted
+    days = iter([datetime(2020, 1, d, tzinfo=timezone.utc) for d in range(1, 9)])
+    every = marks(spark, "one!", "two!", "three!", "four!", "duck!", "six!")
+    for n, ids in enumerate(("5", "3", "4, 6")):
+        every.where(f"oid IN ({ids})").coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
+        if n == 0:
+            stream = spark.readStream.schema(MARKS.schema).parquet(f"{folder}/arrivals")
+        update_on_arrival(
+            stream, lake, f"{folder}/checkpoint", lambda: next(days), retry_every=timedelta(days=100)
+        ).awaitTermination(120)
+    assert rows(lake.stage.read(), "oid") == [(3,), (4,), (5,), (6,)]
+    assert rows(lake.bronze.snapshot(), "text") == [("duck",), ("four",), ("six",), ("three",)]
+    assert asked[-1] == ["four", "six", "three"] or asked[-1] == ["four", "six"]
+
+
 def test_jobs_leave_no_scratch_behind(spark, folder):
     work = spark.conf.get("spark.checkpoint.dir")
     before = set(os.listdir(work)) if os.path.exists(work) else set()

@@ -16,24 +16,24 @@ from lexlake.spec import BRONZE, GOLDEN, INT, SILVER, TEXT, TEXTS, TableSpec, sc
 T1, T2, T4, T5, NOW = (at(f"1999-01-0{d}T01:01:01") for d in (1, 2, 4, 5, 9))
 
 SENSES = {
-    "die hard": dict(normalizedText="die hard", definition="change slowly", examples=["habits"], synonyms=[], antonyms=[]),
-    "diehard": dict(
-        normalizedText="diehard",
-        phonetic="ˈdʌɪhɑːd",
+    "give way": dict(normalizedText="give way", definition="make room", examples=["at a crossing"], synonyms=[], antonyms=[]),
+    "weasel": dict(
+        normalizedText="weasel",
+        phonetic="ˈwiːzl",
         partOfSpeech="noun",
-        definition="one who opposes change",
-        examples=["a fan"],
-        synonyms=["hard-line", "...", "blimp"],
-        antonyms=["modernizer"],
+        definition="a small hunter",
+        examples=["a den"],
+        synonyms=["stoat", "...", "ermine"],
+        antonyms=["rabbit"],
     ),
-    "peevish": dict(
-        normalizedText="peevish",
-        phonetic="ˈpiːvɪʃ",
+    "sullen": dict(
+        normalizedText="sullen",
+        phonetic="ˈsʌlən",
         partOfSpeech="adjective",
-        definition="irritable",
-        examples=["a voice"],
-        synonyms=["miffy"],
-        antonyms=["affable"],
+        definition="gloomy",
+        examples=["a sky"],
+        synonyms=["dour"],
+        antonyms=["cheery"],
     ),
     None: {},
 }
@@ -70,17 +70,17 @@ def test_defined_tokens_are_refreshed_without_a_request(spark, folder):
     silver = silver_with(
         spark,
         folder,
-        defined("die hard", T1, "die hard"),
-        defined("die hard", T1, "diehard"),
-        defined("diehard", T1, "diehard"),
-        defined("peevish", T1, "peevish"),
+        defined("give way", T1, "give way"),
+        defined("give way", T1, "weasel"),
+        defined("weasel", T1, "weasel"),
+        defined("sullen", T1, "sullen"),
     )
     bronze = frame(
         spark,
         BRONZE,
-        token("die hard", T4, n=2, first=T2, latest=T4),
-        token("diehard", T1),
-        token("peevish", T4, n=3, books=("b", "b2")),
+        token("give way", T4, n=2, first=T2, latest=T4),
+        token("weasel", T1),
+        token("sullen", T4, n=3, books=("b", "b2")),
     )
     seen = []
     result = update_silver(bronze, silver, recording({}, seen), NOW)
@@ -90,47 +90,47 @@ def test_defined_tokens_are_refreshed_without_a_request(spark, folder):
         frame(
             spark,
             SILVER,
-            defined("die hard", NOW, "die hard", n=2, first=T2, latest=T4),
-            defined("die hard", NOW, "diehard", n=2, first=T2, latest=T4),
-            defined("diehard", T1, "diehard"),
-            defined("peevish", NOW, "peevish", n=3, books=("b", "b2")),
+            defined("give way", NOW, "give way", n=2, first=T2, latest=T4),
+            defined("give way", NOW, "weasel", n=2, first=T2, latest=T4),
+            defined("weasel", T1, "weasel"),
+            defined("sullen", NOW, "sullen", n=3, books=("b", "b2")),
         ),
     )
 
 
 def test_new_updated_and_waiting_tokens_are_looked_up(spark, folder):
     stored = [
-        defined("die hard", T4, "die hard"),
-        defined("die hard", T4, "diehard"),
-        defined("peevish", T4, "peevish"),
-        defined("agsbgf", T4, None),
+        defined("give way", T4, "give way"),
+        defined("give way", T4, "weasel"),
+        defined("sullen", T4, "sullen"),
+        defined("zzyx", T4, None),
         defined("waiting", T4, None),
     ]
     silver = silver_with(spark, folder, *stored)
     bronze = frame(
         spark,
         BRONZE,
-        token("agsbgf", T5, n=2),
-        token("diehard", T5, n=3, books=("b", "b2")),
-        token("die hard", T1),
-        token("peevish", T5, n=2),
+        token("zzyx", T5, n=2),
+        token("weasel", T5, n=3, books=("b", "b2")),
+        token("give way", T1),
+        token("sullen", T5, n=2),
         token("waiting", T1),
     )
     found = dict(normalizedText="waiting", definition="found late", examples=[], synonyms=[], antonyms=[])
     seen = []
-    define = recording({"diehard": [SENSES["diehard"]], "waiting": [found]}, seen)
+    define = recording({"weasel": [SENSES["weasel"]], "waiting": [found]}, seen)
     result = update_silver(bronze, silver, define, NOW)
     # the waiting token carries its stored stamp
-    assert seen == [("agsbgf", 2, T5), ("diehard", 3, T5), ("waiting", 1, T4)]
+    assert seen == [("waiting", 1, T4), ("weasel", 3, T5), ("zzyx", 2, T5)]
     same(
         result,
         frame(
             spark,
             SILVER,
             *stored[:2],
-            defined("peevish", NOW, "peevish", n=2),
-            defined("diehard", NOW, "diehard", n=3, books=("b", "b2")),
-            defined("agsbgf", NOW, None, n=2),
+            defined("sullen", NOW, "sullen", n=2),
+            defined("weasel", NOW, "weasel", n=3, books=("b", "b2")),
+            defined("zzyx", NOW, None, n=2),
             {**token("waiting", NOW), **found},
         ),
     )
@@ -144,14 +144,14 @@ def test_filling_defaults_on_request(spark, folder):
     assert rows(result, *SILVER.enriched) == [(missing, missing, missing, missing, (missing,), (missing,), (missing,))]
     # a filled row counts as undefined and gives way once there is a definition
     again = update_silver(
-        frame(spark, BRONZE, token("x", T1)), silver, recording({"x": [SENSES["peevish"]]}, []), T1, fill_missing=True
+        frame(spark, BRONZE, token("x", T1)), silver, recording({"x": [SENSES["sullen"]]}, []), T1, fill_missing=True
     )
-    assert rows(again, "text", "definition") == [("x", "irritable")]
+    assert rows(again, "text", "definition") == [("x", "gloomy")]
 
 
 def test_a_repeated_definition_is_stored_once(spark, folder):
     silver = silver_with(spark, folder)
-    twice = [SENSES["peevish"], {**SENSES["peevish"], "partOfSpeech": "noun"}]
+    twice = [SENSES["sullen"], {**SENSES["sullen"], "partOfSpeech": "noun"}]
     result = update_silver(frame(spark, BRONZE, token("p", T1)), silver, recording({"p": twice}, []), NOW)
     assert rows(result, "text", "partOfSpeech") == [("p", "adjective")]
 
@@ -162,13 +162,13 @@ def test_defined_and_undefined_are_complements(spark):
 
 
 def test_merge_replaces_null_keys_too(spark):
-    current = frame(spark, SILVER, defined("a", T1, None), defined("b", T1, None), defined("c", T1, "peevish"))
-    updates = frame(spark, SILVER, defined("a", NOW, None), defined("b", NOW, "peevish"), defined("c", NOW, "diehard"))
+    current = frame(spark, SILVER, defined("a", T1, None), defined("b", T1, None), defined("c", T1, "sullen"))
+    updates = frame(spark, SILVER, defined("a", NOW, None), defined("b", NOW, "sullen"), defined("c", NOW, "weasel"))
     assert rows(merge_replace(current, updates), "text", "definition", "updatedAt") == [
         ("a", None, NOW),
-        ("b", "irritable", NOW),
-        ("c", "irritable", T1),
-        ("c", "one who opposes change", NOW),
+        ("b", "gloomy", NOW),
+        ("c", "a small hunter", NOW),
+        ("c", "gloomy", T1),
     ]
 
 
@@ -201,7 +201,9 @@ def test_joins_on_the_shared_bucket_column_need_no_shuffle(spark, folder):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "Exchange" not in plan(undefined_requests(bronze.snapshot(), silver.snapshot()))
+        text = plan(undefined_requests(bronze.snapshot(), silver.snapshot()))
+        assert "Exchange" not in text
+        assert text.count("FileScan") == 2  # silver once, bronze once
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
@@ -223,12 +225,12 @@ def test_origins_meanings_and_definitions_are_flattened(spark):
     response = json.dumps(
         [
             {
-                "word": "die hard",
+                "word": "give way",
                 "phonetics": [{}],
                 "meanings": [{"definitions": [{"definition": "slow", "example": "e", "synonyms": [], "antonyms": []}]}],
             },
             {
-                "word": "diehard",
+                "word": "weasel",
                 "phonetic": "/d/",
                 "origin": "ignored",
                 "meanings": [
@@ -245,10 +247,10 @@ def test_origins_meanings_and_definitions_are_flattened(spark):
         ]
     )
     assert flattened(spark, response) == [
-        ("t", "die hard", None, None, "slow", ("e",), (), ()),
-        ("t", "diehard", "/d/", "noun", "d1", (), ("...", "s"), ("a",)),
-        ("t", "diehard", "/d/", "noun", "d2", ("e2",), (), ()),
-        ("t", "diehard", "/d/", "verb", None, None, None, None),
+        ("t", "give way", None, None, "slow", ("e",), (), ()),
+        ("t", "weasel", "/d/", "noun", "d1", (), ("...", "s"), ("a",)),
+        ("t", "weasel", "/d/", "noun", "d2", ("e2",), (), ()),
+        ("t", "weasel", "/d/", "verb", None, None, None, None),
     ]
 
 
