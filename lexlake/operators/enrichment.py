@@ -21,8 +21,11 @@ from lexlake.sources.files import bucket_folder, qualify
 from lexlake.sources.keyed_tables import DEFAULT_BUCKETS
 from lexlake.spec import UPDATED_AT
 
-# status recorded when the TLS handshake with the service fails
+# status recorded when the TLS handshake with the service fails, and when a call ends in any other error
 TLS_FAILURE = -1
+CALL_FAILURE = -2
+# seconds a round sends before its answers are stored
+ROUND_SECONDS = 600.0
 
 # one request -> (status, body); built once per task from the request rate the task may use
 Fetch = Callable[[str], tuple[int, str | None]]
@@ -41,11 +44,15 @@ class EnrichmentError(RuntimeError):
 
 @dataclass(frozen=True)
 class ResponsePolicy:
-    """What to do with an answer: a struct column (outcome, value, reason) over status, body and attempt."""
+    """What to do with an answer: a struct column (outcome, value, reason) over status, body and attempt.
+
+    ``limits`` are the statuses after which a task stops sending until the pause is over.
+    """
 
     name: str
     pause_seconds: int
     decide: Callable[[Column, Column, Column], Column]
+    limits: tuple[int, ...] = (429,)
 
 
 def _outcome(outcome: str, value: Column | None = None, reason: Column | None = None) -> Column:
@@ -115,20 +122,24 @@ def _decide_usage(status: Column, body: Column, attempt: Column) -> Column:
 
 
 DEFINITION_POLICY = ResponsePolicy("definition", 5 * 60, _decide_definition)
-TRANSLATION_POLICY = ResponsePolicy("translation", 60, _decide_translation)
+TRANSLATION_POLICY = ResponsePolicy("translation", 60, _decide_translation, limits=(429, 500, 503))
 USAGE_POLICY = ResponsePolicy("usage", 60, _decide_usage)
 
 
 def classify_responses(attempts: DataFrame, policy: ResponsePolicy) -> DataFrame:
-    """Add outcome (``value`` / ``retry`` / ``fail``), value and reason to rows of (attempt, status, body)."""
-    decided = attempts.withColumn("_d", policy.decide(F.col("status"), F.col("body"), F.col("attempt")))
+    """Add outcome (``value`` / ``retry`` / ``fail`` / ``unsent``), value and reason to rows of (attempt, status, body).
+
+    A request without a status was not sent.
+    """
+    decision = policy.decide(F.col("status"), F.col("body"), F.col("attempt"))
+    decided = attempts.withColumn("_d", F.when(F.col("status").isNull(), _outcome("unsent")).otherwise(decision))
     return decided.select(*attempts.columns, "_d.outcome", "_d.value", "_d.reason")
 
 
 def accepted_values(classified: DataFrame) -> DataFrame:
     """Only the answered requests, as (request, response); reading a failed one raises."""
     failed = F.raise_error(F.concat_ws(": ", F.lit("enrichment failed"), "request", "reason"))
-    return classified.where(F.col("outcome") != "retry").select(
+    return classified.where(F.col("outcome").isin("value", "fail")).select(
         "request", F.when(F.col("outcome") == "fail", failed.cast("string")).otherwise(F.col("value")).alias("response")
     )
 
@@ -138,8 +149,19 @@ def task_rate(total_rps: float | None, partitions: int, default_parallelism: int
     return None if total_rps is None else total_rps / max(partitions, default_parallelism)
 
 
-def send(requests: DataFrame, connect: Connect, total_rps: float | None = None, partitions: int | None = None) -> DataFrame:
-    """Send each request once: (request) -> (request, status, body). The only step that leaves the JVM."""
+def send(
+    requests: DataFrame,
+    connect: Connect,
+    total_rps: float | None = None,
+    partitions: int | None = None,
+    limits: tuple[int, ...] = (),
+    seconds: float | None = None,
+) -> DataFrame:
+    """Send each request once: (request) -> (request, status, body). The only step that leaves the JVM.
+
+    A task stops sending after an answer with a status in ``limits``, after a call that raises, which counts as the
+    answer `CALL_FAILURE`, and after ``seconds``; what it has not sent comes back without a status.
+    """
     parallelism = requests.sparkSession.sparkContext.defaultParallelism
     tasks = partitions or parallelism
     rate = task_rate(total_rps, tasks, parallelism)
@@ -147,14 +169,26 @@ def send(requests: DataFrame, connect: Connect, total_rps: float | None = None,
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fetch = connect(rate)
         due = time.monotonic()
+        end = None if seconds is None else due + seconds
+        stopped = False
         for batch in batches:
             answers = []
             for request in batch["request"]:
+                stopped = stopped or (end is not None and time.monotonic() > end)
+                if stopped:
+                    answers.append((request, None, None))
+                    continue
                 if rate is not None:
                     time.sleep(max(0.0, due - time.monotonic()))
                     due = max(due, time.monotonic()) + 1.0 / rate
-                answers.append((request, *fetch(request)))
-            yield pd.DataFrame(answers, columns=["request", "status", "body"])
+                try:
+                    status, body = fetch(request)
+                except Exception as error:  # noqa: BLE001  whatever a client raises is an answer the policy fails on
+                    status, body = CALL_FAILURE, f"{type(error).__name__}: {error}"
+                stopped = status in limits or status == CALL_FAILURE
+                answers.append((request, status, body))
+            out = pd.DataFrame(answers, columns=["request", "status", "body"])
+            yield out.astype({"status": "Int32"})
 
     return requests.select("request").repartition(tasks).mapInPandas(call, "request string, status int, body string")
 
@@ -216,31 +250,45 @@ def remote_lookup(
     total_rps: float | None = None,
     partitions: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
+    round_seconds: float = ROUND_SECONDS,
 ) -> Lookup:
     """Look requests up in the response table, asking the service for those it lacks.
 
-    Each round sends the open requests once, stores the answers, stops the run on a failure and pauses before it sends
-    again what has to be retried. Answers are stored before the run can stop, so the next run resumes. Empty answers
-    are not stored: the service may know the text next time.
+    Each round sends open requests, stores the answers, stops the run on a failure and, where the service asked for it,
+    pauses before the next. A task ends its round at the first answer that says stop, and after ``round_seconds``; the
+    requests it has left stay open and that was no attempt. Answers are stored before the run can stop, so that at
+    most one round is lost with a task, and the next run resumes. Empty answers are not stored: the service may know
+    the text next time.
     """
 
     def lookup(df: DataFrame) -> DataFrame:
-        asked = table.aligned(request_keys(df, ["request"]))
-        open_requests = asked.join(table.read().select("request"), "request", "left_anti")
-        attempt = 1
+        wanted = written(table.aligned(request_keys(df, ["request"])), f"{policy.name}-requests")
+        open_requests = (
+            table.aligned(wanted)
+            .join(table.read().select("request"), "request", "left_anti")
+            .withColumn("attempt", F.lit(1))
+        )
         while True:
-            sent = send(open_requests, connect, total_rps, partitions).withColumn("attempt", F.lit(attempt))
-            outcomes = classify_responses(written(sent, f"{policy.name}-attempt"), policy)
+            open_requests = written(open_requests, f"{policy.name}-open")
+            sent = send(open_requests, connect, total_rps, partitions, policy.limits, round_seconds)
+            # what a service is asked must not be asked again, so the answers are written before anything reads them
+            sent = written(sent, f"{policy.name}-attempt").join(open_requests, "request")
+            outcomes = classify_responses(sent, policy)
             answered = outcomes.where((F.col("outcome") == "value") & (F.col("value") != ""))
             table.append(answered.select("request", F.col("value").alias("response")))
             failure = outcomes.where(F.col("outcome") == "fail").select("request", "reason").first()
             if failure is not None:
                 raise EnrichmentError(f"{policy.name} request `{failure['request']}`: {failure['reason']}")
-            open_requests = outcomes.where(F.col("outcome") == "retry").select("request")
+            again = F.col("outcome") == "retry"
+            open_requests = outcomes.where(again | (F.col("outcome") == "unsent")).select(
+                "request", (F.col("attempt") + again.cast("int")).alias("attempt")
+            )
             if open_requests.isEmpty():
-                return table_lookup(table.read())(table.aligned(df))
-            sleep(policy.pause_seconds)
-            attempt += 1
+                # the stored answers meet the distinct requests, and only these meet the rows, where a hot one may be split
+                found = table.aligned(wanted).join(table.read(), "request")
+                return table_lookup(found)(df)
+            if not outcomes.where(again).isEmpty():
+                sleep(policy.pause_seconds)
 
     return lookup
 

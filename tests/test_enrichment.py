@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from helpers import frame, plan, rows
@@ -50,20 +51,20 @@ def translated(spark, records, responses, match="contains"):
 
 def test_translations_follow_the_part_of_speech(spark):
     records = [
-        ("verbatim", "adjective", ["verbatim"], "word for word"),
+        ("literal", "adjective", ["literal"], "word for word"),
         ("duck", "verb", ["duck"], "evade"),
         ("duck", "noun", ["duck"], "bird"),
         ("duck", "noun", ["duck"], "flesh"),
     ]
     responses = {
-        "verbatim": response("verbatim", ("дословно", "ADJ")),
-        "duck": response("duck", ("утка", "NOUN"), ("Дак", "NOUN"), ("Дак", "NOUN"), ("нырять", "VERB", "to")),
+        "literal": response("literal", ("буквально", "ADJ")),
+        "duck": response("duck", ("утка", "NOUN"), ("Кря", "NOUN"), ("Кря", "NOUN"), ("нырять", "VERB", "to")),
     }
     assert translated(spark, records, responses) == [
-        ("bird", ("duck",), ("Дак", "утка")),
+        ("bird", ("duck",), ("Кря", "утка")),
         ("evade", ("duck",), ("нырять (to)",)),
-        ("flesh", ("duck",), ("Дак", "утка")),
-        ("word for word", ("verbatim",), ("дословно",)),
+        ("flesh", ("duck",), ("Кря", "утка")),
+        ("word for word", ("literal",), ("буквально",)),
     ]
 
 
@@ -79,23 +80,23 @@ def test_no_translation_is_an_empty_list(spark):
 
 def test_translations_of_an_unmatched_tag_go_to_all(spark):
     records = [
-        ("verbatim", "noun", ["verbatim"], "report"),
-        ("verbatim", "adverb", ["verbatim"], "orally"),
+        ("literal", "noun", ["literal"], "report"),
+        ("literal", "adverb", ["literal"], "orally"),
         ("duck", "verb", ["duck"], "evade"),
         ("duck", "verb", ["duck"], "lower"),
         ("duck", None, ["duck"], "no part of speech"),
     ]
     responses = {
-        "verbatim": response("verbatim", ("дословно", "ADJ")),
-        "duck": response("duck", ("утка", "NOUN"), ("странно", "XYZ"), ("немо", None), ("нырять", "VERB")),
+        "literal": response("literal", ("буквально", "ADJ")),
+        "duck": response("duck", ("утка", "NOUN"), ("чудно", "XYZ"), ("тихо", None), ("нырять", "VERB")),
     }
-    everywhere = ("немо", "странно", "утка")
+    everywhere = ("тихо", "утка", "чудно")
     assert translated(spark, records, responses) == [
         ("evade", ("duck",), tuple(sorted((*everywhere, "нырять")))),
         ("lower", ("duck",), tuple(sorted((*everywhere, "нырять")))),
         ("no part of speech", ("duck",), everywhere),
-        ("orally", ("verbatim",), ("дословно",)),
-        ("report", ("verbatim",), ("дословно",)),
+        ("orally", ("literal",), ("буквально",)),
+        ("report", ("literal",), ("буквально",)),
     ]
 
 
@@ -169,33 +170,33 @@ def test_usage_is_the_mean_of_all_points(spark):
     responses = {
         url("duck_NOUN"): series((0.1, 0.2, 0.3, 0.4)),
         url("duck_VERB"): series((0.01, 0.02, 0.03, 0.04)),
-        url("Univercity+of+*"): series((0.1, 0.2, 0.3, 0.4), (0.5, 0.6, 0.7, 0.8)),
-        url("lolkek"): "[]",
+        url("Bank+of+*"): series((0.1, 0.2, 0.3, 0.4), (0.5, 0.6, 0.7, 0.8)),
+        url("qsl"): "[]",
     }
     records = [
         ("duck", "noun", 1),
         ("duck", "noun", 2),
         ("duck", "verb", 3),
-        ("Univercity of *", None, 4),
-        ("lolkek", "abbreviation", 5),
+        ("Bank of *", None, 4),
+        ("qsl", "abbreviation", 5),
         ("unheard", "noun", 6),
     ]
     assert usages(spark, records, responses) == [
-        ("Univercity of *", None, 4, 0.45),
+        ("Bank of *", None, 4, 0.45),
         ("duck", "noun", 1, 0.25),
         ("duck", "noun", 2, 0.25),
         ("duck", "verb", 3, 0.025),
-        ("lolkek", "abbreviation", 5, None),
+        ("qsl", "abbreviation", 5, None),
         ("unheard", "noun", 6, None),
     ]
 
 
 def test_usage_keys(spark):
-    df = frame(spark, schema(t=TEXT, p=TEXT), ("die hard", None), ("MY", "abbreviation"), ("up", "infinitive marker"))
+    df = frame(spark, schema(t=TEXT, p=TEXT), ("give way", None), ("MY", "abbreviation"), ("up", "infinitive marker"))
     keys = rows(df.select(usage_query(F.col("t"), F.col("p"))))
-    assert keys == [("MY:eng_2019",), ("die hard:eng_2019",), ("up_PRT:eng_2019",)]
+    assert keys == [("MY:eng_2019",), ("give way:eng_2019",), ("up_PRT:eng_2019",)]
     built = rows(df.select(usage_request(F.col("t"), F.col("p"), "eng_2012", 1990, 2000)))
-    assert built[1] == ("https://books.google.com/ngrams/json?content=die+hard%3Aeng_2012&year_start=1990&year_end=2000",)
+    assert built[1] == ("https://books.google.com/ngrams/json?content=give+way%3Aeng_2012&year_start=1990&year_end=2000",)
 
 
 # ---- policies -----------------------------------------------------------------------------------------------------
@@ -227,13 +228,13 @@ def test_translation_policy(spark):
         (1, 404, error(403001)),
         (1, 503, " "),
         (1, 503, None),
-        (1, 301, "The resource is moved permanently"),
+        (1, 301, "gone to another address"),
     )
     assert [o for o, _ in result] == ["value", "retry", "retry", "fail", "fail", "fail", "fail", "fail"]
     assert "`503000`" in reasons[3] and "`busy`" in reasons[3] and "`3` retries" in reasons[3]
     assert "`403001`" in reasons[4]
     assert "empty body" in reasons[5] and "empty body" in reasons[6]
-    assert "`The resource is moved permanently`" in reasons[7]
+    assert "`gone to another address`" in reasons[7]
 
 
 def test_usage_policy(spark):
@@ -328,6 +329,64 @@ def test_a_text_not_found_is_asked_again_next_time(spark, folder):
     assert rows(lookup(asked(spark, "a")), "response") == [("found",)]
 
 
+def test_a_limit_stops_the_task(spark, folder):
+    """A service that limits after two answers per task and round: at most one call more than that before the pause."""
+    os.mkdir(f"{folder}/calls")
+    pauses = []
+
+    def connect(rate):
+        state = {"n": 0}
+
+        def fetch(request):
+            state["n"] += 1
+            open(f"{folder}/calls/{request}#{len(pauses)}-{len(os.listdir(f'{folder}/calls'))}", "w").close()
+            return (429, "") if state["n"] > 2 else (200, "ok")
+
+        return fetch
+
+    lookup = remote_lookup(
+        ResponseTable(spark, f"{folder}/r"), connect, DEFINITION_POLICY, partitions=2, sleep=pauses.append
+    )
+    found = lookup(asked(spark, *[f"w{n}" for n in range(12)]))
+    assert {r.response for r in found.collect()} == {"ok"}
+    calls = len(os.listdir(f"{folder}/calls"))
+    assert calls <= 12 + 2 * len(pauses) and len(pauses) >= 2
+
+
+def test_an_error_in_a_call_keeps_the_answers_before_it(spark, folder):
+    os.mkdir(f"{folder}/calls")
+
+    def answer(request, n):
+        if request == "w5" and n == 1:
+            raise ConnectionError("line is dead")
+        return 200, "ok"
+
+    table = ResponseTable(spark, f"{folder}/r")
+    lookup = remote_lookup(
+        table, logged_service(f"{folder}/calls", answer), DEFINITION_POLICY, partitions=1, sleep=None
+    )
+    requests = asked(spark, *[f"w{n}" for n in range(12)])
+    with pytest.raises(EnrichmentError, match="w5.*line is dead"):
+        lookup(requests)
+    before = len(os.listdir(f"{folder}/calls"))
+    assert table.read().count() == before - 1
+    assert {r.response for r in lookup(requests).collect()} == {"ok"}
+    assert len(os.listdir(f"{folder}/calls")) == 13
+
+
+def test_a_round_ends_after_its_seconds(spark):
+    def connect(rate):
+        def fetch(request):
+            time.sleep(0.2)
+            return 200, "ok"
+
+        return fetch
+
+    sent = send(asked(spark, *"abcdef"), connect, partitions=1, seconds=0.3)
+    statuses = [r.status for r in sent.collect()]
+    assert 0 < statuses.count(200) < 6 and statuses.count(200) + statuses.count(None) == 6
+
+
 def test_the_rate_is_shared_between_tasks(spark):
     assert task_rate(None, 4, 8) is None
     assert task_rate(1.6, 4, 8) == task_rate(1.6, 8, 2) == 0.2
