@@ -5,6 +5,8 @@ import pytest
 from helpers import plan
 
 import __spark_entry__ as entry_points
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -27,10 +29,11 @@ def ordered(rows):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = entry_points.queries()[name](spark, SF)
     columns = sorted(df.columns)
