@@ -414,10 +414,10 @@ ORACLES: dict[str, str] = {
     "stage_highlights": HIGHLIGHTS,
     "marks_csv": HIGHLIGHTS,
     "stage_incremental": """
-      SELECT doc_id AS oid, source AS title, lang AS authors, doc_id * 60 AS "timeEdt" FROM documents
+      SELECT doc_id AS oid, text, source AS title, lang AS authors, doc_id * 60 AS "timeEdt" FROM documents
       WHERE doc_id > (SELECT max(doc_id) // 2 FROM documents)""",
     "first_marks": """
-      SELECT doc_id AS oid, source AS title, lang AS authors, doc_id * 60 AS "timeEdt" FROM documents
+      SELECT doc_id AS oid, text, source AS title, lang AS authors, doc_id * 60 AS "timeEdt" FROM documents
       ORDER BY doc_id LIMIT 100""",
     "event_json": """
       SELECT event_type, count(json_extract(props, '$.k')) AS n, sum((json_extract(props, '$.k'))::BIGINT)::BIGINT AS sum_k,
@@ -571,7 +571,8 @@ ORACLES: dict[str, str] = {
         f"CASE WHEN status NOT IN (200, 429) THEN {UNEXPECTED} END",
     ),
     "enrich_cached": """
-      SELECT o_orderkey, c_name AS request, CASE WHEN c_mktsegment = 'BUILDING' THEN 'cached ' || c_custkey
+      SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'everyone' ELSE c_name END AS request,
+        CASE WHEN o_orderkey % 3 = 0 THEN reverse('everyone') WHEN c_mktsegment = 'BUILDING' THEN 'cached ' || c_custkey
         WHEN c_name LIKE '%7' THEN '' ELSE reverse(c_name) END AS response
       FROM orders JOIN customer ON o_custkey = c_custkey""",
     "publish_merge": with_ctes(
@@ -582,8 +583,9 @@ ORACLES: dict[str, str] = {
         *GOLDEN,
         EMPTY_SHEET,
         reconcile("empty_sheet", "golden", "', '"),
-        select=f"""SELECT id, word AS "normalizedText", def AS definition, forms, sources, examples, synonyms, antonyms,
-          translations, usage, '{DAY_2}' AS "updatedAt" FROM next_sheet""",
+        select=f"""SELECT id, status, word AS "normalizedText", pos AS "partOfSpeech", phonetic, forms, sources,
+          n AS occurrences, first AS "firstOccurrence", latest AS "latestOccurrence", def AS definition, examples,
+          synonyms, antonyms, translations, usage, '{DAY_2}' AS "updatedAt" FROM next_sheet""",
     ),
     "publish_ids": """
       SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id, o_orderkey
