@@ -10,6 +10,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from catalog.inputs import prepare  # noqa: E402
 from catalog.queries import QUERIES  # noqa: E402
 from lexlake.session import WORK_DIR_SETTING, session  # noqa: E402
 
@@ -28,11 +29,13 @@ HEADLINE = (
     "usage_attach",
     "enrich_cached",
     "publish_merge",
+    "publish_csv",
     "publish_ids",
     "worklist_substring",
     "worklist_form",
     "update_internal",
     "update_all",
+    "update_all_worklist",
 )
 
 
@@ -59,6 +62,8 @@ def main() -> None:
     spark.range(1_000_000).selectExpr("id % 7 AS k", "id").groupBy("k").sum("id").write.format("noop").mode(
         "overwrite"
     ).save()
+    # inputs that stand in for stored tables and services are not what is timed
+    prepare(spark, sf_dir)
     seconds = {}
     for name in names:
         begin = time.perf_counter()

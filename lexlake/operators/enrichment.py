@@ -18,7 +18,6 @@ from lexlake.operators.usage import USAGE_KEYS, attach_usage, request_keys
 from lexlake.session import written
 from lexlake.sources.append_tables import check_location, ensure_database
 from lexlake.sources.files import bucket_folder, qualify
-from lexlake.sources.keyed_tables import DEFAULT_BUCKETS
 from lexlake.spec import UPDATED_AT
 
 # status recorded when the TLS handshake with the service fails, and when a call ends in any other error
@@ -202,16 +201,15 @@ class ResponseTable:
 
     SCHEMA = "request string, response string"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = DEFAULT_BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark = spark
         self.path = path
-        self.buckets = buckets
         _, self.full_name = ensure_database(spark, path)
-        folder = bucket_folder(spark, path, buckets)
+        folder, self.buckets = bucket_folder(spark, path, buckets)
         check_location(spark, self.full_name, folder)
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.full_name} ({self.SCHEMA}) USING parquet "
-            f"CLUSTERED BY (request) SORTED BY (request) INTO {buckets} BUCKETS LOCATION '{qualify(spark, folder)}'"
+            f"CLUSTERED BY (request) SORTED BY (request) INTO {self.buckets} BUCKETS LOCATION '{qualify(spark, folder)}'"
         )
 
     def read(self) -> DataFrame:

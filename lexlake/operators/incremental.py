@@ -27,7 +27,11 @@ def new_by_max_key(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     return source if top is None else source.where(F.col(key) > F.lit(top))
 
 
+def newer_than(source: DataFrame, since: int | None, column: str = UPDATED_AT) -> DataFrame:
+    """Source rows stamped strictly later than ``since`` (epoch microseconds); every row when that is None."""
+    return source if since is None else source.where(F.col(column) > F.timestamp_micros(F.lit(since)))
+
+
 def new_by_watermark(source: DataFrame, target: DataFrame, column: str = UPDATED_AT) -> DataFrame:
     """Source rows stamped strictly later than anything in the target; every row when the target is empty."""
-    top = max_value(target, column)
-    return source if top is None else source.where(F.col(column) > F.timestamp_micros(F.lit(top)))
+    return newer_than(source, max_value(target, column), column)

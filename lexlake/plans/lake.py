@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexlake.functions.columns import to_micros
 from lexlake.operators.enrichment import Definer, Translator, UsageFinder
-from lexlake.operators.incremental import max_value
 from lexlake.plans import jobs
 from lexlake.sources.append_tables import AppendTable
-from lexlake.sources.keyed_tables import DEFAULT_BUCKETS, KeyedTable
+from lexlake.sources.keyed_tables import KeyedTable
 from lexlake.sources.sheet_store import SheetStore
-from lexlake.spec import BRONZE, GOLDEN, SILVER, STAGE, UPDATED_AT, VOCABULARY_SHEET, WORKLIST_SHEET
+from lexlake.spec import BRONZE, GOLDEN, SILVER, STAGE, VOCABULARY_SHEET, WORKLIST_SHEET
 
 
 @dataclass
@@ -39,7 +38,7 @@ class Lake:
         define: Definer,
         translate: Translator,
         find_usage: UsageFinder,
-        buckets: int = DEFAULT_BUCKETS,
+        buckets: int | None = None,
         stage_format: str = "csv",
         **settings,
     ) -> Lake:
@@ -73,8 +72,8 @@ class Lake:
 
     def check_clock(self, now: datetime) -> None:
         """Refuse a run that is not later than every stored stamp: its updates would be missed downstream."""
-        stamps = [max_value(t.snapshot(), UPDATED_AT) for t in (self.bronze, self.silver, self.golden)]
-        newest = max((s for s in (self.stage.newest_stamp(), *stamps) if s is not None), default=None)
+        stamps = [t.newest_stamp() for t in (self.stage, self.bronze, self.silver, self.golden)]
+        newest = max((s for s in stamps if s is not None), default=None)
         if newest is not None and to_micros(now) <= newest:
             raise ValueError(f"{now} is not later than the last run")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 
+from lexlake.functions.columns import to_micros
+from lexlake.operators.incremental import max_value
 from lexlake.sources.append_tables import check_location, ensure_database
 from lexlake.sources.files import bucket_folder, committed_versions, last_version, prune_versions, qualify
-from lexlake.spec import TableSpec
-
-DEFAULT_BUCKETS = 8
+from lexlake.spec import UPDATED_AT, TableSpec
 
 
 class KeyedTable:
@@ -17,16 +19,17 @@ class KeyedTable:
     A merge writes its result as a new version folder and then points the catalog table at it in one statement, so
     readers see the old or the new state, and a version is never written over while it is read. Versions are Parquet,
     hash-bucketed and sorted on the spec's ``bucketed_by`` columns: joins on these, and so the merges themselves, do
-    not shuffle the stored rows. Choose ``buckets`` so that one bucket fits a task (thousands, for a large table); it
-    stays the same for the life of the table, and should be equal for tables that are joined.
+    not shuffle the stored rows. Choose ``buckets`` so that one bucket fits a task (thousands, for a large table), and
+    the same for tables that are joined. To change it, open a table with the other number at a new path and make
+    this one's snapshot its first version: ``new.replace(old.snapshot())``.
     """
 
-    def __init__(self, spark: SparkSession, spec: TableSpec, path: str, buckets: int = DEFAULT_BUCKETS, keep: int = 1):
+    def __init__(self, spark: SparkSession, spec: TableSpec, path: str, buckets: int | None = None, keep: int = 1):
         self.spark = spark
         self.spec = spec
         self.path = path
-        self.folder = bucket_folder(spark, path, buckets)
-        self.buckets = buckets
+        self.folder, self.buckets = bucket_folder(spark, path, buckets)
+        self._stamp: tuple[int, int | None] | None = None
         self.keep = keep
         self.database, self.full_name = ensure_database(spark, path)
         self.ensure()
@@ -53,12 +56,23 @@ class KeyedTable:
     def snapshot(self) -> DataFrame:
         return self.spark.table(self.full_name)
 
+    def newest_stamp(self) -> int | None:
+        """Largest stamp in the table, in epoch microseconds; None if it is empty.
+
+        Remembered with the version it belongs to, so that only the first run after opening the table reads it.
+        """
+        versions = committed_versions(self.spark, self.folder)
+        version = versions[-1] if versions else 0
+        if self._stamp is None or self._stamp[0] != version:
+            self._stamp = (version, max_value(self.snapshot(), UPDATED_AT) if version else None)
+        return self._stamp[1]
+
     def aligned(self, updates: DataFrame) -> DataFrame:
         """Updates partitioned like the stored buckets, so that a merge moves the updates and not the table."""
         return updates.repartition(self.buckets, *self.spec.bucketed_by)
 
-    def replace(self, df: DataFrame) -> DataFrame:
-        """Make ``df``, which may read the current version, the next version."""
+    def replace(self, df: DataFrame, stamp: datetime | None = None) -> DataFrame:
+        """Make ``df``, which may read the current version, the next version; ``stamp`` is its newest, if known."""
         version = last_version(self.spark, self.folder) + 1
         location = self._location(version)
         incoming = f"{self.full_name[:-1]}__v{version}`"
@@ -75,4 +89,6 @@ class KeyedTable:
         self._point_to(location)
         self.spark.sql(f"DROP TABLE {incoming}")
         prune_versions(self.spark, self.folder, self.keep)
+        before = self._stamp[1] if self._stamp else None
+        self._stamp = None if stamp is None else (version, max(to_micros(stamp), before or 0))
         return self.snapshot()
