@@ -106,46 +106,67 @@ def _spread(marks: np.ndarray, excess: int) -> tuple[np.ndarray, np.ndarray]:
     return row, differences[at]
 
 
-def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, home) of all anchors that each fingerprint goes to; an anchor is named by 24 bits of its code word."""
+_MASK = np.uint64((1 << _N) - 1)
+
+
+def blocks_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two blocks of 23 bits of each fingerprint."""
     value = prints.view(np.uint64)
-    mask = np.uint64((1 << _N) - 1)
-    first = (value & mask).astype(np.int64)
-    second = (value >> np.uint64(_N) & mask).astype(np.int64)
-    marks_1, marks_2 = syndrome(first), syndrome(second)
+    return (value & _MASK).astype(np.int64), (value >> np.uint64(_N) & _MASK).astype(np.int64)
+
+
+def first_anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, name) of the anchors in the first block that each fingerprint goes to.
+
+    A code word is named by its upper 12 bits, which tell it from all others.
+    """
+    first, _ = blocks_of(prints)
+    found = [_spread(syndrome(first), t) for t in range(DISTANCE + 1)]
+    row = np.concatenate([r for r, _ in found])
+    return row, (first[row] ^ np.concatenate([c for _, c in found])) >> 11
+
+
+def excess_of(prints: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """How far each fingerprint's first block is from an anchor, beyond the covering radius."""
+    word = names << 11
+    word = word ^ syndrome(word)
+    far = np.bitwise_count((blocks_of(prints)[0] ^ word).astype(np.uint64)).astype(np.int64)
+    return np.maximum(far - _RADIUS, 0)
+
+
+def second_anchors(prints: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, name, home) of the anchors in the second block, within what the first block has left of the radius."""
+    _, second = blocks_of(prints)
+    marks = syndrome(second)
     rows, names, homes = [], [], []
-    for t in range(DISTANCE + 1):
-        row, change = _spread(marks_1, t)
-        name = (first[row] ^ change) >> 11  # the upper 12 bits of a code word tell it from all others
-        for s in range(DISTANCE + 1 - t):
-            row_2, change_2 = _spread(marks_2[row], s)
-            rows.append(row[row_2])
-            names.append(name[row_2] << 12 | (second[row[row_2]] ^ change_2) >> 11)
-            homes.append(np.full(len(row_2), t == 0 and s == 0))
-    return np.concatenate(rows), np.concatenate(names).astype(np.int32), np.concatenate(homes)
+    for s in range(DISTANCE + 1):
+        of = np.flatnonzero(excess <= DISTANCE - s)
+        row, change = _spread(marks[of], s)
+        rows.append(of[row])
+        names.append((second[of[row]] ^ change) >> 11)
+        homes.append((excess[of[row]] == 0) & (s == 0))
+    return np.concatenate(rows), np.concatenate(names), np.concatenate(homes)
 
 
 def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column("print").to_numpy(zero_copy_only=False).astype(np.int64)
-        for at in range(0, len(prints), 1024):
-            part = prints[at : at + 1024]
-            row, anchor, home = anchors(part)
+        for at in range(0, len(prints), 4096):
+            part = prints[at : at + 4096]
+            row, name = first_anchors(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(part[row]), pa.array(home)], names=["anchor", "print", "home"]
+                [pa.array(name.astype(np.int32)), pa.array(part[row])], names=["anchor", "print"]
             )
 
 
 def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column("print").to_numpy(zero_copy_only=False).astype(np.int64)
-        mask = np.uint64((1 << _N) - 1)
+        start, differences = offsets()[1][0]
         name = []
-        for shift in (0, _N):
-            word = (prints.view(np.uint64) >> np.uint64(shift) & mask).astype(np.int64)
-            start, differences = offsets()[1][0]
+        for word in blocks_of(prints):
             name.append((word ^ differences[start[syndrome(word)]]) >> 11)
-        yield pa.RecordBatch.from_arrays([pa.array((name[0] << 12 | name[1]).astype(np.int32))], names=["anchor"])
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in name], names=["anchor", "second"])
 
 
 def matches(unit: np.ndarray, prints: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,23 +199,41 @@ def matches(unit: np.ndarray, prints: np.ndarray, home: np.ndarray) -> tuple[np.
     return forest(np.concatenate(left), np.concatenate(right))
 
 
+# what a row stands for in its unit: all its anchors, its home only, or all its anchors but as a replica at home too
+_BOTH, _AT_HOME, _AWAY = 0, 1, 2
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links found among rows (anchor, block, cell, print, home) sorted by the first three."""
+    """Links found among rows (anchor, print and, where anchors are split, block, cell, role) sorted by unit."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def compared(parts: list[tuple[np.ndarray, ...]], last: bool):
-        unit, prints, home = (np.concatenate(x) for x in zip(*parts, strict=True))
+        unit, prints, role = (np.concatenate(x) for x in zip(*parts, strict=True))
         cut = len(unit) if last else int(np.searchsorted(unit, unit[-1], "left"))
-        a, b = matches(unit[:cut], prints[:cut], home[:cut])
-        return (unit[cut:], prints[cut:], home[cut:]), pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        excess = excess_of(prints[:cut], unit[:cut] >> 40)
+        row, second, home = second_anchors(prints[:cut], excess)
+        use = np.where(role[row] == _AT_HOME, home, True)
+        home = home & (role[row] != _AWAY)
+        row, second, home = row[use], second[use], home[use]
+        # units of the whole anchor: the row's unit is below 2^52, a second block's name below 2^12
+        order = np.lexsort((second, unit[row]))
+        row, second, home = row[order], second[order], home[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (unit[row[1:]] != unit[row[:-1]]) | (second[1:] != second[:-1])
+        a, b = matches(np.cumsum(new), prints[row], home)
+        return (unit[cut:], prints[cut:], role[cut:]), pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b)], names=["a", "b"]
+        )
 
     for batch in batches:
-        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "block", "cell", "print", "home")}
-        unit = columns["anchor"].astype(np.int64) << 38 | columns["block"].astype(np.int64) << 19 | columns["cell"]
-        held.append((unit, columns["print"].astype(np.int64), columns["home"].astype(bool)))
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.schema.names}
+        unit = columns["anchor"] << 40
+        if "block" in columns:
+            unit |= columns["block"] << 20 | columns["cell"]
+        held.append((unit, columns["print"], columns.get("role", np.zeros(len(unit), np.int64))))
         size += len(unit)
-        if size >= 400_000:
+        if size >= 200_000:
             rest, found = compared(held, last=False)
             held, size = [rest], len(rest[0])
             yield found
@@ -203,39 +242,44 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect all fingerprints of ``prints`` (print: distinct longs) at `DISTANCE` bits or fewer."""
+    """Links (a, b) that connect all fingerprints of ``prints`` (print: distinct longs) at `DISTANCE` bits or fewer.
+
+    Rows are dealt out by the anchor of the first block only; those of the second block are found in the task.
+    """
     spark = prints.sparkSession
     n = prints.count()
-    # 302 replicas of each fingerprint on average; tasks grow with the input
-    tasks = max(spark.sparkContext.defaultParallelism * 2, n * 302 // TASK_ROWS)
-    replicas = prints.mapInArrow(_replicate, "anchor int, print long, home boolean")
+    # 71 anchors of the first block for each fingerprint on average; tasks grow with the input
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(cores * 2, n * 71 // TASK_ROWS)
+    spread = prints.repartition(max(cores, n * 71 // TASK_ROWS))
+    replicas = spread.mapInArrow(_replicate, "anchor int, print long")
+    crowds = spread.mapInArrow(_homes, "anchor int, second int").groupBy("anchor", "second").agg(F.count(F.lit(1)).alias("n"))
     hot = (
-        prints.mapInArrow(_homes, "anchor int")
+        crowds.where(F.col("n") > block)
         .groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > block)
-        .select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("n") / float(block)).cast("int").alias("blocks"))
+        .agg(F.ceil(F.max("n") / float(block)).cast("int").alias("blocks"))
     )
     hot = written(hot, "simhash-hot")
     if hot.isEmpty():
-        units = replicas.withColumns({"block": F.lit(0), "cell": F.lit(0)})
-    else:
-        # a crowded anchor becomes blocks x blocks units: homes of one block against replicas of one cell
-        joined = replicas.join(hot, F.col("anchor") == F.col("hot_anchor"), "left")
-        blocks = F.coalesce("blocks", F.lit(1))
-        own = F.pmod(F.xxhash64("print"), blocks).cast("int")
-        every = F.sequence(F.lit(0), blocks - 1)
-        pairs = F.when(F.col("home"), F.transform(every, lambda c: F.struct(own.alias("block"), c.alias("cell")))).otherwise(
-            F.transform(every, lambda b: F.struct(b.alias("block"), own.alias("cell")))
-        )
-        # homes meet homes of other blocks as replicas do
-        also = F.when(
-            F.col("home") & (blocks > 1), F.transform(every, lambda b: F.struct(b.alias("block"), own.alias("cell")))
-        )
-        as_home = joined.select("anchor", "print", "home", F.explode(pairs).alias("u"))
-        as_replica = joined.select("anchor", "print", F.lit(False).alias("home"), F.explode(also).alias("u"))
-        units = as_home.unionByName(as_replica).select("anchor", "u.block", "u.cell", "print", "home")
-    units = units.select("anchor", "block", "cell", "print", "home")
+        dealt = replicas.repartition(tasks, "anchor").sortWithinPartitions("anchor")
+        return dealt.mapInArrow(_compare, "a long, b long")
+    # a crowded anchor becomes blocks x blocks units: homes of one block against replicas of one cell
+    joined = replicas.join(hot, "anchor", "left")
+    plain = joined.where(F.col("blocks").isNull()).select(
+        "anchor", F.lit(0).alias("block"), F.lit(0).alias("cell"), F.lit(_BOTH).alias("role"), "print"
+    )
+    crowded = joined.where(F.col("blocks").isNotNull()).withColumn(
+        "own", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    crowded = crowded.select("anchor", "print", "own", every)
+    homes = crowded.select(
+        "anchor", F.col("own").alias("block"), F.col("other").alias("cell"), F.lit(_AT_HOME).alias("role"), "print"
+    )
+    away = crowded.select(
+        "anchor", F.col("other").alias("block"), F.col("own").alias("cell"), F.lit(_AWAY).alias("role"), "print"
+    )
+    units = plain.unionByName(homes).unionByName(away)
     dealt = units.repartition(tasks, "anchor", "block", "cell").sortWithinPartitions("anchor", "block", "cell")
     return dealt.mapInArrow(_compare, "a long, b long")
 
