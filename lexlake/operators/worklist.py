@@ -15,9 +15,11 @@ from lexlake.spec import WORKLIST_SHEET
 
 # Texts up to this length are compared whole; a longer one is found by its first characters.
 ANCHOR_LENGTH = 8
-# Start positions per piece when cells are cut: bounds the array one row holds, however long its cell is. Small pieces
-# also keep substrings cheap, as Spark finds a position in a string by walking to it.
+# Start positions per piece when cells are cut: bounds the array one row holds, however long its cell is. Cells are cut in
+# two steps, as Spark finds a position in a string by walking to it: one pass cuts a cell into chunks, and only a chunk
+# is walked.
 POSITIONS_PER_PIECE = 32
+CHUNK_LENGTH = 1024
 
 
 def render_worklist(silver: DataFrame) -> DataFrame:
@@ -31,26 +33,44 @@ def render_worklist(silver: DataFrame) -> DataFrame:
     ).select(*WORKLIST_SHEET.attributes)
 
 
+def _chunks(cells: DataFrame, length: int, overlap: int) -> DataFrame:
+    """(cell_id, chunk, text, own): every cell in chunks of ``length`` characters and the first ``overlap`` of the next.
+
+    ``own`` is the chunk's length without the overlap. One pass over the cell, whatever its length; ``overlap`` must not
+    exceed ``length``.
+    """
+    parts = F.regexp_extract_all("cell", F.lit(f"(?s).{{1,{length}}}"), F.lit(0))
+    parts = F.when(F.length("cell") == 0, F.array(F.lit(""))).otherwise(parts)
+    cut = cells.select("cell_id", parts.alias("parts"))
+
+    def whole(part, at):
+        after = F.substr(F.coalesce(F.get("parts", at + 1), F.lit("")), F.lit(1), F.lit(overlap))
+        return F.struct(F.concat(part, after).alias("text"), F.length(part).alias("own"))
+
+    chunks = cut.select("cell_id", F.posexplode(F.transform("parts", whole)).alias("chunk", "c"))
+    return chunks.select("cell_id", "chunk", "c.text", "c.own")
+
+
 def _grams(cells: DataFrame, lengths: list[int]) -> DataFrame:
     """(cell_id, position, gram) for every position of every cell and every wanted gram length.
 
     At the end of a cell the grams come out shorter; they occur in the cell all the same.
     """
     width = F.lit(POSITIONS_PER_PIECE + max(lengths) - 1)
-    starts = F.sequence(F.lit(0), F.length("cell"), F.lit(POSITIONS_PER_PIECE))
-    pieces = cells.select(
+    starts = F.sequence(F.lit(0), F.greatest(F.col("own") - 1, F.lit(0)), F.lit(POSITIONS_PER_PIECE))
+    pieces = _chunks(cells, CHUNK_LENGTH, max(lengths)).select(
         "cell_id",
+        "chunk",
+        "own",
         F.explode(
-            F.transform(starts, lambda s: F.named_struct(F.lit("start"), s, F.lit("text"), F.substr("cell", s + 1, width)))
+            F.transform(starts, lambda s: F.named_struct(F.lit("start"), s, F.lit("text"), F.substr("text", s + 1, width)))
         ).alias("piece"),
     )
-
-    last = F.greatest(F.lit(1), F.least(F.lit(POSITIONS_PER_PIECE), F.length("piece.text")))
-    places = pieces.select("cell_id", "piece", F.explode(F.sequence(F.lit(1), last)).alias("at"))
+    last = F.greatest(F.lit(1), F.least(F.lit(POSITIONS_PER_PIECE), F.col("own") - F.col("piece.start")))
+    places = pieces.select("cell_id", "chunk", "piece", F.explode(F.sequence(F.lit(1), last)).alias("at"))
     grams = F.array(*[F.substr("piece.text", "at", F.lit(n)) for n in lengths])
-    return places.select(
-        "cell_id", (F.col("piece.start") + F.col("at")).alias("position"), F.explode(grams).alias("gram")
-    )
+    position = F.col("chunk").cast("long") * CHUNK_LENGTH + F.col("piece.start") + F.col("at")
+    return places.select("cell_id", position.alias("position"), F.explode(grams).alias("gram"))
 
 
 def contained_texts(texts: DataFrame, cells: DataFrame) -> DataFrame:
@@ -89,11 +109,21 @@ def contained_texts(texts: DataFrame, cells: DataFrame) -> DataFrame:
             .groupBy(F.substr("text", F.lit(1), F.lit(ANCHOR_LENGTH)).alias("gram"))
             .agg(F.collect_set(size).alias("lengths"))
         )
-        places = _grams(cells, [ANCHOR_LENGTH]).join(small(anchors), "gram").select("cell_id", "position", "lengths")
+        longest = wanted.agg(F.max(size).alias("n")).first()["n"]
+        reach = max(longest, CHUNK_LENGTH)
+        # a place is looked at in the chunk it begins in, which reaches as far as the longest text
+        places = _grams(cells, [ANCHOR_LENGTH]).join(small(anchors), "gram")
+        places = places.select(
+            "cell_id",
+            F.floor((F.col("position") - 1) / reach).cast("int").alias("chunk"),
+            ((F.col("position") - 1) % reach + 1).cast("int").alias("begin"),
+            "lengths",
+        )
         # a cell_id shared by two cells only adds substrings of a cell that is published as well
-        fitting = F.filter("lengths", lambda n: F.col("position") + n - 1 <= F.length("cell"))
-        whole = places.join(cells, "cell_id").select(
-            F.explode(F.transform(fitting, lambda n: F.substr("cell", F.col("position"), n))).alias("text")
+        fitting = F.filter("lengths", lambda n: F.col("begin") + n - 1 <= F.length("chunk_text"))
+        reached = _chunks(cells, reach, reach).select("cell_id", "chunk", F.col("text").alias("chunk_text"))
+        whole = places.join(reached, ["cell_id", "chunk"]).select(
+            F.explode(F.transform(fitting, lambda n: F.substr("chunk_text", F.col("begin"), n))).alias("text")
         )
         whole = whole if few else whole.distinct()
         found.append(whole.join(small(wanted.where(size > ANCHOR_LENGTH)), "text", "left_semi"))

@@ -427,6 +427,15 @@ def test_substring_search_against_brute_force(spark, monkeypatch, broadcast_limi
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_substring_search_in_a_very_long_cell(spark):
+    """Two million characters in one cell, texts at its ends and over the borders of its chunks."""
+    body = "".join("abcdefgh "[(i * i + i // 7) % 9] for i in range(2_000_000))
+    cell = f"first words {body[:1000]}over the border{body[1000:]} last words"
+    wanted = ["first words", "over the border", "last words", "no such words", body[500_000:503_000], "last words!"]
+    found = contained_texts(frame(spark, schema(text=TEXT), *[(w,) for w in wanted]), frame(spark, schema(cell=TEXT), (cell,)))
+    assert rows(found) == sorted((w,) for w in wanted if w in cell)
+
+
 def test_substring_search_with_nothing_to_find_or_search(spark):
     texts = spark.createDataFrame([("abc",), ("a longer text",)], "text string")
     cells_ = spark.createDataFrame([("abcd",)], "cell string")
