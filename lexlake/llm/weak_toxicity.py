@@ -31,7 +31,7 @@ SAMPLE_ROWS = 20_000
 STEMS = (4, 5, 6, 7, 8)
 PARTS = 4
 # places in toxic documents that a lexicon entry must have, their least number per document, and how much more often than in clean ones
-LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO = 4, 0.02, 10.0
+LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO = 5, 0.02, 20.0
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CAPITAL = re.compile(r"[A-Z]+")
@@ -223,7 +223,7 @@ def learn_lexicon(sample: DataFrame, entries: int = 4_000) -> Lexicon:
     in_toxic = {r["unit"]: r["n"] for r in often.collect()}
     in_clean = {r["unit"]: r["n"] for r in counted(clean, set(in_toxic)).collect()} if in_toxic else {}
     n1, n0 = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
-    ratio = {u: (n / n1) / ((in_clean.get(u, 0) + 0.5) / n0) for u, n in in_toxic.items()}
+    ratio = {u: (n / n1) / ((in_clean.get(u, 0) + 1) / n0) for u, n in in_toxic.items()}
     good = {u for u in ratio if ratio[u] >= LEAST_RATIO}
     # of nested entries keep the longest that says as much, and no longer one that adds nothing to its stem
     spent: set[str] = set()
