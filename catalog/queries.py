@@ -293,7 +293,7 @@ def golden_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = i.order_records(spark, sf_dir)
     stored = _stored_golden(records)
     updated = records.where(F.col("latestOccurrence") >= "1998-01-01")
-    new, existing = vocabulary.split_new_existing(updated, stored)
+    new, existing = vocabulary.split_new_existing(vocabulary.classify(updated, stored))
     enriched = new.withColumns({"translations": F.array(F.lit("new")), "usage": F.lit(0.5)})
     return flat(merge_partial(stored, vocabulary.record_updates(existing, enriched, i.DAY_2)))
 

@@ -68,12 +68,10 @@ def group_definitions(silver: DataFrame, since: int | None = None) -> DataFrame:
     return joined.select(*[columns[c].alias(c) for c in GOLDEN.attributes if c in columns])
 
 
-def split_new_existing(grouped: DataFrame, golden: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_new_existing(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records golden lacks, and records it holds: these with fresh statistics and the stored enriched columns."""
-    classified = classify(grouped, golden)
-    new = classified.where(~F.col("isStored")).select(*grouped.columns)
-    existing = classified.where("isStored").select(*grouped.columns, *GOLDEN.enriched)
-    return new, existing
+    new = classified.where(~F.col("isStored")).drop("isStored", *GOLDEN.enriched)
+    return new, classified.where("isStored").drop("isStored")
 
 
 def classify(grouped: DataFrame, golden: DataFrame) -> DataFrame:

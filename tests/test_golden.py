@@ -174,7 +174,7 @@ def test_sibling_forms_need_a_whole_key(spark):
 def test_split_keeps_stored_enrichment_beside_fresh_statistics(spark):
     grouped = group_definitions(frame(spark, SILVER, form("a", "d", 2020, n=5), form("b", "e", 2020)))
     golden = frame(spark, GOLDEN, record("d", 2019, ["old"], translations=["kept"], usage=0.5))
-    new, existing = split_new_existing(grouped, golden)
+    new, existing = split_new_existing(classify(grouped, golden))
     assert rows(new, "definition", "forms") == [("e", ("b",))]
     kept = rows(existing, "definition", "forms", "occurrences", "translations", "usage")
     assert kept == [("d", ("a",), 5, ("kept",), 0.5)]
