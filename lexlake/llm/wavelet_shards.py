@@ -35,6 +35,8 @@ _BLOCK = 512
 # distinct pieces of text whose ids a task remembers
 PIECES = 600_000
 PIECE_MARK = "<|startoftext|>"
+# what is cut off behind a word of letters: it neither is a letter, digit or blank nor begins a contraction
+_BEHIND = ".,;:!?#$%&*|"
 
 
 class WaveletMatrix:
@@ -119,16 +121,15 @@ class WaveletMatrix:
         return [self.select(value, k) for k in range(self.count(value))]
 
     def all(self) -> np.ndarray:
-        """All values, by following every position down the planes at once."""
-        at = np.arange(self.n, dtype=np.int32)
-        values = np.zeros(self.n, dtype=np.uint32)
-        for level in range(self.bits):
-            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little")
-            ones = np.cumsum(bits, dtype=np.int32) - bits
-            bit, before = bits[at], ones[at]
-            at = np.where(bit, np.int32(self.zeros[level]) + before, at - before)
-            values = values << np.uint32(1) | bit
-        return values
+        """All values: from the last plane up, each plane tells which values of the one below belong where."""
+        values = np.zeros(self.n, dtype=np.uint32 if self.bits > 16 else np.uint16)
+        for level in range(self.bits - 1, -1, -1):
+            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            above = np.empty_like(values)
+            above[~ones] = values[: self.zeros[level]]
+            above[ones] = values[self.zeros[level] :] | values.dtype.type(1 << (self.bits - 1 - level))
+            values = above
+        return values.astype(np.uint32)
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, bits: int) -> bytes:
@@ -161,7 +162,9 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct piece between ASCII white space once.
 
-    Unknown pieces are handed over many at a time, with a special token between them to tell their ids apart.
+    Unknown pieces are handed over many at a time. A piece of letters is one word to the library, and so ends with the one
+    token of its that ends a word; punctuation behind it is a word of its own. Other pieces get a special token between
+    them to tell their ids apart.
     """
 
     def __init__(self, path: str):
@@ -170,29 +173,60 @@ class PieceEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._mark = self._tokenizer.token_to_id(PIECE_MARK)
         self.bits = int(self._tokenizer.get_vocab_size() - 1).bit_length()
+        suffix = json.loads(self._tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self._ends = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
+        for token, number in self._tokenizer.get_vocab().items():
+            self._ends[number] = token.endswith(suffix)
         self._known: dict[bytes, bytes] = {}
 
+    def _library(self, text: str) -> np.ndarray:
+        # encode_batch_fast leaves out what only offsets need
+        [found] = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, dtype="<u4")
+
     def _learn(self, pieces: list[bytes]) -> None:
-        plain = [p.decode("utf-8", "replace") for p in pieces]
-        for at in range(0, len(plain), 256):
-            some = plain[at : at + 256]
-            if any("<|" in p for p in some):
-                for piece, text in zip(pieces[at : at + 256], some, strict=True):
-                    ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-                    self._known[piece] = np.array(ids, dtype="<u4").tobytes()
-                continue
-            # encode_batch_fast leaves out what only offsets need
-            [found] = self._tokenizer.encode_batch_fast([PIECE_MARK.join(some)], add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self._mark)
-            for piece, low, high in zip(
-                pieces[at : at + 256], [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True
-            ):
-                self._known[piece] = ids[low:high].tobytes()
+        words: dict[str, bytes] = {}
+        cut: list[tuple[bytes, str, str]] = []
+        others: list[tuple[bytes, str]] = []
+        for piece in pieces:
+            text = piece.decode("utf-8", "replace")
+            word = text.rstrip(_BEHIND)
+            if word.isalpha() and word.lower().isalpha():
+                words[word] = b""
+                cut.append((piece, word, text[len(word) :]))
+            else:
+                others.append((piece, text))
+        listed = list(words)
+        for at in range(0, len(listed), 512):
+            some = listed[at : at + 512]
+            self._share(some, words, " ".join(some), self._ends, keep=1)
+        behind = {tail: self._library(tail).tobytes() for tail in {tail for _, _, tail in cut}}
+        for piece, word, tail in cut:
+            self._known[piece] = words[word] + behind[tail]
+        mark = np.zeros(len(self._ends), dtype=bool)
+        mark[self._mark] = True
+        for at in range(0, len(others), 256):
+            some = others[at : at + 256]
+            if any("<|" in text for _, text in some):
+                for piece, text in some:
+                    self._known[piece] = self._library(text).tobytes()
+            else:
+                joined = PIECE_MARK.join([*(text for _, text in some), ""])
+                self._share([piece for piece, _ in some], self._known, joined, mark, keep=0)
+
+    def _share(self, names: list, into: dict, joined: str, ends: np.ndarray, keep: int) -> None:
+        """Share the ids of a joined text out among its parts: each ends with a marked id, which it may keep."""
+        ids = self._library(joined)
+        last = np.flatnonzero(ends[ids])
+        first = np.concatenate([[0], last[:-1] + 1])
+        for name, low, high in zip(names, first.tolist(), (last + keep).tolist(), strict=True):
+            into[name] = ids[low:high].tobytes()
 
     def encode_all(self, found: list[str | None]) -> Iterator[np.ndarray]:
-        if len(self._known) > PIECES:
-            self._known.clear()
+        if len(self._known) > PIECES:  # short pieces are the ones that come again
+            self._known = {p: ids for p, ids in self._known.items() if len(p) <= 7}
+            if len(self._known) > PIECES // 2:
+                self._known.clear()
         for text in found:
             raw = (text or "").encode("utf-8", "surrogatepass")
             # the vocabulary is in lower case; marks of special tokens are told apart by case
