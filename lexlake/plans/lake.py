@@ -62,7 +62,8 @@ class Lake:
         """marks -> stage -> bronze -> silver -> golden; returns golden.
 
         ``in_order`` tells whether marks come by rising ids (see `update_stage`), ``retry`` whether tokens that stayed
-        undefined are asked for again. Every run needs a later ``now`` than the one before, as updates are found by their stamps.
+        undefined are asked for again. Every run needs a later ``now`` than the one before, as updates are found by
+        their stamps.
         """
         self.check_clock(now)
         staged = jobs.update_stage(marks, self.stage, now, in_order)
