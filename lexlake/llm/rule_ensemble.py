@@ -231,6 +231,8 @@ def fit_rules(
         for rule, value in _leaf_rules(found, leaves, x, rows):
             margin[holds(rule, x)] += rate * 4 * value
     kept = list(rules)
+    if not kept:
+        return RuleModel(base, (), ())
     design = np.stack([holds(r, x) for r in kept], axis=1).astype(np.float64)
     share = design.mean(axis=0)
     use = (share > 0) & (share < 1)

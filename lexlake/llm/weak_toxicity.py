@@ -155,7 +155,10 @@ def fit_label_model(said: np.ndarray, prior: float, rounds: int = 30) -> LabelMo
     n, k = said.shape
     prior = float(np.clip(prior, 0.01, 0.99))
     model = LabelModel(prior, np.full((k, 3, 2), 1 / 3), np.ones(k), np.zeros((k, k)))
-    belief = sigmoid(2.0 * said.sum(axis=1) + np.log(prior / (1 - prior)))
+    # voters that say the same of nearly all documents share one vote from the start
+    same = np.stack([(said == said[:, [j]]).mean(axis=0) for j in range(k)]) if n else np.eye(k)
+    model.weight = 1 / (same > 0.999).sum(axis=1)
+    belief = sigmoid(2.0 * (said @ model.weight) + np.log(prior / (1 - prior)))
     for step in range(rounds):
         for y, mass in ((0, 1 - belief), (1, belief)):
             for v in (-1, 0, 1):
