@@ -2,7 +2,8 @@
 
 A stand-in is the image of the entity under a keyed permutation of all entities of its format: digits stay digits, letters
 stay letters of their script and kind (vowel, consonant), and punctuation, case and length stay as they are; check digits
-are made anew. The same entity gives the same stand-in everywhere, however it is written, and different entities give
+are made anew. Each permutation is one cycle through all entities of the format, so none is its own image, and images that
+belong to another format are walked past. The same entity gives the same stand-in everywhere, however it is written, and different entities give
 different ones. Given names map to names of the same gender and script, other names keep their last letter, which is where
 many languages mark gender.
 
@@ -13,7 +14,9 @@ its own. A kind of entity that fails gets another permutation.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 
 import numpy as np
@@ -55,10 +58,60 @@ ALPHABETS = (
 _HEX = "0123456789abcdef"
 _CODE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 _CLASS = {letter: (alphabet, i) for alphabet in ALPHABETS for i, letter in enumerate(alphabet)}
+# letters and numbers that are looked through at a time for an alphabet of a script
+_SCRIPT_BLOCK = 4096
+
+
+def _up(low: str) -> str:
+    return "ẞ" if low == "ß" else low.upper()
+
+
+@cache
+def _scripts(block: int) -> dict[str, tuple[str, int]]:
+    """Alphabets of the letters and numbers of a block of code points that `ALPHABETS` lack, by script and category.
+
+    Letters that come back from upper case are apart from others. What is alone of its kind shares an alphabet with others
+    that are, or joins the largest one, so that no alphabet has a single letter.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for letter in map(chr, range(block * _SCRIPT_BLOCK, (block + 1) * _SCRIPT_BLOCK)):
+        cased = _up(letter) != letter and _up(letter).lower() == letter
+        # a capital that comes back from its small letter is written by the small letter's alphabet
+        if not letter.isalnum() or letter in _CLASS or (letter.lower() != letter and _up(letter.lower()) == letter):
+            continue
+        kind = (cased, letter.lower() == letter)
+        script = unicodedata.name(letter, "").partition(" ")[0].partition("-")[0]
+        groups.setdefault((*kind, script, unicodedata.category(letter)), []).append(letter)
+    for kind in {key[:2] for key in groups}:
+        own = [key for key in groups if key[:2] == kind]
+        alone = [letter for key in own if len(groups[key]) == 1 for letter in groups.pop(key)]
+        rest = [groups[key] for key in own if key in groups]
+        if len(alone) > 1:
+            groups[(*kind, "", "")] = alone
+        elif alone and rest:
+            max(rest, key=len).extend(alone)
+        elif alone:
+            groups[(*kind, "", "")] = alone
+    alphabets = ["".join(sorted(letters)) for letters in groups.values()]
+    return {letter: (alphabet, i) for alphabet in alphabets for i, letter in enumerate(alphabet)}
+
+
+def _place(letter: str) -> tuple[tuple[str, int] | None, bool]:
+    """(alphabet and number of a letter in it, whether it is the capital of that letter); no alphabet for punctuation."""
+    low = letter.lower()
+    if low != letter and (len(low) > 1 or _up(low) != letter):
+        low = letter
+    found = _CLASS.get(low)
+    if found is None and low.isalnum():
+        found = _scripts(ord(low) // _SCRIPT_BLOCK).get(low)
+    return found, low != letter
 
 
 class Permutations:
-    """Keyed permutations of the numbers below a size: Feistel rounds over two digits, walked until back in range."""
+    """Keyed permutations of the numbers below a size, each a single cycle.
+
+    Feistel rounds over two digits, walked until back in range, put the numbers in order; a number's image is the next.
+    """
 
     def __init__(self, key: bytes, attempts: dict[str, int] | None = None):
         self._key, self._attempts = key, attempts or {}
@@ -79,6 +132,15 @@ class Permutations:
                 left = (left + self._draw(kind, turn, size, right)) % a
                 right = (right + self._draw(kind, turn + 1, size, left)) % b
             value = left * b + right
+            if value < size:
+                break
+        value = (value + 1) % size
+        while True:
+            left, right = divmod(value, b)
+            for turn in range(6, -2, -2):
+                right = (right - self._draw(kind, turn + 1, size, left)) % b
+                left = (left - self._draw(kind, turn, size, right)) % a
+            value = left * b + right
             if value < size:
                 return value
 
@@ -87,20 +149,21 @@ class Permutations:
 
         The last ``keep`` letters stay too.
         """
-        places, sizes, value, size = [], [], 0, 1
+        places, value, size = [], 0, 1
         for at, letter in enumerate(text[: len(text) - keep] if keep else text):
-            low = letter if alphabet else letter.lower()
-            found = (alphabet, alphabet.find(low)) if alphabet and low in alphabet else _CLASS.get(low)
-            if found is None or (alphabet and found[0] is not alphabet):
+            if alphabet:
+                found, upper = ((alphabet, alphabet.index(letter)) if letter in alphabet else None), False
+            else:
+                found, upper = _place(letter)
+            if found is None:
                 continue
-            places.append((at, found[0], letter != low))
-            sizes.append(len(found[0]))
+            places.append((at, found[0], upper))
             value, size = value * len(found[0]) + found[1], size * len(found[0])
         value = self.number(kind, value, size)
         out = list(text)
-        for (at, letters, upper), n in zip(reversed(places), reversed(sizes), strict=True):
-            value, digit = divmod(value, n)
-            out[at] = letters[digit].upper() if upper else letters[digit]
+        for at, letters, upper in reversed(places):
+            value, digit = divmod(value, len(letters))
+            out[at] = _up(letters[digit]) if upper else letters[digit]
         return "".join(out)
 
     def listed(self, kind: str, names: list[str], name: str) -> str:
@@ -122,14 +185,19 @@ def _iban_check(country: str, account: str) -> str:
     return f"{98 - number % 97:02d}"
 
 
-def _refill(written_as: str, digits: str, wanted: str = "0123456789") -> str:
-    """``digits`` in the places of the letters of ``wanted``, in order; all else as it was written."""
+def _refill(written_as: str, digits: str, wanted: str | None = None) -> str:
+    """``digits`` in the places of the digits (the letters of ``wanted``), in order and script; all else as it was."""
     rest = iter(digits)
-    return "".join(next(rest) if c in wanted else c for c in written_as)
+    if wanted:
+        return "".join(next(rest) if c in wanted else c for c in written_as)
+    return "".join(
+        chr(ord(c) - unicodedata.decimal(c) + int(next(rest))) if c.isdecimal() else c for c in written_as
+    )
 
 
-def _only(text: str, wanted: str = "0123456789") -> str:
-    return "".join(c for c in text if c in wanted)
+def _only(text: str) -> str:
+    """The digits of a text, of any script, as 0 to 9."""
+    return "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
 
 
 # what is looked for: kind, what a text must hold for a match to be possible, and the pattern
@@ -211,6 +279,8 @@ def canonical(kind: str, value: str) -> str:
         return digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
     if kind == "iban":
         return value.replace(" ", "")
+    if kind == "ip":
+        return ".".join(str(int(part)) for part in value.split("."))
     if kind in ("email", "mac"):
         return value.lower()
     return value
@@ -221,6 +291,8 @@ def surrogate(perm: Permutations, kind: str, value: str) -> str:
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         labels = domain.rsplit(".", 1)
+        if not any(c.isalnum() for c in local + labels[0]):  # nothing but the last label can change
+            return f"{local}@{labels[0]}.{perm.spelled('domain', labels[1])}"
         return f"{perm.spelled('email', local)}@{perm.spelled('domain', labels[0])}.{labels[1]}"
     if kind == "card":
         digits = _only(value)
@@ -243,20 +315,36 @@ def surrogate(perm: Permutations, kind: str, value: str) -> str:
         for part in value.split("."):
             number = number << 8 | int(part)
         number = perm.number("ip", number, 1 << 32)
-        return ".".join(str(number >> shift & 255) for shift in (24, 16, 8, 0))
+        plain = ".".join(str(number >> shift & 255) for shift in (24, 16, 8, 0))
+        zero = ord(value[0]) - unicodedata.decimal(value[0])
+        return "".join(chr(zero + int(c)) if c != "." else c for c in plain)
     if kind == "mac":
         out = perm.spelled("mac", value.lower(), _HEX)
         return out.upper() if value.upper() == value else out
     if kind == "key":
         return perm.spelled("key", value, _CODE)
     if kind == "secret":
-        if all(c in _HEX for c in value.lower()) and value in (value.lower(), value.upper()):
-            out = perm.spelled("secret", value.lower(), _HEX)
-            return out.upper() if value != value.lower() else out
-        return perm.spelled("secret", value)
+        return _secret(perm, value)
     return "".join(_name(perm, part) if part.strip(" -") else part for part in re.split(r"([ -])", value))
 
 
+def _secret(perm: Permutations, value: str) -> str:
+    def form(text: str) -> tuple[bool, bool]:
+        """Whether a text is a number in hexadecimal digits, and whether these are capitals."""
+        return all(c in _HEX for c in text.lower()) and text in (text.lower(), text.upper()), text != text.lower()
+
+    is_hex, capitals = form(value)
+    out = value
+    while True:  # walk on past the other forms
+        if not is_hex:
+            out = perm.spelled("secret", out)
+        else:
+            out = perm.spelled("secret", out.lower(), _HEX)
+            out = out.upper() if capitals else out
+        if form(out) == (is_hex, capitals):
+            return out
+
+
 def _name(perm: Permutations, name: str) -> str:
     group = _GROUP.get(name)
     if group:

@@ -120,6 +120,43 @@ def test_pseudonymised_documents(spark, documents, make_docs):
     assert len({(k, *v) for (k, _), v in images.items()}) == len(images)
 
 
+@pytest.mark.parametrize("size", [2, 3, 97, 441, 1000])
+def test_no_number_is_its_own_image(size):
+    perm = surrogates.Permutations(b"k")
+    images = [perm.number("name", i, size) for i in range(size)]
+    assert sorted(images) == list(range(size)) and all(i != image for i, image in enumerate(images))
+
+
+def test_every_letter_has_another():
+    alone = []
+    for letter in map(chr, range(0x110000)):
+        if letter.isalnum():
+            found, _ = surrogates._place(letter)
+            if found is None or len(found[0]) < 2:
+                alone.append(letter)
+    assert not alone
+
+
+def test_entities_of_any_script_have_another_image(spark, make_docs):
+    short = ["".join((a, b)) for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    short += [a + b + c for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou" for c in "nmkt"]
+    told = [f"Dr {name} came" for name in [*short, "王伟", "李娜", "İnan", "KÇ", "Kß", "Çß"]]
+    told += ["Mr. محمد علي and Mr. علي محمد", "ssn ١٢٣-٤٥-٦٧٨٩", "ssn 123-45-6788", "ssn १२३-४५-६७८७"]
+    told += ["at 01.2.3.4, 1.2.3.4 and ١.2.3.4", "mail 王@例.中国 or _@-.com", "token: DEADBE12 token: deadbe12"]
+    texts = {i: text for i, text in enumerate(told)}
+    rows = surrogates.pseudonymised(make_docs([(i, t, "en", "web", len(t)) for i, t in texts.items()])).collect()
+    perm, images = surrogates.Permutations(surrogates.KEY), {}
+    for r in rows:
+        found = surrogates.find(texts[r.doc_id])
+        assert found and r.n_entities == len(found) and r.text == surrogates.replace(texts[r.doc_id], perm)[0]
+        for begin, end, kind in found:
+            value = texts[r.doc_id][begin:end]
+            image = surrogates.canonical(kind, surrogates.surrogate(perm, kind, value))
+            own = surrogates.canonical(kind, value)
+            assert image != own
+            assert images.setdefault((kind, image), own) == own
+
+
 def test_surrogates_of_awkward_rows(make_docs, awkward):
     docs = make_docs(awkward, True)
     out = surrogates.pseudonymised(docs)
