@@ -5,8 +5,10 @@ rotate so that the signs fit the vectors best, and cut each bit at its median. A
 It is cut into chunks, one hash table per chunk; two vectors are candidates if they agree in a chunk and their codes
 differ in few bits. Candidates are then compared by cosine on the original vectors, in double precision.
 
-Chunks are as wide as the number of vectors asks for, so that a table's buckets stay small; there are as many tables as it
-takes for two vectors at the cosine asked for to meet with probability `MEET`. Equal vectors are one vector throughout;
+Codes keep the angles of centred vectors, and vectors with much in common lie at larger angles there. So how often the bits of
+vectors at the cosine asked for agree is measured, on vectors of the sample and partners made for them. Chunks are as wide
+as the number of vectors asks for, so that a table's buckets stay small, or narrower where that is less work; there are as
+many tables as it takes for two vectors at the cosine asked for to meet with probability `MEET`. Equal vectors are one vector throughout;
 crowded buckets are cut into blocks; a pair is counted in the first table in which it meets, and no pair leaves its task:
 what leaves are counts per vector and a forest of links.
 """
@@ -36,17 +38,92 @@ BLOCK = 2_048
 SKETCH_BITS = 128
 
 
-def table_plan(n: int, cosine: float = COSINE) -> tuple[int, int]:
-    """(bits of a chunk, tables) for so many vectors."""
-    width = min(max(math.ceil(math.log2(max(n, 2))), 8), 30)
-    agree = (1 - math.acos(cosine) / math.pi) ** width
-    return width, math.ceil(math.log(1 - MEET) / math.log(1 - agree))
+# bits that agreement is measured on, pairs it is measured on at least, and what comparing two sketches costs of a row dealt
+MEASURED_BITS = 1_024
+MEASURED_PAIRS = 4_000
+COMPARED = 1 / 64
 
 
-def sketch_limit(cosine: float = COSINE) -> int:
+def _tables(agree: np.ndarray, width: int) -> int:
+    """Tables in which pairs whose bits agree that often meet in a chunk with probability `MEET` on average."""
+    miss = 1 - np.minimum(agree, 1 - 1e-9) ** width
+    low, high = 0, 1
+    while 1 - (miss**high).mean() < MEET:
+        low, high = high, high * 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if 1 - (miss**middle).mean() < MEET else (low, middle)
+    return high
+
+
+def table_plan(n: int, cosine: float = COSINE, measured: list[np.ndarray] | None = None) -> tuple[int, int]:
+    """(bits of a chunk, tables) for so many vectors.
+
+    ``measured`` holds arrays of how often the bits of pairs at the cosine agree; the pairs of each are to meet, and those of
+    random planes.
+    """
+    widest = min(max(math.ceil(math.log2(max(n, 2))), 8), 30)
+    every = [np.array([1 - math.acos(cosine) / math.pi]), *(measured or [])]
+
+    def plan(width: int) -> int:
+        return max(_tables(agree, width) for agree in every)
+
+    nominal = _tables(every[0], widest)
+    if plan(widest) <= 2 * nominal:
+        return widest, plan(widest)
+    width = min(range(8, widest + 1), key=lambda w: plan(w) * (1 + n / 2**w * COMPARED))
+    return width, plan(width)
+
+
+def sketch_limit(cosine: float = COSINE, measured: list[np.ndarray] | None = None) -> int:
     """Bits of the sketch in which vectors at the cosine asked for may differ, with 3.5 standard deviations to spare."""
     differ = math.acos(cosine) / math.pi
-    return math.ceil(SKETCH_BITS * differ + 3.5 * math.sqrt(SKETCH_BITS * differ * (1 - differ)))
+    limits = [SKETCH_BITS * differ + 3.5 * math.sqrt(SKETCH_BITS * differ * (1 - differ))]
+    for agree in measured or []:
+        # what pairs differ in besides what chance does to a sketch
+        mean = 1 - agree.mean()
+        spread = SKETCH_BITS * mean * (1 - mean) + (SKETCH_BITS * agree.std()) ** 2
+        limits.append(SKETCH_BITS * mean + 3.5 * math.sqrt(spread))
+    return min(math.ceil(max(limits)), SKETCH_BITS)
+
+
+def partners(unit: np.ndarray, mean: np.ndarray, cosine: float, seed: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at the cosine: partners apart in any direction, and partners spread as the vectors are.
+
+    The latter turn a vector, about the mean, towards another one as far as the cosine allows.
+    """
+    rng = np.random.default_rng([seed, unit.shape[1]])
+    first = np.concatenate([unit] * -(-MEASURED_PAIRS // len(unit)))
+    away = rng.standard_normal(first.shape)
+    away -= (away * first).sum(axis=1, keepdims=True) * first
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    found = [(first, cosine * first + math.sqrt(1 - cosine**2) * away)]
+    own, other = first - mean, first[rng.permutation(len(first))] - mean
+
+    def turned(angle: np.ndarray) -> np.ndarray:
+        vectors = mean + np.cos(angle)[:, None] * own + np.sin(angle)[:, None] * other
+        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+
+    low, high = np.zeros(len(first)), np.full(len(first), math.pi / 2)
+    apart = (turned(high) * first).sum(axis=1) < cosine
+    for _ in range(40):
+        middle = (low + high) / 2
+        near = (turned(middle) * first).sum(axis=1) >= cosine
+        low, high = np.where(near, middle, low), np.where(near, high, middle)
+    if apart.any():
+        found.append((first[apart], turned(low)[apart]))
+    return found
+
+
+def agreement(unit: np.ndarray, cosine: float = COSINE) -> list[np.ndarray]:
+    """How often the bits of pairs at the cosine agree, for each way to make partners; nothing for random planes."""
+    length = unit.shape[1]
+    leaders = _leaders(unit)
+    if len(leaders) <= length:
+        return []
+    model = learn_rotations(unit, length, MEASURED_BITS)
+    pairs = partners(leaders, model.mean, cosine)
+    return [(model.bits(a) == model.bits(b)).mean(axis=1) for a, b in pairs]
 
 
 @dataclass
@@ -308,8 +385,10 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOC
     )
     classes = written(classes, "itq-classes")
     n = classes.count()
-    width, tables = table_plan(n, cosine)
-    models = _models(classes, _bits(width, tables))
+    sample = _sample(classes)
+    measured = [agree for unit in sample.values() for agree in agreement(unit, cosine)]
+    width, tables = table_plan(n, cosine, measured)
+    models = {length: learn_rotations(unit, length, _bits(width, tables)) for length, unit in sample.items()}
     coded = written(
         with_codes(_as_binary(classes), models, width, tables),
         "itq-codes",
@@ -319,7 +398,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOC
     )
     live = (
         _dealt(in_blocks(buckets, block))
-        .mapInArrow(_live(sketch_limit(cosine)), "length int, place int, chunk int, node long")
+        .mapInArrow(_live(sketch_limit(cosine, measured)), "length int, place int, chunk int, node long")
         .distinct()
     )
     live = written(live, "itq-live")
@@ -374,10 +453,10 @@ def _as_binary(classes: DataFrame) -> DataFrame:
     )
 
 
-def _models(classes: DataFrame, bits: int, rows: int = SAMPLE_ROWS) -> dict[int, Rotations]:
-    """Rotations learned from at most ``rows`` vectors, those with the smallest hash; by length of vector."""
+def _sample(classes: DataFrame, rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
+    """At most ``rows`` unit vectors to learn rotations from, those with the smallest hash; by length of vector."""
     sample = classes.orderBy(F.xxhash64(F.lit(1), "values"), "node").limit(rows).select("node", "values").collect()
     by_length: dict[int, list] = {}
     for row in sorted(sample, key=lambda r: r["values"]):
         by_length.setdefault(len(row["values"]), []).append(row["values"])
-    return {k: learn_rotations(_unit(np.array(v)), k, bits) for k, v in by_length.items()}
+    return {k: _unit(np.array(v)) for k, v in by_length.items()}

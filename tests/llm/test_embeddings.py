@@ -85,3 +85,38 @@ def test_codes_are_balanced():
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     bits = itq_links.learn_rotations(unit, 24, 60).bits(unit)
     assert np.abs(bits.mean(axis=0) - 0.5).max() < 0.01
+
+
+def about_a_mean(seed, n, share, dim=32):
+    """Unit vectors with ``share`` of their squared length in common, and partners alike at a cosine of 0.9 to 0.91."""
+    rng = np.random.default_rng(seed)
+    common = np.zeros(dim)
+    common[0] = np.sqrt(share)
+    own, other = rng.standard_normal((2, n, dim - 1))
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    other -= (other * own).sum(axis=1, keepdims=True) * own
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = (rng.uniform(0.9001, 0.91, (n, 1)) - share) / (1 - share)
+    partner = cosine * own + np.sqrt(1 - cosine**2) * other
+    return [common + np.sqrt(1 - share) * np.hstack([np.zeros((n, 1)), v]) for v in (own, partner)]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.7])
+def test_recall_about_a_strong_mean(spark, share):
+    vectors = np.concatenate(about_a_mean(3, 600, share))
+    near = brute(vectors)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in itq_links.linked_vectors(df).collect())
+    assert near.sum() >= 1200 and 0.97 * near.sum() <= found <= near.sum()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.7])
+def test_planned_recall_at_many_vectors(share):
+    first, second = about_a_mean(4, 3000, share, 64)
+    measured = itq_links.agreement(first)
+    width, tables = itq_links.table_plan(100_000, measured=measured)
+    model = itq_links.learn_rotations(first, 64, width * tables)
+    same = (model.bits(first) == model.bits(second))[:, : width * tables]
+    met = same.reshape(len(same), tables, width).all(axis=2).any(axis=1)
+    sketch = (~same[:, : itq_links.SKETCH_BITS]).sum(axis=1) <= itq_links.sketch_limit(measured=measured)
+    assert (met & sketch).mean() >= 0.98
