@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexlake.llm import near_copies
 from lexlake.llm.common import texts, words
 from lexlake.llm.links import components, forest
 from lexlake.session import written
@@ -315,10 +316,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` per group of near duplicates, with the columns of ``docs``: the one with the smallest id.
 
     Rows without an id come last, then the smaller hash of the text decides; of rows that still agree one stays. Groups
-    are formed on ids, hashes and fingerprints; whole rows are shuffled once, to meet the decision.
+    are those of `near_copies`: five-word shingles, similarity 0.8. They are formed on ids and hashes, and on the texts of
+    candidates; whole rows are shuffled once more, to meet the decision.
     """
     keyed = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"))
-    rows = with_groups(keyed, "doc_id", "text_hash")
+    rows = near_copies.with_groups(keyed)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     first = rows.groupBy("group_id").agg(F.min(order).alias("first"))
     # how many rows share the first one's id and text, to tell whether any are to be dropped among themselves

@@ -124,3 +124,34 @@ def test_one_row_of_each_group_stays(make_docs, awkward):
 def test_repeated_rows_leave_one(make_docs):
     rows = sim.representatives(make_docs([(6, "same text here", "en", "a", 1)] * 5)).collect()
     assert len(rows) == 1
+
+
+def edited(rng, found, edits):
+    out = list(found)
+    for at in rng.choice(len(out), edits, replace=False):
+        out[at] = f"new{rng.integers(1 << 40)}"
+    return out
+
+
+def test_near_copies_meet_at_similarity_08(make_docs):
+    rng = np.random.default_rng(7)
+    rows, similar = [], []
+    for i, (length, edits) in enumerate([(100, 2), (300, 6), (1000, 20), (100, 6)] * 30):
+        found = [f"w{rng.integers(1 << 40)}" for _ in range(length)]
+        texts = [" ".join(found), " ".join(edited(rng, found, edits))]
+        rows += [(2 * i + k, text, "en", "a", len(text)) for k, text in enumerate(texts)]
+        a, b = ({tuple(t.split()[j : j + 5]) for j in range(length - 4)} for t in texts)
+        similar.append(len(a & b) / len(a | b) >= 0.8)
+    kept = {r.doc_id for r in sim.representatives(make_docs(rows)).collect()}
+    dropped = [2 * i + 1 not in kept for i in range(len(similar))]
+    assert all(2 * i in kept for i in range(len(similar)))
+    assert sum(similar) >= 60 and not all(similar)
+    assert not any(d and not s for d, s in zip(dropped, similar, strict=True))
+    assert sum(dropped) >= 0.97 * sum(similar)
+
+
+def test_a_large_group_of_near_copies_leaves_one(make_docs):
+    rng = np.random.default_rng(8)
+    found = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(edited(rng, found, 1)), "en", "a", 1) for i in range(300)]
+    assert [r.doc_id for r in sim.representatives(make_docs(rows)).collect()] == [0]
