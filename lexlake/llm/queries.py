@@ -15,6 +15,7 @@ from lexlake.llm import (
     pivotal_mixing,
     rule_ensemble,
     simhash_anchors,
+    spelling_trie,
     surrogates,
     wavelet_shards,
     weak_toxicity,
@@ -75,6 +76,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_trie.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_itq_links": op1_itq_links,
     "op2_simhash_anchors": op2_simhash_anchors,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_backtracking": op8_bpe_backtracking,
     "op9_pivotal_mixing": op9_pivotal_mixing,
     "op10_imatch": op10_imatch,
+    "op13_spelling_trie": op13_spelling_trie,
 }
 
 ORACLES: dict[str, str] = {}
