@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexlake.llm import (
+    block_rules,
     bpe_backtrack,
     context_mixing,
     imatch,
@@ -77,6 +78,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_rules.extracted(table(spark, sf_dir, "pages"))
+
+
 def op12_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stripes.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_backtracking": op8_bpe_backtracking,
     "op9_pivotal_mixing": op9_pivotal_mixing,
     "op10_imatch": op10_imatch,
+    "op11_block_rules": op11_block_rules,
     "op12_stripes": op12_stripes,
     "op13_spelling_trie": op13_spelling_trie,
 }

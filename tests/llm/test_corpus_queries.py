@@ -1,13 +1,15 @@
 """The registered queries at the smallest scale, and the pipeline against what its stages promise."""
 
+import itertools
 import re
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from lexlake.llm import rule_ensemble, simhash_anchors, surrogates
-from lexlake.llm.queries import QUERIES
+from lexlake.llm import rule_ensemble, surrogates
+from lexlake.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -21,21 +23,55 @@ COLUMNS = {
     8: "doc_id n_tokens ids_sha256 decoded_sha256",
     9: "doc_id size source_size target taken",
     10: "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    11: "page_id url text n_chars",
+    12: "lang rank phrase a l r n score",
+    13: "word form root n n_near form_n",
 }
+# one row per row of a table; queries not listed return rows of their own
+TABLES = {n: "documents" for n in range(2, 11)} | {1: "embeddings", 11: "pages"}
 
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry_points.queries())
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_one_row_per_input_row_with_the_agreed_columns(spark, name):
+def test_agreed_columns_and_rows(spark, name):
     number = int(re.match(r"op(\d+)_", name)[1])
     df = QUERIES[name](spark, SF)
     assert set(COLUMNS[number].split()) <= set(df.columns)
-    source = "embeddings" if number == 1 else "documents"
-    assert df.count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
+    if number in TABLES:
+        assert df.count() == spark.read.parquet(f"{SF}/{TABLES[number]}.parquet").count()
+
+
+def test_phrases_against_their_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    df = QUERIES["op12_stripes"](spark, SF)
+    want = con.execute(ORACLES["op12_stripes"]).fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
+def kept_of_near_copies(rows):
+    """The smallest id of each group that pairs of rows with a Jaccard similarity of 0.8 or more connect."""
+
+    def shingles(text):
+        words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
+
+    sets = {doc_id: shingles(text) for doc_id, text in rows}
+    group = {doc_id: doc_id for doc_id in sets}
+
+    def root(at):
+        return at if group[at] == at else root(group[at])
+
+    for a, b in itertools.combinations(sets, 2):
+        shared = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or (shared and 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared)):
+            low, high = sorted((root(a), root(b)))
+            group[high] = low
+    return sorted(at for at in sets if root(at) == at)
 
 
 def test_the_stages_in_order(spark):
@@ -48,8 +84,8 @@ def test_the_stages_in_order(spark):
     scored = rule_ensemble.scores(docs, rule_ensemble.learn(docs, labels))
     assert {r.doc_id for r in good.collect()} == {r.doc_id for r in scored.where("predicted = 1").collect()}
     single = stages["near_duplicates"](spark, good, SF)
-    groups = simhash_anchors.near_duplicates(good).collect()
-    assert sorted(r.doc_id for r in single.collect()) == sorted({r.component_id for r in groups})
+    want = kept_of_near_copies((r.doc_id, r.text) for r in good.collect())
+    assert sorted(r.doc_id for r in single.collect()) == want and len(want) < good.count()
     clean = stages["private_data"](spark, single, SF)
     assert clean.columns == docs.columns
     before = {r.doc_id: r.text for r in single.collect()}
