@@ -1,13 +1,13 @@
 """Phrases whose words occur together more often than apart, counted by stripes.
 
-A stripe is the associative counter of one prefix: how often each next word follows it, and under NULL how often the prefix
-occurs at all. Tasks count a block of words at a time and send one row per prefix of two words, and one set of rows for the
-empty prefix, whose next words are all words; the rows of a prefix meet once and are added up element by element. What they
-hold then answers everything: extensions are phrases of three words, prefix totals those of two, the empty prefix has the
-words, and the largest extension of a prefix tells whether a longer phrase covers it.
-
-A prefix may hold a large share of all words. Stripes of the empty prefix, and of prefixes that a sample of documents shows
-to be frequent, are cut by a hash of the next word, so that no task meets one of them whole. The sample decides on the cut
+A stripe is the associative counter of one prefix, a word: how often each next word follows it, and each pair of next words.
+The empty prefix has a stripe too, in which all words follow. Tasks count a block of words at a time and send one row per
+prefix; the rows of a prefix meet once and are added up element by element. What they hold then answers everything: the
+empty prefix has the words and their number, the stripe of a word has its phrases of two words, which are the totals of
+prefixes of two, and their extensions; the largest extension tells whether a longer phrase covers a shorter one.
+
+A prefix may hold a large share of all words. Stripes of the empty prefix, and of words that a sample of documents shows to
+be frequent, are cut by a hash of what follows, so that no task meets one of them whole. The sample decides on the cut
 alone: counts are exact whatever it says. Stripes are added up row by row in a hash aggregate, which may spill.
 """
 
@@ -16,10 +16,11 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,21 +34,20 @@ COVERED = 50
 TOP = 2000
 NO_LANGUAGE = "und"
 # words counted before their stripes are sent; three word numbers of a block must fit 64 bits
-BLOCK = 1_500_000
+BLOCK = 2_000_000
 # documents of the sample, the share of its words that makes a prefix frequent, and the parts of such a stripe
 SAMPLE_ROWS, FREQUENT, PARTS = 20_000, 4096, 64
 ROOT_PARTS = 1024
 
 _BREAKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
-_STRIPES = "lang string, first string, second string, part int, next array<string>, n array<long>"
-Prefix = tuple[str, str, str]
+# what follows is one text with a line for each, as no word holds a line feed
+_STRIPES = "lang string, first string, part int, following string, n array<long>"
 
 
 class _Block:
     """Words of some documents as numbers, by language; 0 stands for a break."""
 
-    def __init__(self, frequent: set[Prefix]) -> None:
-        self.frequent = frequent
+    def __init__(self) -> None:
         self.numbers: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
         self.numbers[b"."]
         self.found: defaultdict[str, list[tuple[np.ndarray, int]]] = defaultdict(list)
@@ -61,116 +61,88 @@ class _Block:
         self.found[lang].append((numbers, len(words)))
         self.size += len(words)
 
-    def stripes(self) -> Iterator[pa.RecordBatch]:
-        words = [w.decode("utf-8", "surrogatepass") for w in self.numbers]
-        names = pa.array(words, pa.string())
+    def stripes(self, frequent: set[tuple[str, str]], root_only: bool = False) -> Iterator[pa.RecordBatch]:
+        names = pa.array([w.decode("utf-8", "surrogatepass") for w in self.numbers], pa.string())
+        hashes = np.fromiter(map(zlib.crc32, self.numbers), np.int64, len(self.numbers))
         for lang, parts in self.found.items():
             first, second, third = (np.concatenate([n[i : i + size] for n, size in parts]) for i in range(3))
-            yield _root(lang, first, words, names)
+            yield _root(lang, first, hashes, names)
             whole = (first != 0) & (second != 0)
-            if whole.any():
-                yield self._extensions(lang, first[whole], second[whole], third[whole], words, names)
-
-    def _extensions(
-        self, lang: str, first: np.ndarray, second: np.ndarray, third: np.ndarray, words: list[str], names: pa.Array
-    ) -> pa.RecordBatch:
-        base = np.uint64(len(words))
-        keys = (first.astype(np.uint64) * base + second.astype(np.uint64)) * base + third.astype(np.uint64)
-        keys, counts = np.unique(keys, return_counts=True)
-        prefix, following = np.divmod(keys, base)
-        following = following.astype(np.int64)
-        part = np.zeros(len(keys), np.int64)
-        for at in np.flatnonzero(np.isin(prefix, self._frequent(lang, int(base)))).tolist():
-            part[at] = _part(words[following[at]], PARTS)
-        starts = np.flatnonzero(np.diff(prefix, prepend=prefix[0] + np.uint64(1)))
-        totals = np.add.reduceat(counts, starts)
-        # what a break follows counts in the total only
-        goes_on = following != 0
-        prefix = np.concatenate([prefix[goes_on], prefix[starts]])
-        return _rows(
-            lang,
-            prefix,
-            np.concatenate([part[goes_on], np.zeros(len(starts), np.int64)]),
-            np.concatenate([following[goes_on], np.full(len(starts), -1)]),
-            np.concatenate([counts[goes_on], totals]),
-            lambda heads: (names.take(pa.array(heads // base)), names.take(pa.array(heads % base))),
-            names,
-        )
+            if whole.any() and not root_only:
+                cut = np.zeros(len(names), bool)
+                cut[[self.numbers[_bytes(w)] for own, w in frequent if own == lang and _bytes(w) in self.numbers]] = True
+                yield _extensions(lang, first[whole], second[whole], third[whole], cut, hashes, names)
 
-    def _frequent(self, lang: str, base: int) -> np.ndarray:
-        wanted = [
-            self.numbers[_bytes(a)] * base + self.numbers[_bytes(b)]
-            for own, a, b in self.frequent
-            if own == lang and _bytes(a) in self.numbers and _bytes(b) in self.numbers
-        ]
-        return np.array(wanted, np.uint64)
+
+def _bytes(word: str) -> bytes:
+    return word.encode("utf-8", "surrogatepass")
 
 
-def _root(lang: str, numbers: np.ndarray, words: list[str], names: pa.Array) -> pa.RecordBatch:
-    """The stripes of the empty prefix, whose next words are all words."""
+def _root(lang: str, numbers: np.ndarray, hashes: np.ndarray, names: pa.Array) -> pa.RecordBatch:
+    """The stripes of the empty prefix, which all words follow; under the empty text the number of words."""
     counts = np.bincount(numbers)
     counts[0] = 0
     seen = np.flatnonzero(counts)
-    part = np.fromiter((_part(words[i], ROOT_PARTS) for i in seen.tolist()), np.int64, len(seen))
-
-    def no_words(heads: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        none = pa.array([""] * len(heads), pa.string())
-        return none, none
-
-    return _rows(
-        lang,
-        np.zeros(len(seen) + 1, np.uint64),
-        np.append(part, 0),
-        np.append(seen, -1),
-        np.append(counts[seen], counts.sum()),
-        no_words,
-        names,
-    )
+    part = np.append(hashes[seen] % ROOT_PARTS, 0)
+    following = pa.concat_arrays([names.take(pa.array(seen)), pa.array([""], pa.string())])
+    order = np.argsort(part, kind="stable")
+    return _rows(lang, None, part[order], following.take(pa.array(order)), np.append(counts[seen], counts.sum())[order], names)
 
 
-def _bytes(word: str) -> bytes:
-    return word.encode("utf-8", "surrogatepass")
-
-
-def _part(word: str, parts: int) -> int:
-    return zlib.crc32(_bytes(word)) % parts
+def _extensions(
+    lang: str, first: np.ndarray, second: np.ndarray, third: np.ndarray, cut: np.ndarray, hashes: np.ndarray, names: pa.Array
+) -> pa.RecordBatch:
+    """The stripes of words: next words, and pairs of next words. Those of words marked in ``cut`` come in parts."""
+    base = np.uint64(len(names))
+    keys = (first.astype(np.uint64) * base + second.astype(np.uint64)) * base + third.astype(np.uint64)
+    keys, counts = np.unique(keys, return_counts=True)
+    pairs, third = np.divmod(keys, base)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(pairs)) + 1])
+    totals = np.add.reduceat(counts, starts)
+    # what a break follows counts in the pair only
+    goes_on = third != 0
+    third = third[goes_on].astype(np.int64)
+    first, second = (x.astype(np.int64) for x in np.divmod(np.concatenate([pairs[goes_on], pairs[starts]]), base))
+    ahead = names.take(pa.array(second))
+    longer = pc.binary_join_element_wise(ahead[: len(third)], names.take(pa.array(third)), " ")
+    following = pa.concat_arrays([longer, ahead[len(third) :]])
+    mixed = hashes[second] * 31
+    mixed[: len(third)] += hashes[third]
+    part = np.where(cut[first], mixed % PARTS, 0)
+    order = np.lexsort((second, part, first))
+    counts = np.concatenate([counts[goes_on], totals])[order]
+    return _rows(lang, first[order], part[order], following.take(pa.array(order)), counts, names)
 
 
 def _rows(
-    lang: str,
-    prefix: np.ndarray,
-    part: np.ndarray,
-    following: np.ndarray,
-    counts: np.ndarray,
-    words_of: Callable[[np.ndarray], tuple[pa.Array, pa.Array]],
-    names: pa.Array,
+    lang: str, first: np.ndarray | None, part: np.ndarray, following: pa.Array, counts: np.ndarray, names: pa.Array
 ) -> pa.RecordBatch:
-    """One row per prefix and part; the entry -1 holds a prefix's total and has no next word."""
-    order = np.lexsort((part, prefix))
-    prefix, part, following, counts = prefix[order], part[order], following[order], counts[order]
-    changes = (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])
+    """One row per prefix and part of entries sorted by them; None is the empty prefix."""
+    changes = np.diff(part) != 0
+    if first is not None:
+        changes |= np.diff(first) != 0
     starts = np.concatenate([[0], np.flatnonzero(changes) + 1])
-    offsets = pa.array(np.append(starts, len(prefix)).astype(np.int32))
-    first, second = words_of(prefix[starts])
-    following = names.take(pa.array(following, mask=following < 0))
+    offsets = pa.array(np.append(starts, len(part)).astype(np.int32))
+    prefix = pa.array([""] * len(starts), pa.string()) if first is None else names.take(pa.array(first[starts]))
     return pa.RecordBatch.from_arrays(
         [
             pa.array([lang] * len(starts), pa.string()),
-            first,
-            second,
+            prefix,
             pa.array(part[starts].astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, following),
+            pc.binary_join(pa.ListArray.from_arrays(offsets, following), "\n"),
             pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
         ],
-        names=["lang", "first", "second", "part", "next", "n"],
+        names=["lang", "first", "part", "following", "n"],
     )
 
 
-def task_stripes(docs: DataFrame, frequent: set[Prefix], size: int = BLOCK) -> DataFrame:
+def task_stripes(
+    docs: DataFrame, frequent: set[tuple[str, str]], size: int = BLOCK, root_only: bool = False
+) -> DataFrame:
     """Stripes of blocks of the documents (lang, text) of each task; a very long text is counted in several blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(frequent)
+        block = _Block()
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for lang, text in zip(langs, texts(batch), strict=True):
@@ -179,37 +151,39 @@ def task_stripes(docs: DataFrame, frequent: set[Prefix], size: int = BLOCK) -> D
                     end = start + size
                     block.add(NO_LANGUAGE if lang is None else lang, words[start:end], words[end : end + 2])
                     if block.size >= size:
-                        yield from block.stripes()
-                        block = _Block(frequent)
+                        yield from block.stripes(frequent, root_only)
+                        block = _Block()
         if block.size:
-            yield from block.stripes()
+            yield from block.stripes(frequent, root_only)
 
     return docs.select("lang", "text").mapInArrow(run, _STRIPES)
 
 
-def frequent_prefixes(docs: DataFrame) -> set[Prefix]:
-    """Prefixes that hold a `FREQUENT`-th of the words of a sample of documents or more, so at most `FREQUENT`."""
+def entries(stripes: DataFrame) -> DataFrame:
+    """One row per entry: (lang, first, part, next, n)."""
+    zipped = F.arrays_zip(F.split("following", "\n").alias("next"), F.col("n").alias("n"))
+    return stripes.select("lang", "first", "part", F.inline(zipped).alias("next", "n"))
+
+
+def frequent_words(docs: DataFrame) -> set[tuple[str, str]]:
+    """Words that are a `FREQUENT`-th of the words of a sample of documents or more, so at most `FREQUENT`."""
     rows = docs.count()
     sample = docs if rows <= SAMPLE_ROWS else docs.sample(SAMPLE_ROWS / rows, 1)
-    entries = task_stripes(sample, set()).select("lang", "first", "second", F.inline(F.arrays_zip("next", "n")))
-    totals = written(entries.where("next IS NULL").groupBy("lang", "first", "second").agg(F.sum("n").alias("n")), "stripes-sample")
-    words = totals.where("first = ''").agg(F.sum("n").alias("n")).first()["n"] or 0
-    often = totals.where((F.col("first") != "") & (F.col("n") * FREQUENT >= words))
-    return {(r["lang"], r["first"], r["second"]) for r in often.collect()}
+    sums = entries(task_stripes(sample, set(), root_only=True)).groupBy("lang", "next").agg(F.sum("n").alias("n"))
+    counts = written(sums, "stripes-sample")
+    words = counts.where("next = ''").agg(F.sum("n").alias("n")).first()["n"] or 0
+    often = counts.where((F.col("next") != "") & (F.col("n") * FREQUENT >= words))
+    return {(r["lang"], r["next"]) for r in often.collect()}
 
 
 def merged_stripes(docs: DataFrame, least_count: int = LEAST_COUNT) -> DataFrame:
-    """(lang, first, second, next, n): entries of all stripes that reach ``least_count``, totals (next NULL) among them.
+    """(lang, first, next, n): entries of all stripes that reach ``least_count``; the number of words whatever it is.
 
-    The total of the empty prefix, which counts the words of a language, is there whatever it is. Rows of a prefix and
-    part are shuffled as they are; adding them up needs no further exchange.
+    Rows of a prefix and part are shuffled as they are; adding them up needs no further exchange.
     """
-    key = ["lang", "first", "second", "part"]
-    stripes = task_stripes(docs, frequent_prefixes(docs)).repartition(*key)
-    entries = stripes.select(*key, F.inline(F.arrays_zip("next", "n")))
-    sums = entries.groupBy(*key, "next").agg(F.sum("n").alias("n"))
-    kept = (F.col("n") >= least_count) | ((F.col("first") == "") & F.col("next").isNull())
-    return sums.where(kept).drop("part")
+    stripes = task_stripes(docs, frequent_words(docs)).repartition("lang", "first", "part")
+    sums = entries(stripes).groupBy("lang", "first", "part", "next").agg(F.sum("n").alias("n"))
+    return sums.where((F.col("n") >= least_count) | (F.col("next") == "")).drop("part")
 
 
 def _cut(left: Column, right: Column, a: Column) -> Column:
@@ -230,11 +204,13 @@ def collocations(
     rows count as often as they come; an empty table has no phrases; other columns are not looked at.
     """
     table = written(merged_stripes(docs, least_count), "stripes-merged")
-    root, longer = table.where("first = ''"), table.where("first != ''")
-    sizes = root.where("next IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    words = root.where("next IS NOT NULL").select("lang", F.col("next").alias("word"), "n")
-    twos = longer.where("next IS NULL").select("lang", "first", "second", F.col("n").alias("a"))
-    threes = longer.where("next IS NOT NULL").select("lang", "first", "second", F.col("next").alias("third"), F.col("n").alias("a"))
+    root, phrases = table.where("first = ''"), table.where("first != ''")
+    sizes = root.where("next = ''").groupBy("lang").agg(F.sum("n").alias("n"))
+    words = root.where("next != ''").select("lang", F.col("next").alias("word"), "n")
+    of_two = F.instr("next", " ") == 0
+    twos = phrases.where(of_two).select("lang", "first", F.col("next").alias("second"), F.col("n").alias("a"))
+    ahead = [F.substring_index("next", " ", i).alias(c) for i, c in ((1, "second"), (-1, "third"))]
+    threes = phrases.where(~of_two).select("lang", "first", *ahead, F.col("n").alias("a"))
 
     def with_count(df: DataFrame, column: str, name: str) -> DataFrame:
         right = words.select(F.col("lang").alias("w_lang"), F.col("word"), F.col("n").alias(name))

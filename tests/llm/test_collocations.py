@@ -77,15 +77,15 @@ def test_cuts_and_blocks_change_nothing(spark, make_docs):
 
     def sums(frequent, size):
         rows = stripes.task_stripes(docs, frequent, size)
-        entries = rows.select("lang", "first", "second", "part", F.inline(F.arrays_zip("next", "n")))
+        entries = stripes.entries(rows)
         parts = entries.agg(F.max(F.when(F.col("first") != "", F.col("part")))).first()[0]
-        added = entries.groupBy("lang", "first", "second", "next").agg(F.sum("n").alias("n"))
+        added = entries.groupBy("lang", "first", "next").agg(F.sum("n").alias("n"))
         return {tuple(r) for r in added.collect()}, parts
 
     plain, no_parts = sums(set(), stripes.BLOCK)
-    cut, parts = sums({("en", "a", "a"), ("en", "the", "cat"), ("fr", "not", "there")}, 5)
+    cut, parts = sums({("en", "a"), ("en", "the"), ("fr", "absent")}, 5)
     assert plain == cut and no_parts == 0 and parts > 0
-    assert ("en", "the", "cat", None, 9) in plain
+    assert {("en", "the", "cat", 9), ("en", "the", "cat sat", 9)} <= plain
 
 
 def test_a_stripe_crosses_the_shuffle_once(spark, make_docs):
