@@ -43,6 +43,16 @@ def undefined_requests(updates: DataFrame, silver: DataFrame, retry: bool = True
     return (wanted if retry else wanted.where("state <> 'retry'")).drop("state")
 
 
+def retry_requests(updates: DataFrame, silver: DataFrame) -> DataFrame:
+    """Tokens without a definition that no update touches, with their stored statistics: bronze columns.
+
+    Only undefined rows of silver are read past the scan.
+    """
+    bare = undefined_rows(silver).groupBy("text").agg(F.min(F.struct(*BRONZE.attributes)).alias("bare"))
+    untouched = bare.join(updates.select("text"), "text", "left_anti")
+    return untouched.select(*[F.col(f"bare.{c}").alias(c) for c in BRONZE.attributes])
+
+
 def refresh_defined(updates: DataFrame, silver: DataFrame) -> DataFrame:
     """Fresh statistics for every stored definition of an updated token; enriched columns stay as stored."""
     new, old = qualified("new"), qualified("old")

@@ -67,9 +67,9 @@ class Lake:
         """
         self.check_clock(now)
         staged = jobs.update_stage(marks, self.stage, now, in_order)
-        bronze = jobs.update_bronze(staged, self.bronze, now)
-        silver = jobs.update_silver(bronze, self.silver, self.define, now, self.fill_missing, retry)
-        return jobs.update_golden(silver, self.golden, self.translate, self.find_usage, now)
+        jobs.update_bronze(staged, self.bronze, now)
+        jobs.update_silver(self.bronze, self.silver, self.define, now, self.fill_missing, retry)
+        return jobs.update_golden(self.silver, self.golden, self.translate, self.find_usage, now)
 
     def check_clock(self, now: datetime) -> None:
         """Refuse a run that is not later than every stored stamp: its updates would be missed downstream."""
