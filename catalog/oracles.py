@@ -578,6 +578,18 @@ ORACLES: dict[str, str] = {
     "publish_merge": with_ctes(
         *ORDER_RECORDS, *GOLDEN, PUBLISHED, reconcile("sheet", "golden"), select=f"SELECT {SHEET_COLUMNS} FROM next_sheet"
     ),
+    # every row that golden knows changes: its first occurrence was published as "long ago"
+    "publish_grown": with_ctes(
+        *ORDER_RECORDS,
+        *GOLDEN,
+        PUBLISHED,
+        reconcile("sheet", "golden"),
+        select="""SELECT count(*) FILTER (WHERE p.word IS NULL) AS inserted,
+            count(*) FILTER (WHERE p.word IS NOT NULL AND g.word IS NOT NULL) AS changed,
+            count(*) FILTER (WHERE g.word IS NULL) AS kept,
+            (SELECT count(*) FROM next_sheet) - (SELECT count(*) FROM sheet) AS grown
+          FROM sheet p FULL JOIN golden g ON p.word = g.word AND p.def = g.def""",
+    ),
     "publish_csv": with_ctes(
         *ORDER_RECORDS,
         *GOLDEN,

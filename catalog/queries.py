@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import inputs as i
@@ -50,6 +50,7 @@ from lexlake.spec import (
     TIME,
     UPDATED_AT,
     VOCABULARY_CSV,
+    VOCABULARY_SHEET,
     WORKLIST_SHEET,
     TableSpec,
     schema,
@@ -436,6 +437,19 @@ def publish_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells_sorted(publish.reconcile(published, golden))
 
 
+def publish_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a publish into a sheet that users have worked on did, counted by the job that wrote it."""
+    golden = written(_golden(spark, sf_dir), "publish-golden")
+    store = SheetStore(spark, VOCABULARY_SHEET, new_work_path(spark, "publish_grown"))
+    before = store.publish(i.published_rows(golden, fixed.CELL_SEPARATOR))
+    counts = Observation()
+    after = jobs.update_vocabulary(golden, store, counts=counts)
+    states = (publish.INSERTED, publish.CHANGED, publish.KEPT)
+    row = tuple(counts.get[s] for s in states)
+    found = spark.createDataFrame([row], ", ".join(f"{s} long" for s in states))
+    return found.withColumn("grown", F.lit(publish.grown_rows(before, after)).cast("long"))
+
+
 def publish_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First publish as CSV snapshots; the second publish changes nothing but the stamp."""
     golden = written(_golden(spark, sf_dir), "publish-golden")
@@ -557,6 +571,7 @@ QUERIES = {
         response_policy_usage,
         enrich_cached,
         publish_merge,
+        publish_grown,
         publish_csv,
         publish_ids,
         worklist_substring,

@@ -3,11 +3,12 @@ import random
 
 import pytest
 from helpers import at, frame, plan, rows, same
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lexlake.functions.columns import merge_cell, usage_percent
 from lexlake.operators.ids import assign_ids
-from lexlake.operators.publish import grown_rows, pair_states, reconcile
+from lexlake.operators.publish import by_id, grown_rows, pair_states, reconcile
 from lexlake.operators.sheets import InvalidSheetError, read_sheet
 from lexlake.operators.worklist import contained_texts, render_worklist, unpublished
 from lexlake.plans.jobs import publish_csv, update_vocabulary, update_worklist
@@ -442,3 +443,28 @@ def test_substring_search_with_nothing_to_find_or_search(spark):
     assert rows(contained_texts(texts, cells_)) == [("abc",)]
     assert rows(contained_texts(texts.limit(0), cells_)) == []
     assert rows(contained_texts(texts, cells_.limit(0))) == []
+
+
+def test_publish_is_observed_and_sorts_new_rows_alone(spark, folder):
+    def record(word, n):
+        seen = at(f"2030-01-{n:02}")
+        return {"normalizedText": word, "definition": "d", "forms": [word], "books": [], "occurrences": n,
+                "firstOccurrence": seen, "latestOccurrence": seen}
+
+    store = SheetStore(spark, VOCABULARY_SHEET, f"{folder}/observed")
+    first, second = Observation(), Observation()
+    update_vocabulary(frame(spark, GOLDEN, *[record(f"w{i}", i) for i in range(1, 6)]), store, counts=first)
+    assert first.get == {"inserted": 5, "changed": 0, "kept": 0}
+    later = [record("w2", 9), record("w3", 3), record("new", 7), record("newer", 8)]
+    after = update_vocabulary(frame(spark, GOLDEN, *later), store, counts=second)
+    assert second.get == {"inserted": 2, "changed": 1, "kept": 4}
+    assert rows(after, "id", "normalizedText")[-2:] == [(6, "new"), (7, "newer")]
+    text = plan(reconcile(store.read(), frame(spark, GOLDEN, *later)))
+    assert "rangepartitioning" not in text and "Sort" in text
+
+
+@pytest.mark.parametrize("ids", [range(1, 30_001), [*range(-5, 0), *range(7, 9_000)], [1, 10**12, 5, 10**15], []])
+def test_rows_by_id(spark, ids):
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
+    ordered = by_id(df, min(ids, default=1), max(ids, default=1), len(ids))
+    assert [r.id for r in ordered.collect()] == sorted(ids)
