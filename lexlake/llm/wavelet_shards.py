@@ -3,19 +3,21 @@
 A shard holds the ids of consecutive documents as a wavelet matrix: one bit plane per bit of an id, from the highest on,
 where each plane lists the ids in the order that the planes above have sorted them into. With counts of ones before each
 block of a plane, one can read any id, count an id's occurrences and find them without unpacking the rest.
-A file holds compressed planes, the documents' ids and where each begins.
+A file holds the planes, their rank counts, the documents' ids and where each begins.
 
-File format: `MAGIC`, a little-endian length, a JSON header, then zstd-compressed sections at the places that the header
-names. Rank counts are made from the planes when a file is opened.
+File format: `MAGIC`, a little-endian length, a JSON header, then zstd-compressed sections of the lengths that the header
+names. Planes are compressed in frames, and a query expands only those frames that it needs.
 """
 
 from __future__ import annotations
 
 import io
 import json
+import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -27,39 +29,77 @@ from pyspark.sql import functions as F
 from lexlake.llm.common import texts
 from lexlake.session import new_work_path, written
 
-MAGIC = b"WMTX0001"
+MAGIC = b"WMTX0002"
 END = 1
 # ids in a shard, about: a shard is closed at the end of the document that reaches it
 SHARD_IDS = 4_000_000
+# bits of a plane that have a rank count, and bytes of one that are compressed together
 _BLOCK = 512
+_FRAME = 1 << 16
+# bytes of text whose unknown pieces are handed to the library together, and pieces in one call
+TOGETHER, IN_CALL = 4_000_000, 4096
 # distinct pieces of text whose ids a task remembers
 PIECES = 600_000
 PIECE_MARK = "<|startoftext|>"
 # what is cut off behind a word of letters: it neither is a letter, digit or blank nor begins a contraction
-_BEHIND = ".,;:!?#$%&*|"
+_BEHIND = b".,;:!?#$%&*|"
+
+
+class Frames:
+    """A plane in compressed frames of `_FRAME` bytes, of which the one last asked for is kept expanded."""
+
+    def __init__(self, frames: list[bytes]):
+        self._frames = frames
+        self._at, self._open = -1, np.empty(0, np.uint8)
+
+    def _frame(self, number: int) -> np.ndarray:
+        if number != self._at:
+            expanded = zstandard.ZstdDecompressor().decompress(self._frames[number])
+            self._at, self._open = number, np.frombuffer(expanded, np.uint8)
+        return self._open
+
+    def __getitem__(self, at: int | slice) -> np.uint8 | np.ndarray:
+        """A byte, or bytes of one block, which never lies in two frames."""
+        first = at.start if isinstance(at, slice) else at
+        if isinstance(at, slice):
+            if at.start >= at.stop:
+                return np.empty(0, np.uint8)
+            return self._frame(first // _FRAME)[first % _FRAME : (at.stop - 1) % _FRAME + 1]
+        return self._frame(first // _FRAME)[first % _FRAME]
+
+    def whole(self) -> np.ndarray:
+        expand = zstandard.ZstdDecompressor().decompress
+        return np.frombuffer(b"".join(map(expand, self._frames)), np.uint8)
 
 
 class WaveletMatrix:
-    """A sequence of non-negative integers that answers access, rank, count and select from bit planes."""
+    """A sequence of non-negative integers that answers access, rank, count and select from bit planes.
+
+    ``blocks`` are the ones before each block of each plane, and in all of it; they are counted where they aren't given.
+    """
 
-    def __init__(self, planes: list[np.ndarray], n: int):
+    def __init__(self, planes: list[np.ndarray] | list[Frames], n: int, blocks: list[np.ndarray] | None = None):
         self.n, self.bits, self.planes = n, len(planes), planes
-        # ones before each block of 512 bits, and in all of each plane
-        self.blocks = []
-        for plane in planes:
-            padded = np.zeros(-(-n // _BLOCK) * _BLOCK // 8 or 1, dtype=np.uint8)
-            padded[: len(plane)] = plane
-            ones = np.bitwise_count(padded).reshape(-1, min(_BLOCK // 8, len(padded))).sum(axis=1, dtype=np.int64)
-            self.blocks.append(np.concatenate([[0], np.cumsum(ones)]))
+        self.blocks = [self._counted(plane) for plane in planes] if blocks is None else blocks
         self.zeros = [n - int(b[-1]) for b in self.blocks]
 
+    def _counted(self, plane: np.ndarray) -> np.ndarray:
+        padded = np.zeros(-(-self.n // _BLOCK) * _BLOCK // 8 or 1, dtype=np.uint8)
+        padded[: len(plane)] = plane
+        ones = np.bitwise_count(padded).reshape(-1, min(_BLOCK // 8, len(padded))).sum(axis=1, dtype=np.int64)
+        return np.concatenate([[0], np.cumsum(ones)])
+
     @classmethod
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, now = [], np.asarray(ids)
+        planes, now = [], np.array(ids)
+        sorted_ = np.empty_like(now)
         for level in range(bits - 1, -1, -1):
-            set_ = (now >> np.array(level, now.dtype) & np.array(1, now.dtype)).astype(bool)
+            set_ = (now & now.dtype.type(1 << level)) != 0
             planes.append(np.packbits(set_, bitorder="little"))
-            now = np.concatenate([now[~set_], now[set_]])
+            zeros = len(now) - int(np.count_nonzero(set_))
+            np.compress(~set_, now, out=sorted_[:zeros])
+            np.compress(set_, now, out=sorted_[zeros:])
+            now, sorted_ = sorted_, now
         return cls(planes, len(ids))
 
     def _ones(self, level: int, at: int) -> int:
@@ -124,7 +164,9 @@ class WaveletMatrix:
         """All values: from the last plane up, each plane tells which values of the one below belong where."""
         values = np.zeros(self.n, dtype=np.uint32 if self.bits > 16 else np.uint16)
         for level in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            plane = self.planes[level]
+            plane = plane.whole() if isinstance(plane, Frames) else plane
+            ones = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             above = np.empty_like(values)
             above[~ones] = values[: self.zeros[level]]
             above[ones] = values[self.zeros[level] :] | values.dtype.type(1 << (self.bits - 1 - level))
@@ -138,7 +180,11 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, bits: i
     known = np.array([i is not None for i in doc_ids], dtype=np.uint8)
     numbers = np.array([0 if i is None else i for i in doc_ids], dtype="<i8")
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    sections = [squeeze(x.tobytes()) for x in (numbers, known, starts.astype("<i8"), *matrix.planes)]
+    sections = [squeeze(x.tobytes()) for x in (numbers, known, starts.astype("<i8"))]
+    # ones in each block: a block has 512 bits
+    sections += [squeeze(np.diff(b).astype("<u2").tobytes()) for b in matrix.blocks]
+    raw = [plane.tobytes() for plane in matrix.planes]
+    sections += [squeeze(plane[at : at + _FRAME]) for plane in raw for at in range(0, len(plane), _FRAME)]
     header = json.dumps(
         {"n": len(ids), "bits": bits, "docs": len(doc_ids), "sections": [len(s) for s in sections]}
     ).encode()
@@ -146,17 +192,22 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, bits: i
 
 
 def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    """The matrix of a shard's file, its documents' ids, and where each document begins."""
+    """The matrix of a shard's file, its documents' ids, and where each document begins. Planes stay compressed."""
     file = io.BytesIO(data)
     if file.read(8) != MAGIC:
         raise ValueError("not a wavelet matrix file")
     header = json.loads(file.read(int.from_bytes(file.read(8), "little")))
+    bits = header["bits"]
+    sections = [file.read(n) for n in header["sections"]]
     expand = zstandard.ZstdDecompressor().decompress
-    raw = [expand(file.read(n)) if n else b"" for n in header["sections"]]
+    raw = [expand(s) for s in sections[: 3 + bits]]
     numbers, known, starts = (np.frombuffer(x, t) for x, t in zip(raw, ("<i8", np.uint8, "<i8"), strict=False))
-    planes = [np.frombuffer(x, np.uint8) for x in raw[3:]]
+    blocks = [np.concatenate([[0], np.cumsum(np.frombuffer(x, "<u2"), dtype=np.int64)]) for x in raw[3:]]
+    frames = sections[3 + bits :]
+    each = len(frames) // bits
+    planes = [Frames(frames[at : at + each]) for at in range(0, each * bits, each)] if each else [Frames([])] * bits
     doc_ids = [int(i) if k else None for i, k in zip(numbers, known, strict=True)]
-    return WaveletMatrix(planes, header["n"]), doc_ids, starts
+    return WaveletMatrix(planes, header["n"], blocks), doc_ids, starts
 
 
 class PieceEncoder:
@@ -185,56 +236,77 @@ class PieceEncoder:
         return np.array(found.ids, dtype="<u4")
 
     def _learn(self, pieces: list[bytes]) -> None:
-        words: dict[str, bytes] = {}
         cut: list[tuple[bytes, str, str]] = []
         others: list[tuple[bytes, str]] = []
         for piece in pieces:
-            text = piece.decode("utf-8", "replace")
-            word = text.rstrip(_BEHIND)
-            if word.isalpha() and word.lower().isalpha():
-                words[word] = b""
-                cut.append((piece, word, text[len(word) :]))
+            stem = piece.rstrip(_BEHIND)
+            tail = piece[len(stem) :].decode()
+            if stem.isalpha():  # of bytes: ASCII letters only
+                cut.append((piece, stem.decode(), tail))
+                continue
+            word = stem.decode("utf-8", "replace")
+            # the library takes some letters apart first
+            if word.isalpha() and word.lower().isalpha() and unicodedata.normalize("NFC", word).isalpha():
+                cut.append((piece, word, tail))
             else:
-                others.append((piece, text))
+                others.append((piece, piece.decode("utf-8", "replace")))
+        words: dict[str, bytes] = dict.fromkeys(word for _, word, _ in cut)
         listed = list(words)
-        for at in range(0, len(listed), 512):
-            some = listed[at : at + 512]
+        for at in range(0, len(listed), IN_CALL):
+            some = listed[at : at + IN_CALL]
             self._share(some, words, " ".join(some), self._ends, keep=1)
         behind = {tail: self._library(tail).tobytes() for tail in {tail for _, _, tail in cut}}
         for piece, word, tail in cut:
             self._known[piece] = words[word] + behind[tail]
         mark = np.zeros(len(self._ends), dtype=bool)
         mark[self._mark] = True
-        for at in range(0, len(others), 256):
-            some = others[at : at + 256]
+        found: dict[str, bytes] = {}
+        for at in range(0, len(others), IN_CALL):
+            some = others[at : at + IN_CALL]
             if any("<|" in text for _, text in some):
                 for piece, text in some:
                     self._known[piece] = self._library(text).tobytes()
             else:
                 joined = PIECE_MARK.join([*(text for _, text in some), ""])
-                self._share([piece for piece, _ in some], self._known, joined, mark, keep=0)
+                self._share([text for _, text in some], found, joined, mark, keep=0)
+                self._known.update((piece, found[text]) for piece, text in some)
 
-    def _share(self, names: list, into: dict, joined: str, ends: np.ndarray, keep: int) -> None:
+    def _share(self, parts: list[str], into: dict[str, bytes], joined: str, ends: np.ndarray, keep: int) -> None:
         """Share the ids of a joined text out among its parts: each ends with a marked id, which it may keep."""
         ids = self._library(joined)
         last = np.flatnonzero(ends[ids])
+        if len(last) != len(parts):
+            # the library sees other parts than were joined, so it gets them one by one
+            into.update((part, self._library(part).tobytes()) for part in parts)
+            return
         first = np.concatenate([[0], last[:-1] + 1])
-        for name, low, high in zip(names, first.tolist(), (last + keep).tolist(), strict=True):
-            into[name] = ids[low:high].tobytes()
+        for part, low, high in zip(parts, first.tolist(), (last + keep).tolist(), strict=True):
+            into[part] = ids[low:high].tobytes()
 
-    def encode_all(self, found: list[str | None]) -> Iterator[np.ndarray]:
+    def encode_all(self, found: Iterable[str | None]) -> Iterator[np.ndarray]:
+        held: list[list[bytes]] = []
+        size = 0
+        for text in found:
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            # the vocabulary is in lower case; marks of special tokens are told apart by case
+            held.append((raw if b"<|" in raw else raw.lower()).split())
+            size += len(raw)
+            if size >= TOGETHER:
+                yield from self._encoded(held)
+                held, size = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, held: list[list[bytes]]) -> Iterator[np.ndarray]:
         if len(self._known) > PIECES:  # short pieces are the ones that come again
             self._known = {p: ids for p, ids in self._known.items() if len(p) <= 7}
             if len(self._known) > PIECES // 2:
                 self._known.clear()
-        for text in found:
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            # the vocabulary is in lower case; marks of special tokens are told apart by case
-            pieces = (raw if b"<|" in raw else raw.lower()).split()
-            unknown = set(pieces).difference(self._known)
-            if unknown:
-                self._learn(sorted(unknown))
-            yield np.frombuffer(b"".join([self._known[p] for p in pieces]), dtype="<u4")
+        unknown = set(chain.from_iterable(held)).difference(self._known)
+        if unknown:
+            self._learn(list(unknown))
+        ids = self._known.__getitem__
+        for pieces in held:
+            yield np.frombuffer(b"".join(map(ids, pieces)), dtype="<u4")
 
 
 @cache
@@ -254,7 +326,13 @@ def _store(folder: str, name: str, data: bytes) -> None:
     attempt = f"{path}/_{name}-{uuid.uuid4().hex}"
     with system.open_output_stream(attempt) as out:
         out.write(data)
-    system.move(attempt, f"{path}/{name}")
+    try:
+        system.move(attempt, f"{path}/{name}")
+    except OSError:
+        # a task that runs again finds the file, which has the same content
+        if system.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+            raise
+        system.delete_file(attempt)
 
 
 def write_shards(docs: DataFrame, vocabulary: str, folder: str, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -310,6 +388,8 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
             for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
                 matrix, doc_ids, starts = unpack(data.as_buffer().to_pybytes())
                 ids = matrix.all().astype("<u4")
+                if matrix.count(END) != np.count_nonzero(ids == END):
+                    raise ValueError(f"rank counts of {path} do not fit its planes")
                 ends = np.append(starts[1:], matrix.n)
                 sums = [crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
                 file = path.as_py().rsplit("/", 1)[-1]

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import unicodedata
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -227,6 +228,28 @@ def test_packed_shards_come_back():
         wavelet_shards.unpack(b"something else")
 
 
+def test_a_file_is_read_in_part(monkeypatch):
+    ids = np.random.default_rng(1).integers(0, 49_000, 700_000).astype(np.uint16)
+    ids[::1000] = 77
+    matrix, _, _ = wavelet_shards.unpack(wavelet_shards.pack(ids, [1], np.array([0]), 16))
+    # rank counts come from the file, and planes are not expanded as a whole
+    monkeypatch.setattr(wavelet_shards.Frames, "whole", lambda _: pytest.fail("expanded"))
+    for at in (0, 1, 511, 512, 524_287, 524_288, 699_999):
+        assert matrix.access(at) == ids[at]
+        assert matrix.rank(77, at) == np.count_nonzero(ids[:at] == 77)
+    assert matrix.select(77, 600) == np.flatnonzero(ids == 77)[600]
+
+
+def test_pieces_with_letters_of_all_scripts(tokenizer):
+    letters = [chr(c) for c in range(0x80, 0x30000) if unicodedata.category(chr(c))[0] in "LMN"]
+    pieces = [f"ab{c}cd" for c in letters] + [f"{c}," for c in letters]
+    for at in range(0, len(pieces), 5000):
+        some = pieces[at : at + 5000]
+        [ids] = wavelet_shards.encoder(VOCABULARY).encode_all([" ".join(some)])
+        want = [i for found in tokenizer.encode_batch(some, add_special_tokens=False) for i in found.ids]
+        assert ids.tolist() == want
+
+
 @pytest.mark.parametrize("shard_ids", [4_000_000, 700])
 def test_token_files(spark, make_docs, documents, tokenizer, shard_ids, monkeypatch):
     monkeypatch.setattr(wavelet_shards.write_shards, "__defaults__", (shard_ids,))
