@@ -34,7 +34,7 @@ COVERED = 50
 TOP = 2000
 NO_LANGUAGE = "und"
 # words counted before their stripes are sent; three word numbers of a block must fit 64 bits
-BLOCK = 2_000_000
+BLOCK = 1_200_000
 # documents of the sample, the share of its words that makes a prefix frequent, and the parts of such a stripe
 SAMPLE_ROWS, FREQUENT, PARTS = 20_000, 4096, 64
 ROOT_PARTS = 1024
