@@ -6,9 +6,10 @@ from helpers import at, frame, plan, rows, same
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from lexlake.functions import fixed_values as fixed
 from lexlake.functions.columns import merge_cell, usage_percent
 from lexlake.operators.ids import assign_ids
-from lexlake.operators.publish import by_id, grown_rows, pair_states, reconcile
+from lexlake.operators.publish import ARRAY_CELLS, by_id, grown_rows, pair_states, reconcile
 from lexlake.operators.sheets import InvalidSheetError, read_sheet
 from lexlake.operators.worklist import contained_texts, render_worklist, unpublished
 from lexlake.plans.jobs import publish_csv, update_vocabulary, update_worklist
@@ -58,115 +59,74 @@ def sheet_row(id, word, definition, **cells):
     return {**row, "id": id, "status": "new", "normalizedText": word, "definition": definition, "occurrences": 1, **cells}
 
 
-DUCK = golden_record(
-    "duck",
-    "bird",
-    "1999-01-01T01:01:01",
-    "2000-01-01T01:01:01",
-    forms=["duck", "ducks"],
-    books=["duck Book", "ducks Book"],
-    n=2,
-    examples=["quack"],
-    synonyms=["s1", "s2"],
-    antonyms=["a"],
-    translations=["t"],
-)
-PEEVISH = golden_record(
-    "peevish",
-    "irritable",
-    "2000-01-01T01:01:01",
-    pos="adjective",
-    forms=["peevish"],
-    books=["P"],
-    usage=0.25,
-    synonyms=["x", "...", "m"],
+HERON = golden_record(
+    "heron",
+    "wading bird",
+    "2027-04-02T10:20:30",
+    "2029-08-09T11:12:13",
+    forms=["Heron", "herons", "heron's"],
+    books=["Fens", "Marshes"],
+    n=14,
+    examples=["a heron stood in the reeds", "herons nest in trees"],
+    synonyms=["egret"],
+    translations=["цапля"],
 )
+TERSE = golden_record(
+    "terse", "short in words", "2028-01-31T00:00:09", pos="adjective", forms=["terse"], books=["Letters"], usage=0.125,
+    antonyms=["wordy", "long-winded"],
+)
 
 
 def test_first_publish_numbers_by_first_occurrence(spark):
-    empty = frame(spark, VOCABULARY_SHEET)
-    published = reconcile(empty, frame(spark, GOLDEN, PEEVISH, DUCK), ", ")
-    same(
-        published,
-        frame(
-            spark,
-            VOCABULARY_SHEET,
-            sheet_row(
-                1,
-                "duck",
-                "bird",
-                partOfSpeech="noun",
-                phonetic="/duck/",
-                forms="duck, ducks",
-                sources="duck Book, ducks Book",
-                occurrences=2,
-                firstOccurrence="1999-01-01 01:01:01",
-                latestOccurrence="2000-01-01 01:01:01",
-                examples="quack",
-                synonyms="s1, s2",
-                antonyms="a",
-                translations="t",
-                usage="100.000000%",
-            ),
-            sheet_row(
-                2,
-                "peevish",
-                "irritable",
-                partOfSpeech="adjective",
-                phonetic="/peevish/",
-                forms="peevish",
-                sources="P",
-                firstOccurrence="2000-01-01 01:01:01",
-                latestOccurrence="2000-01-01 01:01:01",
-                synonyms="x, ..., m",
-                usage="25.000000%",
-            ),
-        ),
-    )
+    """Golden's columns become cells: lists joined, times and shares written out, user cells empty."""
+    published = reconcile(frame(spark, VOCABULARY_SHEET), frame(spark, GOLDEN, TERSE, HERON), " / ")
+    heron, terse = sorted(published.collect(), key=lambda r: r.id)
+    assert (heron.id, heron.normalizedText, terse.id, terse.normalizedText) == (1, "heron", 2, "terse")
+    for row, record in ((heron, HERON), (terse, TERSE)):
+        for cell, column in ARRAY_CELLS.items():
+            assert row[cell] == " / ".join(record[column])
+        for time in ("firstOccurrence", "latestOccurrence"):
+            assert row[time] == record[time].strftime("%Y-%m-%d %H:%M:%S")
+        for same_cell in ("definition", "partOfSpeech", "phonetic", "occurrences"):
+            assert row[same_cell] == record[same_cell]
+        assert (row.status, row.tags, row.notes) == ("new", "", "")
+    assert (heron.usage, terse.usage) == ("100.000000%", "12.500000%")
 
 
 def test_user_edits_win_and_lists_unite(spark):
-    published = frame(
-        spark,
-        VOCABULARY_SHEET,
-        sheet_row(
-            1,
-            "duck",
-            "bird",
-            status="learned",
-            partOfSpeech="",
-            phonetic="/edited/",
-            sources=f"duck Book{SEP}manual",
-            examples="manual example",
-            synonyms=".",
-            usage="50.000000%",
-            firstOccurrence="1998-01-01 01:01:01",
-            tags="birds",
-            notes="see pond",
-        ),
-        sheet_row(2, "die hard", "slow", partOfSpeech="phrase", occurrences=4, firstOccurrence=" ", forms="die hard"),
-        sheet_row(4, "gone", "not in golden", sources="kept", occurrences=7),
-    )
+    """Row 3 has every text cell edited, row 5 blanks, row 8 is unknown to golden; three records are new."""
+    edited = sheet_row(
+        3, "heron", "wading bird", status="known well", partOfSpeech="a bird", phonetic="", forms="grey heron",
+        sources=f"Marshes{SEP}a walk", examples="seen today", usage="often", occurrences=2, tags="fens; birds",
+        notes="look for nests", firstOccurrence="some day",
+    )
+    blank = sheet_row(5, "give in", "to yield", partOfSpeech="phrase", forms="give in", firstOccurrence="  ", occurrences=6)
+    unknown = sheet_row(8, "mine", "by hand", sources="my own", occurrences=11)
     golden = frame(
         spark,
         GOLDEN,
-        DUCK,
-        golden_record("die hard", "slow", "1999-01-01T01:01:02", pos=None, forms=["die hard"], usage=None),
-        PEEVISH,
-        golden_record("late", "second", "2001-01-01"),
-        golden_record("early", "first", "1990-01-01"),
+        golden_record("third", "newest", "2031-01-01"),
+        HERON,
+        TERSE,
+        golden_record("give in", "to yield", "2026-05-05T05:05:05", pos=None, forms=["gave in", "give in"], usage=None),
+        golden_record("first", "oldest", "2025-01-01"),
     )
-    result = {r.id: r for r in reconcile(published, golden).collect()}
-    assert sorted(result) == [1, 2, 4, 5, 6, 7]
-    assert [result[i].normalizedText for i in (5, 6, 7)] == ["early", "peevish", "late"]
-    duck = result[1]
-    assert (duck.status, duck.partOfSpeech, duck.phonetic, duck.usage) == ("learned", "", "/edited/", "50.000000%")
-    assert (duck.occurrences, duck.firstOccurrence, duck.tags, duck.notes) == (2, "1999-01-01 01:01:01", "birds", "see pond")
-    assert duck.sources == f"duck Book{SEP}manual{SEP}ducks Book"
-    assert duck.examples == f"manual example{SEP}quack" and duck.synonyms == f".{SEP}s1{SEP}s2" and duck.translations == "t"
-    phrase = result[2]
-    assert (phrase.partOfSpeech, phrase.occurrences, phrase.firstOccurrence) == ("phrase", 1, "1999-01-01 01:01:02")
-    assert (result[4].occurrences, result[4].sources) == (7, "kept")
+    result = {r.id: r for r in reconcile(frame(spark, VOCABULARY_SHEET, blank, unknown, edited), golden).collect()}
+    assert {i: r.normalizedText for i, r in result.items()} == {
+        3: "heron", 5: "give in", 8: "mine", 9: "first", 10: "terse", 11: "third",
+    }
+    heron, give_in, mine = (result[i] for i in (3, 5, 8))
+    # text cells are the user's, empty ones too; counts and times are golden's; lists are the user's entries and what they lack
+    for cell in ("status", "partOfSpeech", "phonetic", "usage", "tags", "notes"):
+        assert heron[cell] == edited[cell]
+    assert (heron.occurrences, heron.firstOccurrence) == (14, "2027-04-02 10:20:30")
+    assert heron.sources.split(SEP) == ["Marshes", "a walk", "Fens"]
+    assert heron.forms.split(SEP) == ["grey heron", "Heron", "herons", "heron's"]
+    assert heron.examples.split(SEP) == ["seen today", *HERON["examples"]]
+    assert (heron.synonyms, heron.translations) == ("egret", "цапля")
+    assert (give_in.partOfSpeech, give_in.forms.split(SEP)) == ("phrase", ["give in", "gave in"])
+    assert (give_in.occurrences, give_in.firstOccurrence, give_in.usage) == (1, "2026-05-05 05:05:05", "")
+    assert mine.asDict() == {**unknown, "id": 8}
 
 
 def test_rows_without_a_whole_key_match_nothing_and_stay(spark):
@@ -320,7 +280,7 @@ def test_cells_survive_the_sheet(spark, folder):
 
 def test_publishing_the_vocabulary_twice_changes_nothing(spark, folder):
     store = SheetStore(spark, VOCABULARY_SHEET, f"{folder}/vocabulary")
-    golden = frame(spark, GOLDEN, DUCK, PEEVISH)
+    golden = frame(spark, GOLDEN, HERON, TERSE)
     first = rows(update_vocabulary(golden, store))
     assert [r[0] for r in first] == [1, 2]
     assert rows(update_vocabulary(golden, store)) == first
@@ -340,50 +300,53 @@ def test_snapshots_keep_their_history_in_one_file_each(spark, folder):
 
 
 def test_csv_snapshots_keep_edits_and_use_one_file_each(spark, folder):
+    """The newest snapshot is the sheet that golden is merged into; CSV cells use their own separator."""
     table = SnapshotTable(spark, VOCABULARY_CSV, f"{folder}/published", output_files=1)
-    edited = {k: v for k, v in sheet_row(2, "die hard", "slow", partOfSpeech="phrase").items() if k not in ("tags", "notes")}
-    learned = {
-        **edited,
-        **dict(id=1, status="learned", normalizedText="duck", definition="bird", sources="duck Book, manual", synonyms="."),
-    }
-    table.write(frame(spark, VOCABULARY_CSV, edited, learned), at("2019-01-01"))
-    die_hard = golden_record("die hard", "slow", "1999-01-01T01:01:02", pos=None, forms=["die hard"])
-    result = publish_csv(frame(spark, GOLDEN, DUCK, die_hard, PEEVISH).repartition(3), table, at("2020-01-01"))
-    assert rows(result, "id", "status", "partOfSpeech", "sources", "synonyms", "usage", "updatedAt") == [
-        (1, "learned", "phrase", "duck Book, manual, ducks Book", "., s1, s2", "", at("2020-01-01")),
-        (2, "new", "phrase", "", "", "", at("2020-01-01")),
-        (3, "new", "adjective", "P", "x, ..., m", "25.000000%", at("2020-01-01")),
+
+    def stored(*args, **cells):
+        return {k: v for k, v in sheet_row(*args, **cells).items() if k not in ("tags", "notes")}
+
+    table.write(frame(spark, VOCABULARY_CSV, stored(1, "stale", "an older snapshot")), at("2031-01-01"))
+    own = stored(4, "heron", "wading bird", status="known well", sources="a walk, Fens", partOfSpeech="a bird")
+    table.write(frame(spark, VOCABULARY_CSV, own, stored(6, "mine", "by hand")), at("2031-02-01"))
+    result = publish_csv(frame(spark, GOLDEN, TERSE, HERON).repartition(3), table, at("2031-03-01"))
+    assert rows(result, "id", "status", "partOfSpeech", "sources", "antonyms", "usage", "updatedAt") == [
+        (4, "known well", "a bird", "a walk, Fens, Marshes", "", "", at("2031-03-01")),
+        (6, "new", "", "", "", "", at("2031-03-01")),
+        (7, "new", "adjective", "Letters", "wordy, long-winded", "12.500000%", at("2031-03-01")),
     ]
-    assert table.history().count() == 5
+    assert table.history().count() == 6
     files = [f for _, _, names in os.walk(f"{folder}/published") for f in names if f.endswith(".csv")]
-    assert len(files) == 2
+    assert len(files) == 3
 
 
 # ---- worklist -----------------------------------------------------------------------------------------------------
 
 
-def undefined(text, *books, year=2100, **more):
-    seen = at(f"{year}-01-01T01:01:01")
-    stats = dict(books=list(books), occurrences=1, firstOccurrence=seen, latestOccurrence=seen, updatedAt=seen)
+def undefined(text, *books, day=7, **more):
+    seen = at(f"2033-06-{day:02}T04:05:06")
+    stats = dict(books=list(books), occurrences=day, firstOccurrence=seen, latestOccurrence=seen, updatedAt=seen)
     return {"text": text, **stats, **more}
 
 
 def test_the_worklist_lists_unpublished_undefined_tokens(spark, folder):
+    missing = fixed.MISSING_TEXT
     silver = frame(
         spark,
         SILVER,
-        undefined("aaa", "aaa Book", "aaa Book2"),
-        undefined("aa", "aa Book", year=1999),
-        undefined("a", "a Book"),
-        undefined("filled", "f", normalizedText="!ENRICHMENT NOT FOUND!", definition="!ENRICHMENT NOT FOUND!"),
-        undefined("diehard", "d", normalizedText="diehard", definition="one who opposes change"),
+        undefined("glim", "Atlas", "Botany"),
+        undefined("grot", "Atlas", day=9),
+        # inside a form of another word
+        undefined("rot", "Atlas"),
+        undefined("not found", "Cellar", normalizedText=missing, definition=missing),
+        undefined("known", "Cellar", normalizedText="known", definition="that is known"),
     )
-    published = spark.createDataFrame([("a,an",), ("die hard,diehard",)], "forms string")
+    published = spark.createDataFrame([("trot,trots",), ("over and out",)], "forms string")
     store = SheetStore(spark, WORKLIST_SHEET, f"{folder}/worklist", keep=0)
     expected = [
-        ("aa", "aa Book", 1, "1999-01-01 01:01:01", "1999-01-01 01:01:01"),
-        ("aaa", "aaa Book, aaa Book2", 1, "2100-01-01 01:01:01", "2100-01-01 01:01:01"),
-        ("filled", "f", 1, "2100-01-01 01:01:01", "2100-01-01 01:01:01"),
+        ("glim", "Atlas, Botany", 7, "2033-06-07 04:05:06", "2033-06-07 04:05:06"),
+        ("grot", "Atlas", 9, "2033-06-09 04:05:06", "2033-06-09 04:05:06"),
+        ("not found", "Cellar", 7, "2033-06-07 04:05:06", "2033-06-07 04:05:06"),
     ]
     assert rows(update_worklist(silver, published, store)) == expected
     assert rows(update_worklist(silver, published, store)) == expected
@@ -391,9 +354,9 @@ def test_the_worklist_lists_unpublished_undefined_tokens(spark, folder):
 
 
 def test_line_breaks_in_tokens_and_forms(spark):
-    silver = frame(spark, SILVER, undefined("a\na", "b"), undefined("die\nhard", "b"))
-    published = spark.createDataFrame([("aa,a\na,a a",), ("die hard,diehard",), (None,)], "forms string")
-    assert rows(unpublished(render_worklist(silver), published), "text") == [("die\nhard",)]
+    silver = frame(spark, SILVER, undefined("x\ny", "Atlas"), undefined("left\nright", "Atlas"))
+    published = spark.createDataFrame([("xy,x\nyz,x y",), ("left right,leftright",), (None,)], "forms string")
+    assert rows(unpublished(render_worklist(silver), published), "text") == [("left\nright",)]
 
 
 def test_whole_forms_only(spark):
