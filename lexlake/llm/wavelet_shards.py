@@ -15,9 +15,10 @@ import io
 import json
 import unicodedata
 import uuid
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import count, islice
 from zlib import crc32
 
 import numpy as np
@@ -228,14 +229,20 @@ class PieceEncoder:
         self._ends = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
         for token, number in self._tokenizer.get_vocab().items():
             self._ends[number] = token.endswith(suffix)
-        self._known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # pieces are numbered as they come; piece i has the ids from _begin[i] to _begin[i + 1] in _flat
+        self._numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self._flat, self._begin = np.empty(0, "<u4"), np.zeros(1, np.int64)
 
     def _library(self, text: str) -> np.ndarray:
         # encode_batch_fast leaves out what only offsets need
         [found] = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, dtype="<u4")
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        known: dict[bytes, bytes] = {}
         cut: list[tuple[bytes, str, str]] = []
         others: list[tuple[bytes, str]] = []
         for piece in pieces:
@@ -257,7 +264,7 @@ class PieceEncoder:
             self._share(some, words, " ".join(some), self._ends, keep=1)
         behind = {tail: self._library(tail).tobytes() for tail in {tail for _, _, tail in cut}}
         for piece, word, tail in cut:
-            self._known[piece] = words[word] + behind[tail]
+            known[piece] = words[word] + behind[tail]
         mark = np.zeros(len(self._ends), dtype=bool)
         mark[self._mark] = True
         found: dict[str, bytes] = {}
@@ -265,11 +272,12 @@ class PieceEncoder:
             some = others[at : at + IN_CALL]
             if any("<|" in text for _, text in some):
                 for piece, text in some:
-                    self._known[piece] = self._library(text).tobytes()
+                    known[piece] = self._library(text).tobytes()
             else:
                 joined = PIECE_MARK.join([*(text for _, text in some), ""])
                 self._share([text for _, text in some], found, joined, mark, keep=0)
-                self._known.update((piece, found[text]) for piece, text in some)
+                known.update((piece, found[text]) for piece, text in some)
+        return [known[p] for p in pieces]
 
     def _share(self, parts: list[str], into: dict[str, bytes], joined: str, ends: np.ndarray, keep: int) -> None:
         """Share the ids of a joined text out among its parts: each ends with a marked id, which it may keep."""
@@ -297,16 +305,22 @@ class PieceEncoder:
         yield from self._encoded(held)
 
     def _encoded(self, held: list[list[bytes]]) -> Iterator[np.ndarray]:
-        if len(self._known) > PIECES:  # short pieces are the ones that come again
-            self._known = {p: ids for p, ids in self._known.items() if len(p) <= 7}
-            if len(self._known) > PIECES // 2:
-                self._known.clear()
-        unknown = set(chain.from_iterable(held)).difference(self._known)
-        if unknown:
-            self._learn(list(unknown))
-        ids = self._known.__getitem__
-        for pieces in held:
-            yield np.frombuffer(b"".join(map(ids, pieces)), dtype="<u4")
+        if len(self._numbers) > PIECES:
+            self._forget()
+        before = len(self._numbers)
+        number = self._numbers.__getitem__
+        numbers = [np.fromiter(map(number, pieces), np.int64, len(pieces)) for pieces in held]
+        fresh = list(islice(self._numbers, before, None))
+        if fresh:
+            found = self._ids_of(fresh)
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            self._flat = np.concatenate([self._flat, np.frombuffer(b"".join(found), "<u4")])
+            self._begin = np.concatenate([self._begin, self._begin[-1] + np.cumsum(sizes)])
+        for own in numbers:
+            begin = self._begin[own]
+            sizes = self._begin[own + 1] - begin
+            ends = np.cumsum(sizes)
+            yield self._flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 @cache
