@@ -35,19 +35,18 @@ def test_the_book_label_is_made_once_per_highlight(spark):
 
 
 def test_punctuation_splits_and_single_characters_drop(spark):
+    """Runs of separators, a token twice in one highlight, other cases of letters, tokens of one letter."""
     stage = frame(
         spark,
         STAGE,
-        highlight(1, "one ,two,three", 1, 1, FIRST),
-        highlight(2, ", one!TWO!three's", 2, 2, FIRST),
-        highlight(3, "Four.four", 1, 3, FIRST),
-        highlight(4, "A.a", 1, 4, FIRST),
+        highlight(11, "river;bank (mud)", 5, 4, FIRST),
+        highlight(12, "Mud... RIVER? mud!", 6, 7, FIRST),
+        highlight(13, "x;y;z", 5, 9, FIRST),
     )
     assert rows(tokens_by_text(stage)) == [
-        ("four", label(1), 2, epoch(3), epoch(3)),
-        ("one", label(1, 2), 2, epoch(1), epoch(2)),
-        ("three", label(1, 2), 2, epoch(1), epoch(2)),
-        ("two", label(1, 2), 2, epoch(1), epoch(2)),
+        ("bank", label(5), 1, epoch(4), epoch(4)),
+        ("mud", label(5, 6), 3, epoch(4), epoch(7)),
+        ("river", label(5, 6), 2, epoch(4), epoch(7)),
     ]
 
 
@@ -68,28 +67,25 @@ def test_missing_title_and_author_print_as_null(spark):
 
 
 def test_merge_adds_up_and_widens(spark, folder):
+    """A later run meets a stored token in a known book with an earlier time, and a new token."""
     bronze = KeyedTable(spark, BRONZE, f"{folder}/bronze", buckets=4)
-    before = [
-        highlight(1, "one!Two", 1, 1, at("2020-01-01T01:01:00")),
-        highlight(2, ", one", 2, 2, at("2020-01-01T01:01:00")),
-        highlight(3, "Four.four", 1, 3, at("2020-01-01T01:01:00")),
-    ]
-    update_bronze(frame(spark, STAGE, *before), bronze, FIRST)
-    after = [highlight(0, "Two", 1, 0, SECOND), highlight(4, " Four ", 3, 4, SECOND)]
-    result = update_bronze(frame(spark, STAGE, *before, *after), bronze, SECOND)
+    stored = [highlight(21, "salt", 4, 5, at("2019-09-09")), highlight(22, "pepper! salt", 6, 3, at("2019-09-09"))]
+    update_bronze(frame(spark, STAGE, *stored), bronze, FIRST)
+    fresh = [highlight(23, "Salt?", 4, 1, SECOND), highlight(24, "thyme", 4, 8, SECOND)]
+    result = update_bronze(frame(spark, STAGE, *stored, *fresh), bronze, SECOND)
     assert rows(result) == [
-        ("four", label(1, 3), 3, epoch(3), epoch(4), SECOND),
-        ("one", label(1, 2), 2, epoch(1), epoch(2), FIRST),
-        ("two", label(1), 2, epoch(0), epoch(1), SECOND),
+        ("pepper", label(6), 1, epoch(3), epoch(3), FIRST),
+        ("salt", label(4, 6), 3, epoch(1), epoch(5), SECOND),
+        ("thyme", label(4), 1, epoch(8), epoch(8), SECOND),
     ]
 
 
 def test_older_highlights_are_skipped_and_nothing_is_rewritten(spark, folder):
     bronze = KeyedTable(spark, BRONZE, f"{folder}/bronze", buckets=4)
-    stage = frame(spark, STAGE, highlight(0, "zero!", 0, 0, at("2020-01-01T01:01:00")))
+    stage = frame(spark, STAGE, highlight(31, "cumin; cumin", 7, 2, at("2019-09-09")))
     update_bronze(stage, bronze, FIRST)
     files = bronze.snapshot().inputFiles()
-    assert rows(update_bronze(stage, bronze, SECOND)) == [("zero", label(0), 1, epoch(0), epoch(0), FIRST)]
+    assert rows(update_bronze(stage, bronze, SECOND)) == [("cumin", label(7), 2, epoch(2), epoch(2), FIRST)]
     assert bronze.snapshot().inputFiles() == files
 
 

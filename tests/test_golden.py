@@ -10,10 +10,10 @@ from lexlake.plans.jobs import update_golden
 from lexlake.sources.keyed_tables import KeyedTable
 from lexlake.spec import GOLDEN, SILVER, VOCABULARY_SHEET
 
-Y = {y: at(f"{y}-01-01T01:01:01") for y in (1999, 2000, 2001, 2002, 2019, 2020, 2021, 2022, 2023, 2024)}
+Y = {y: at(f"{y}-03-05T07:08:09") for y in range(1999, 2027)}
 
 
-def form(text, definition, stamp, word="duck", pos="noun", seen=2000, n=1, book=None, phonetic="/dʌk/", examples=()):
+def form(text, definition, stamp, word="oak", pos="noun", seen=2000, n=1, book=None, phonetic="/əʊk/", examples=()):
     return dict(
         text=text,
         books=[book or f"{text} Book"],
@@ -32,12 +32,12 @@ def form(text, definition, stamp, word="duck", pos="noun", seen=2000, n=1, book=
 
 
 def record(
-    definition, stamp, forms, word="duck", pos="noun", n=1, first=2000, latest=2000, translations=("t",), usage=1.0
+    definition, stamp, forms, word="oak", pos="noun", n=1, first=2000, latest=2000, translations=("t",), usage=1.0
 ):
     return dict(
         normalizedText=word,
         partOfSpeech=pos,
-        phonetic="/dʌk/",
+        phonetic="/əʊk/",
         forms=list(forms),
         books=[f"{f} Book" for f in forms],
         occurrences=n,
@@ -74,24 +74,26 @@ def golden_with(spark, folder, *stored):
 
 
 def test_newest_form_gives_the_attributes_and_all_forms_the_statistics(spark):
-    silver = frame(
-        spark,
-        SILVER,
-        form("ducks", "bird", 2020, n=2, seen=2000),
-        form("duck", "bird", 2021, n=1, seen=2001, examples=["quack"]),
-        form("duck", "other", 2021, n=2, seen=2001, examples=["quack"]),
-        form("ducking", "to dip", 2020, pos="verb", seen=2000, book="verbs", examples=["old"]),
-        form("duck", "to dip", 2021, pos="verb", seen=2001, book="verbs", examples=["new"]),
-        form("ducked", "to dip", 2022, pos=None, phonetic=None, seen=2002, book="more verbs"),
-    )
-    columns = ["definition", "partOfSpeech", "phonetic", "forms", "books", "occurrences"]
-    columns += ["firstOccurrence", "latestOccurrence", "examples"]
-    assert rows(group_definitions(silver), *columns) == [
-        ("bird", "noun", "/dʌk/", ("duck", "ducks"), ("duck Book", "ducks Book"), 3, Y[2000], Y[2001], ("quack",)),
-        ("other", "noun", "/dʌk/", ("duck",), ("duck Book",), 2, Y[2001], Y[2001], ("quack",)),
-        # the newest form wins even where it has no value
-        ("to dip", None, None, ("duck", "ducked", "ducking"), ("more verbs", "verbs"), 3, Y[2000], Y[2002], ()),
+    """By rule: attributes of the newest form, NULLs too; sums, ranges and sets over all forms of a record."""
+    forms = [
+        form("mills", "grinding house", 2024, word="mill", n=4, seen=2003, book="Grain"),
+        form("Mill", "grinding house", 2026, word="mill", n=6, seen=2001, book="Water", examples=["by the mill"]),
+        form("milled", "to grind", 2025, word="mill", pos="verb", n=3, seen=2004, book="Grain", examples=["milled flour"]),
+        form("milling", "to grind", 2026, word="mill", pos=None, phonetic=None, n=5, seen=2002, book="Grain"),
+        form("mill", "grinding house", 2020, word="miller", n=9, seen=2000, book="Names"),
     ]
+    got = {(r.normalizedText, r.definition): r for r in group_definitions(frame(spark, SILVER, *forms)).collect()}
+    assert set(got) == {(f["normalizedText"], f["definition"]) for f in forms}
+    for key, record_ in got.items():
+        mine = [f for f in forms if (f["normalizedText"], f["definition"]) == key]
+        newest = max(mine, key=lambda f: f["updatedAt"])
+        for column in ("partOfSpeech", "phonetic", "examples"):
+            assert record_[column] == newest[column]
+        assert record_.occurrences == sum(f["occurrences"] for f in mine)
+        assert record_.firstOccurrence == min(f["firstOccurrence"] for f in mine)
+        assert record_.latestOccurrence == max(f["latestOccurrence"] for f in mine)
+        assert record_.forms == sorted(f["text"] for f in mine)
+        assert record_.books == sorted({b for f in mine for b in f["books"]})
 
 
 def test_equally_new_forms_are_settled_by_text(spark):
@@ -101,20 +103,21 @@ def test_equally_new_forms_are_settled_by_text(spark):
 
 
 def test_first_run_groups_translates_and_inserts(spark, folder):
+    """Two forms make one record; rows whose key is NULL in part, or as a whole, make none."""
     golden = golden_with(spark, folder)
     silver = frame(
         spark,
         SILVER,
-        form("duck", "bird", 2021, seen=1999),
-        form("ducks", "bird", 2020),
-        {**form("x", None, 2021, word=None), "definition": None},
-        {**form("y", None, 2021), "definition": None},
-        form("z", "no word", 2021, word=None),
+        form("oaks", "a tree", 2020, seen=2001, n=3),
+        form("oak", "a tree", 2022, seen=1999, n=4),
+        form("acorn", "its fruit", 2021, word=None),
+        {**form("bark", None, 2021), "definition": None},
+        {**form("root", None, 2021, word=None), "definition": None},
     )
     seen = []
     result = update_golden(silver, golden, translate(seen), find_usage, Y[2023])
-    assert seen == [("duck", "bird")]
-    expected = record("bird", 2023, ["duck", "ducks"], n=2, first=1999, translations=["duck translated"])
+    assert seen == [("oak", "a tree")]
+    expected = record("a tree", 2023, ["oak", "oaks"], n=7, first=1999, latest=2001, translations=["oak translated"])
     same(result, frame(spark, GOLDEN, expected))
 
 
@@ -123,36 +126,36 @@ def test_later_run_refreshes_statistics_and_keeps_enrichment(spark, folder, monk
     """Both ways to find the touched records: broadcast keys, and grouping everything."""
     monkeypatch.setattr(jobs, "BROADCAST_LIMIT", broadcast_limit)
     untouched = record("quiet", 2022, ["calm"], word="calm", translations=["kept"])
-    golden = golden_with(spark, folder, record("bird", 2022, ["duck"], translations=["stored"], usage=0.5), untouched)
+    golden = golden_with(spark, folder, record("a tree", 2022, ["oak"], translations=["stored"], usage=0.5), untouched)
     silver = frame(
         spark,
         SILVER,
-        form("duck", "bird", 2021, seen=1999),
-        form("ducks", "bird", 2023, seen=2001),
+        form("oak", "a tree", 2021, seen=1999),
+        form("oaks", "a tree", 2023, seen=2001),
         form("calm", "quiet", 2021, word="calm"),
-        form("peevish", "irritable", 2023, word="peevish"),
+        form("brisk", "quick", 2023, word="brisk"),
     )
     seen = []
     result = update_golden(silver, golden, translate(seen), find_usage, Y[2024])
-    assert seen == [("peevish", "irritable")]
+    assert seen == [("brisk", "quick")]
     same(
         result,
         frame(
             spark,
             GOLDEN,
-            record("bird", 2024, ["duck", "ducks"], n=2, first=1999, latest=2001, translations=["stored"], usage=0.5),
-            record("irritable", 2024, ["peevish"], word="peevish", translations=["peevish translated"]),
+            record("a tree", 2024, ["oak", "oaks"], n=2, first=1999, latest=2001, translations=["stored"], usage=0.5),
+            record("quick", 2024, ["brisk"], word="brisk", translations=["brisk translated"]),
             untouched,
         ),
     )
 
 
 def test_nothing_changes_without_updates(spark, folder):
-    golden = golden_with(spark, folder, record("bird", 2022, ["duck"]))
+    golden = golden_with(spark, folder, record("a tree", 2022, ["oak"]))
     files = golden.snapshot().inputFiles()
-    silver = frame(spark, SILVER, form("duck", "bird", 2021))
+    silver = frame(spark, SILVER, form("oak", "a tree", 2021))
     result = update_golden(silver, golden, translate([]), find_usage, Y[2024])
-    same(result, frame(spark, GOLDEN, record("bird", 2022, ["duck"])))
+    same(result, frame(spark, GOLDEN, record("a tree", 2022, ["oak"])))
     assert golden.snapshot().inputFiles() == files
 
 
@@ -206,8 +209,8 @@ def test_partial_merge(spark):
 
 
 def test_the_stored_records_are_not_shuffled(spark, folder):
-    golden = golden_with(spark, folder, record("bird", 2022, ["duck"]))
-    updates = frame(spark, GOLDEN, record("bird", 2023, ["duck"]))
+    golden = golden_with(spark, folder, record("a tree", 2022, ["oak"]))
+    updates = frame(spark, GOLDEN, record("a tree", 2023, ["oak"]))
     grouped = updates.drop("translations", "usage", "updatedAt")
     published = spark.createDataFrame([], VOCABULARY_SHEET.schema).union(
         spark.range(1).select(*[F.lit("1").cast(f.dataType) for f in VOCABULARY_SHEET.schema.fields])
