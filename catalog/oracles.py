@@ -494,6 +494,23 @@ ORACLES: dict[str, str] = {
           WHERE word IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.text = s.text))""",
         select=f'SELECT {TOKEN_COLUMNS}, {ts("u")} AS "updatedAt", {SENSE_COLUMNS} FROM merged',
     ),
+    "retry_due": with_ctes(
+        *ORDER_SILVER,
+        """undefined AS (SELECT text, n, first, latest, (n % 4 + 1)::INT AS before FROM silver WHERE word IS NULL)""",
+        """schedule AS (
+          SELECT text, before AS attempts, latest + to_days(least(90 * 2 ** (before - 1), 300)::INT) AS due
+          FROM undefined WHERE first < TIMESTAMP '1998-01-01')""",
+        """tried AS (
+          SELECT u.text, u.n % 2 = 1 AS open, coalesce(s.attempts, 0) AS before, s.text IS NOT NULL AS known
+          FROM undefined u LEFT JOIN schedule s ON u.text = s.text
+          WHERE s.text IS NULL OR s.due <= TIMESTAMP '1998-09-01')""",
+        """next_dates AS (
+          SELECT text, before + 1 AS attempts, TIMESTAMP '1998-09-01' + to_days(least(90 * 2 ** before, 300)::INT) AS due
+          FROM tried WHERE open
+          UNION ALL SELECT text, 0, NULL FROM tried WHERE NOT open AND known
+          UNION ALL SELECT * FROM schedule s WHERE NOT EXISTS (SELECT 1 FROM tried t WHERE t.text = s.text))""",
+        select=f'SELECT text, attempts, {ts("due")} AS "dueAt" FROM next_dates',
+    ),
     "sibling_forms": with_ctes(
         *ORDER_SILVER,
         select="""SELECT text, word AS "normalizedText", def AS definition FROM silver s WHERE EXISTS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -17,7 +18,7 @@ from lexlake.functions.columns import (
     usage_query,
     usage_request,
 )
-from lexlake.operators import definitions, highlights, publish, responses, translations, usage, vocabulary, worklist
+from lexlake.operators import definitions, highlights, publish, responses, retries, translations, usage, vocabulary, worklist
 from lexlake.operators.enrichment import (
     DEFINITION_POLICY,
     TRANSLATION_POLICY,
@@ -34,6 +35,7 @@ from lexlake.operators.enrichment import (
 from lexlake.operators.ids import assign_ids
 from lexlake.operators.incremental import max_value, new_by_max_key, new_by_watermark
 from lexlake.operators.merges import merge_accumulate, merge_partial, merge_replace, unique_by_key
+from lexlake.operators.retries import RetryPolicy
 from lexlake.operators.sheets import read_sheet
 from lexlake.plans import jobs
 from lexlake.plans.lake import Lake
@@ -253,6 +255,25 @@ def silver_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(merge_replace(silver, written(stamped, "silver-merge")))
 
 
+def retry_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next dates after a run that asks for what is due: tokens with an even count get a definition.
+
+    Undefined tokens seen before 1998 have been asked for up to four times, the last time when they were last seen.
+    """
+    undefined = definitions.undefined_rows(i.order_silver(spark, sf_dir))
+    attempts = (F.col("occurrences") % 4 + 1).cast("int")
+    asked = undefined.where(F.col("firstOccurrence") < "1998-01-01").select("text", "latestOccurrence", attempts.alias("attempts"))
+    policy = RetryPolicy(timedelta(days=90), timedelta(days=300))
+    due = F.col("latestOccurrence") + F.make_dt_interval(secs=policy.wait(F.col("attempts")))
+    schedule = asked.select("text", "attempts", due.alias("dueAt"), timestamp_lit(i.DAY_1).alias(UPDATED_AT))
+    now = datetime(1998, 9, 1, tzinfo=timezone.utc)
+    tried = retries.due_tokens(undefined, schedule, now).withColumn(
+        "normalizedText", F.when(F.col("occurrences") % 2 == 0, F.col("text"))
+    )
+    changed = retries.rescheduled(tried, schedule, now, policy)
+    return flat(retries.merge_schedule(schedule, changed).drop(UPDATED_AT))
+
+
 # ---- records ------------------------------------------------------------------------------------------------------
 
 
@@ -555,6 +576,7 @@ QUERIES = {
         defined_split,
         silver_refresh,
         silver_merge,
+        retry_due,
         sibling_forms,
         golden_survivorship,
         golden_classify,

@@ -6,14 +6,16 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexlake.functions.columns import to_micros
+from lexlake.functions.columns import timestamp_lit, to_micros
 from lexlake.operators.enrichment import Definer, Translator, UsageFinder
+from lexlake.operators.retries import RetryPolicy
 from lexlake.plans import jobs
 from lexlake.sources.append_tables import AppendTable
 from lexlake.sources.keyed_tables import KeyedTable
 from lexlake.sources.sheet_store import SheetStore
-from lexlake.spec import BRONZE, GOLDEN, SILVER, STAGE, VOCABULARY_SHEET, WORKLIST_SHEET
+from lexlake.spec import BRONZE, GOLDEN, RETRIES, SILVER, STAGE, VOCABULARY_SHEET, WORKLIST_SHEET
 
 
 @dataclass
@@ -29,6 +31,9 @@ class Lake:
     find_usage: UsageFinder
     fill_missing: bool = False
     worklist_match: str = "substring"
+    # with a schedule, undefined tokens are asked for again when they are due, else in every run that retries
+    retries: KeyedTable | None = None
+    retry_policy: RetryPolicy = RetryPolicy()
 
     @classmethod
     def at(
@@ -40,9 +45,13 @@ class Lake:
         find_usage: UsageFinder,
         buckets: int | None = None,
         stage_format: str = "csv",
+        retry_policy: RetryPolicy | None = None,
         **settings,
     ) -> Lake:
-        """Open the lake below ``path``, creating what is missing."""
+        """Open the lake below ``path``, creating what is missing; ``retry_policy`` makes it keep a schedule of retries."""
+        if retry_policy is not None:
+            retries = KeyedTable(spark, RETRIES, f"{path}/retries", buckets)
+            settings = {**settings, "retries": retries, "retry_policy": retry_policy}
         return cls(
             stage=AppendTable(spark, STAGE, f"{path}/stage", file_format=stage_format),
             bronze=KeyedTable(spark, BRONZE, f"{path}/bronze", buckets),
@@ -68,9 +77,15 @@ class Lake:
         self.check_clock(now)
         staged = jobs.update_stage(marks, self.stage, now, in_order)
         jobs.update_bronze(staged, self.bronze, now)
-        jobs.update_silver(self.bronze, self.silver, self.define, now, self.fill_missing, retry)
+        jobs.update_silver(
+            self.bronze, self.silver, self.define, now, self.fill_missing, retry, self.retries, self.retry_policy
+        )
         return jobs.update_golden(self.silver, self.golden, self.translate, self.find_usage, now)
 
+    def retry_due(self, now: datetime) -> bool:
+        """Whether a token with a schedule is due."""
+        return self.retries is not None and not self.retries.snapshot().where(F.col("dueAt") <= timestamp_lit(now)).isEmpty()
+
     def check_clock(self, now: datetime) -> None:
         """Refuse a run that is not later than every stored stamp: its updates would be missed downstream."""
         stamps = [t.newest_stamp() for t in (self.stage, self.bronze, self.silver, self.golden)]

@@ -113,6 +113,16 @@ SILVER = TableSpec(
     bucketed_by=("text",),
 )
 
+# when tokens without a definition are to be asked for again
+RETRIES = TableSpec(
+    name="retries",
+    schema=schema(text=TEXT, attempts=INT, dueAt=TIME, updatedAt=TIME),
+    pk=("text",),
+    transformed=("attempts", "dueAt", UPDATED_AT),
+    metadata=(UPDATED_AT,),
+    bucketed_by=("text",),
+)
+
 GOLDEN = TableSpec(
     name="golden",
     schema=schema(

@@ -27,13 +27,17 @@ def update_on_arrival(
 
     Marks may arrive in any order. A batch that is replayed after a failure does no harm: stage takes only marks it lacks,
     and the later tables find what they have not seen by its stamp. Tokens that stayed undefined are asked for again
-    once per ``retry_every``, with the first batch after it, an empty one too; other empty batches do nothing.
+    once per ``retry_every``, with the first batch after it, an empty one too; other empty batches do nothing. A lake with
+    a schedule of retries asks for what is due instead, also after a restart.
     """
     last_retry: list[datetime] = []
 
     def update(batch: DataFrame, _: int) -> None:
         now = clock()
-        retry = not last_retry or now - last_retry[-1] >= retry_every
+        if lake.retries is not None:
+            retry = lake.retry_due(now)
+        else:
+            retry = not last_retry or now - last_retry[-1] >= retry_every
         if not retry and batch.isEmpty():
             return
         lake.update_internal(batch, now, in_order=False, retry=retry)
