@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexlake.functions import fixed_values as fixed
@@ -20,6 +20,9 @@ ANCHOR_LENGTH = 8
 # is walked.
 POSITIONS_PER_PIECE = 32
 CHUNK_LENGTH = 1024
+# bits of the filter of wanted grams: so many per gram, within these bounds. The upper one keeps its table, of a row for 64
+# bits, small enough to broadcast; with very many grams it lets most others pass, and they are shuffled as without it.
+FILTER_BITS_PER_GRAM, FILTER_BITS = 16, (1 << 16, 1 << 26)
 
 
 def render_worklist(silver: DataFrame) -> DataFrame:
@@ -73,6 +76,35 @@ def _grams(cells: DataFrame, lengths: list[int]) -> DataFrame:
     return places.select("cell_id", position.alias("position"), F.explode(grams).alias("gram"))
 
 
+def _filter_places(gram: str, bits: int) -> list[Column]:
+    """The two bits of a gram."""
+    return [F.pmod(F.xxhash64(F.lit(seed), F.col(gram)), F.lit(bits)) for seed in (1, 2)]
+
+
+def gram_filter(grams: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """A Bloom filter of about ``n`` distinct ``gram`` values: (word, mask) for each 64 bits of which some are set.
+
+    Every task sets the bits of its own grams; the words are united on the way to one row each.
+    """
+    bits = FILTER_BITS[0]
+    while bits < min(FILTER_BITS_PER_GRAM * n, FILTER_BITS[1]):
+        bits *= 2
+    placed = grams.select(F.explode(F.array(*_filter_places("gram", bits))).alias("place"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
+    words = placed.groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(mask).alias("mask"))
+    return written(words, "gram-filter"), bits
+
+
+def maybe_wanted(grams: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """Rows of ``grams`` whose ``gram`` may be in the filter: all that are, and few others."""
+    for number, place in enumerate(_filter_places("gram", bits)):
+        word, mask = f"_word{number}", f"_mask{number}"
+        renamed = F.broadcast(words.select(F.col("word").alias(word), F.col("mask").alias(mask)))
+        is_set = F.getbit(F.col(mask), (place % 64).cast("int")) == 1
+        grams = grams.join(renamed, (F.floor(place / 64) == F.col(word)) & is_set, "left_semi")
+    return grams
+
+
 def contained_texts(texts: DataFrame, cells: DataFrame) -> DataFrame:
     """The distinct ``text`` values that occur anywhere inside some ``cell``.
 
@@ -81,8 +113,8 @@ def contained_texts(texts: DataFrame, cells: DataFrame) -> DataFrame:
     one substring per distinct length of the texts that start so, and these are compared whole. What is emitted grows
     with the cells' characters and not with texts x cells, even if very many texts share their beginning.
 
-    Where the texts are few (their size is measured) they are broadcast and only the hits are shuffled; otherwise the
-    grams are made distinct on the map side and both sides are shuffled.
+    Where the texts are few (their size is measured) they are broadcast and only the hits are shuffled; otherwise both sides
+    are shuffled, after a filter of bounded size has dropped nearly all grams that no text begins with.
     """
     wanted = written(texts.select("text").where(F.col("text").isNotNull()).distinct(), "wanted-texts")
     few = byte_size(wanted) <= BROADCAST_LIMIT
@@ -98,21 +130,28 @@ def contained_texts(texts: DataFrame, cells: DataFrame) -> DataFrame:
     def small(side: DataFrame) -> DataFrame:
         return F.broadcast(side) if few else side
 
+    begins = F.substr("text", F.lit(1), F.lit(ANCHOR_LENGTH)).alias("gram")
+    passed = None if few else gram_filter(wanted.select(begins), wanted.count())
+
+    def grams_of(lengths: list[int]) -> DataFrame:
+        grams = _grams(cells, lengths)
+        return grams if passed is None else maybe_wanted(grams, *passed)
+
     found = []
     if short:
-        grams = _grams(cells, short).select(F.col("gram").alias("text"))
+        grams = grams_of(short).select(F.col("gram").alias("text"))
         grams = grams if few else grams.distinct()
         found.append(grams.join(small(wanted.where(size <= ANCHOR_LENGTH)), "text", "left_semi"))
     if len(lengths) > len(short):
         anchors = (
             wanted.where(size > ANCHOR_LENGTH)
-            .groupBy(F.substr("text", F.lit(1), F.lit(ANCHOR_LENGTH)).alias("gram"))
+            .groupBy(begins)
             .agg(F.collect_set(size).alias("lengths"))
         )
         longest = wanted.agg(F.max(size).alias("n")).first()["n"]
         reach = max(longest, CHUNK_LENGTH)
         # a place is looked at in the chunk it begins in, which reaches as far as the longest text
-        places = _grams(cells, [ANCHOR_LENGTH]).join(small(anchors), "gram")
+        places = grams_of([ANCHOR_LENGTH]).join(small(anchors), "gram")
         places = places.select(
             "cell_id",
             F.floor((F.col("position") - 1) / reach).cast("int").alias("chunk"),

@@ -431,3 +431,16 @@ def test_rows_by_id(spark, ids):
     df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
     ordered = by_id(df, min(ids, default=1), max(ids, default=1), len(ids))
     assert [r.id for r in ordered.collect()] == sorted(ids)
+
+
+@pytest.mark.parametrize("n", [3, 60_000])
+def test_the_gram_filter_passes_what_is_wanted_and_little_else(spark, n):
+    from lexlake.operators.worklist import gram_filter, maybe_wanted
+
+    wanted = spark.range(n).selectExpr("concat('w', id) AS gram")
+    others = spark.range(100_000).selectExpr("concat('other ', id) AS gram")
+    passed = gram_filter(wanted, n)
+    assert maybe_wanted(wanted, *passed).count() == n
+    assert maybe_wanted(others, *passed).count() < 3_000
+    text = plan(maybe_wanted(others, *passed))
+    assert text.count("BroadcastHashJoin") == 2 and "Exchange hashpartitioning" not in text
