@@ -34,17 +34,17 @@ def entry(word, part, definition, example=None):
 
 
 DEFINITIONS = {
-    "duck": json.dumps([entry("duck", "noun", "bird"), entry("duck", "verb", "dip", "ex")]),
-    "ducks": json.dumps([entry("duck", "noun", "bird", "many ducks")]),
+    "fern": json.dumps([entry("fern", "noun", "a plant"), entry("fern", "verb", "dip", "ex")]),
+    "ferns": json.dumps([entry("fern", "noun", "a plant", "many ferns")]),
 }
 TRANSLATIONS = {
-    "duck": json.dumps(
-        [{"displaySource": "Duck", "translations": [{"displayTarget": "утка", "posTag": "NOUN", "prefixWord": ""}]}]
+    "fern": json.dumps(
+        [{"displaySource": "Fern", "translations": [{"displayTarget": "папоротник", "posTag": "NOUN", "prefixWord": ""}]}]
     )
 }
 USAGE = {
-    "https://books.google.com/ngrams/json?content=duck_NOUN%3Aeng_2019&year_start=2015&year_end=2019": json.dumps(
-        [{"ngram": "duck", "timeseries": [0.1, 0.3]}]
+    "https://books.google.com/ngrams/json?content=fern_NOUN%3Aeng_2019&year_start=2015&year_end=2019": json.dumps(
+        [{"ngram": "fern", "timeseries": [0.1, 0.3]}]
     )
 }
 
@@ -83,34 +83,34 @@ def state(lake):
 
 def test_three_runs(spark, folder):
     lake = open_lake(spark, folder)
-    lake.update_all(marks(spark, "duck!zzz", "ducks"), DAY[1])
+    lake.update_all(marks(spark, "fern!zzz", "ferns"), DAY[1])
     first = state(lake)
-    assert [r[0] for r in first["bronze"]] == ["duck", "ducks", "zzz"]
+    assert [r[0] for r in first["bronze"]] == ["fern", "ferns", "zzz"]
     assert rows(lake.golden.snapshot(), "definition", "forms", "translations", "usage", "occurrences") == [
-        ("bird", ("Duck", "duck", "ducks"), ("утка",), 0.2, 2),
-        ("dip", ("Duck", "duck"), (), None, 1),
+        ("a plant", ("Fern", "fern", "ferns"), ("папоротник",), 0.2, 2),
+        ("dip", ("Fern", "fern"), (), None, 1),
     ]
     assert rows(lake.worklist.read(), "text") == [("zzz",)]
 
     # the same marks again: only the retry of the undefined token is stamped anew
-    lake.update_all(marks(spark, "duck!zzz", "ducks"), DAY[2])
+    lake.update_all(marks(spark, "fern!zzz", "ferns"), DAY[2])
     assert state(lake) == first
     assert rows(lake.silver.snapshot().where("definition is null"), "text", "updatedAt") == [("zzz", DAY[2])]
 
     # a new mark touches the records of its tokens and nothing else
-    lake.update_all(marks(spark, "duck!zzz", "ducks", "Ducks, qqq"), DAY[3])
+    lake.update_all(marks(spark, "fern!zzz", "ferns", "Ferns, qqq"), DAY[3])
     assert rows(lake.bronze.snapshot(), "text", "occurrences", "updatedAt") == [
-        ("duck", 1, DAY[1]),
-        ("ducks", 2, DAY[3]),
+        ("fern", 1, DAY[1]),
+        ("ferns", 2, DAY[3]),
         ("qqq", 1, DAY[3]),
         ("zzz", 1, DAY[1]),
     ]
     assert rows(lake.golden.snapshot(), "definition", "occurrences", "translations", "usage", "updatedAt") == [
-        ("bird", 3, ("утка",), 0.2, DAY[3]),
+        ("a plant", 3, ("папоротник",), 0.2, DAY[3]),
         ("dip", 1, (), None, DAY[1]),
     ]
     assert rows(lake.vocabulary.read(), "id", "definition", "occurrences", "usage") == [
-        (1, "bird", 3, "20.000000%"),
+        (1, "a plant", 3, "20.000000%"),
         (2, "dip", 1, ""),
     ]
     assert rows(lake.worklist.read(), "text") == [("qqq",), ("zzz",)]
@@ -119,14 +119,14 @@ def test_three_runs(spark, folder):
 
 def test_a_lake_is_found_again_after_its_catalog_is_lost(spark, folder):
     lake = open_lake(spark, folder)
-    lake.update_all(marks(spark, "duck!zzz", "ducks"), DAY[1])
+    lake.update_all(marks(spark, "fern!zzz", "ferns"), DAY[1])
     before = state(lake)
     for t in (lake.stage, lake.bronze, lake.silver, lake.golden):
         spark.sql(f"DROP TABLE {t.full_name}")
     again = open_lake(spark, folder)
     assert state(again) == before
-    again.update_internal(marks(spark, "duck!zzz", "ducks", "duck"), DAY[2])
-    assert rows(again.bronze.snapshot().where("text = 'duck'"), "occurrences") == [(2,)]
+    again.update_internal(marks(spark, "fern!zzz", "ferns", "fern"), DAY[2])
+    assert rows(again.bronze.snapshot().where("text = 'fern'"), "occurrences") == [(2,)]
 
 
 def test_the_number_of_buckets_cannot_change(spark, folder):
@@ -152,21 +152,21 @@ def test_an_unfinished_version_is_passed_over(spark, folder):
 
 def test_a_run_must_be_later_than_the_one_before(spark, folder):
     lake = open_lake(spark, folder)
-    lake.update_internal(marks(spark, "duck!zzz"), DAY[2])
+    lake.update_internal(marks(spark, "fern!zzz"), DAY[2])
     for moment in (DAY[1], DAY[2]):
         with pytest.raises(ValueError, match="not later"):
-            lake.update_internal(marks(spark, "duck!zzz", "ducks"), moment)
-    assert rows(lake.stage.read(), "text") == [("duck!zzz",)]
+            lake.update_internal(marks(spark, "fern!zzz", "ferns"), moment)
+    assert rows(lake.stage.read(), "text") == [("fern!zzz",)]
 
 
 def test_user_edits_survive_the_next_publish(spark, folder):
     lake = open_lake(spark, folder)
-    lake.update_all(marks(spark, "duck"), DAY[1])
-    edited = lake.vocabulary.read().replace("noun", "bird word", "partOfSpeech").replace("new", "learned", "status")
+    lake.update_all(marks(spark, "fern"), DAY[1])
+    edited = lake.vocabulary.read().replace("noun", "plant word", "partOfSpeech").replace("new", "learned", "status")
     lake.vocabulary.publish(edited)
-    lake.update_all(marks(spark, "duck", "ducks"), DAY[2])
+    lake.update_all(marks(spark, "fern", "ferns"), DAY[2])
     assert rows(lake.vocabulary.read().where("id = 1"), "status", "partOfSpeech", "occurrences", "forms") == [
-        ("learned", "bird word", 2, "duck\n* Duck\n* ducks")
+        ("learned", "plant word", 2, "fern\n* Fern\n* ferns")
     ]
 
 
@@ -181,31 +181,31 @@ def test_tokens_found_late_leave_the_worklist(spark, folder):
         return remote_lookup(known, connect, DEFINITION_POLICY)
 
     lake = open_lake(spark, f"{folder}/lake_late", service({}))
-    lake.update_all(marks(spark, "duck"), DAY[1])
-    assert rows(lake.worklist.read(), "text") == [("duck",)]
-    lake.define = definer(service({f"{ENTRIES}duck": DEFINITIONS["duck"]}))
-    lake.update_all(marks(spark, "duck"), DAY[2])
+    lake.update_all(marks(spark, "fern"), DAY[1])
+    assert rows(lake.worklist.read(), "text") == [("fern",)]
+    lake.define = definer(service({f"{ENTRIES}fern": DEFINITIONS["fern"]}))
+    lake.update_all(marks(spark, "fern"), DAY[2])
     assert rows(lake.worklist.read()) == []
-    assert rows(lake.silver.snapshot(), "text", "definition") == [("duck", "bird"), ("duck", "dip")]
-    assert rows(known.read(), "request") == [(f"{ENTRIES}duck",)]
+    assert rows(lake.silver.snapshot(), "text", "definition") == [("fern", "a plant"), ("fern", "dip")]
+    assert rows(known.read(), "request") == [(f"{ENTRIES}fern",)]
 
 
 def test_a_parquet_stage_gives_the_same_vocabulary(spark, folder):
     lake = open_lake(spark, folder, stage_format="parquet", fill_missing=True)
-    lake.update_all(marks(spark, "duck!zzz", "ducks"), DAY[1])
-    assert rows(lake.golden.snapshot(), "definition", "occurrences") == [("bird", 2), ("dip", 1)]
+    lake.update_all(marks(spark, "fern!zzz", "ferns"), DAY[1])
+    assert rows(lake.golden.snapshot(), "definition", "occurrences") == [("a plant", 2), ("dip", 1)]
     assert rows(lake.worklist.read(), "text") == [("zzz",)]
 
 
 def test_arriving_marks_update_the_lake(spark, folder):
     lake = open_lake(spark, f"{folder}/lake_stream")
     days = iter(DAY[1:])
-    for texts in (("duck!zzz",), ("duck!zzz", "ducks")):
+    for texts in (("fern!zzz",), ("fern!zzz", "ferns")):
         marks(spark, *texts).where(f"oid = {len(texts)}").coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
         stream = spark.readStream.schema(MARKS.schema).parquet(f"{folder}/arrivals")
         update_on_arrival(stream, lake, f"{folder}/checkpoint", lambda: next(days)).awaitTermination(120)
     assert rows(lake.golden.snapshot(), "definition", "occurrences", "updatedAt") == [
-        ("bird", 2, DAY[2]),
+        ("a plant", 2, DAY[2]),
         ("dip", 1, DAY[1]),
     ]
 
@@ -222,7 +222,7 @@ def test_marks_may_arrive_in_any_order(spark, folder):
 
     lake.define = counted
     days = iter([datetime(2020, 1, d, tzinfo=timezone.utc) for d in range(1, 9)])
-    every = marks(spark, "one!", "two!", "three!", "four!", "duck!", "six!")
+    every = marks(spark, "one!", "two!", "three!", "four!", "fern!", "six!")
     for n, ids in enumerate(("5", "3", "4, 6")):
         every.where(f"oid IN ({ids})").coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
         if n == 0:
@@ -231,12 +231,12 @@ def test_marks_may_arrive_in_any_order(spark, folder):
             stream, lake, f"{folder}/checkpoint", lambda: next(days), retry_every=timedelta(days=100)
         ).awaitTermination(120)
     assert rows(lake.stage.read(), "oid") == [(3,), (4,), (5,), (6,)]
-    assert rows(lake.bronze.snapshot(), "text") == [("duck",), ("four",), ("six",), ("three",)]
+    assert rows(lake.bronze.snapshot(), "text") == [("fern",), ("four",), ("six",), ("three",)]
     assert asked[-1] == ["four", "six", "three"] or asked[-1] == ["four", "six"]
 
 
 def test_jobs_leave_no_scratch_behind(spark, folder):
     work = spark.conf.get("spark.checkpoint.dir")
     before = set(os.listdir(work)) if os.path.exists(work) else set()
-    open_lake(spark, folder).update_all(marks(spark, "duck!zzz", "ducks"), DAY[1])
+    open_lake(spark, folder).update_all(marks(spark, "fern!zzz", "ferns"), DAY[1])
     assert set(os.listdir(work)) == before

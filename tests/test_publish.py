@@ -429,7 +429,7 @@ def test_publish_is_observed_and_sorts_new_rows_alone(spark, folder):
 @pytest.mark.parametrize("ids", [range(1, 30_001), [*range(-5, 0), *range(7, 9_000)], [1, 10**12, 5, 10**15], []])
 def test_rows_by_id(spark, ids):
     df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
-    ordered = by_id(df, min(ids, default=1), max(ids, default=1), len(ids))
+    ordered = by_id(df, min(ids, default=1), max(ids, default=0), len(ids))
     assert [r.id for r in ordered.collect()] == sorted(ids)
 
 
