@@ -25,6 +25,7 @@ from lexlake.operators.enrichment import (
     translator,
     usage_finder,
 )
+from lexlake.operators.responses import flatten_definitions
 from lexlake.operators.translations import attach_translations, map_tags
 from lexlake.spec import INT, LONG, TEXT, TEXTS, schema
 
@@ -400,3 +401,39 @@ def test_looking_up_does_not_shuffle_the_stored_answers(spark, folder):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     found = table_lookup(table.read())(asked(spark, "r1", "r50", "new"))
     assert rows(found, "request", "response") == [("new", ""), ("r1", "x"), ("r50", "x")]
+
+
+def test_definitions_are_flattened_level_by_level(spark):
+    """A level that is empty or missing leaves one row, with what the levels above it say."""
+    one = {"definition": "d1", "example": "e1", "synonyms": ["s"], "antonyms": []}
+    answers = {
+        "nothing": None,
+        "text": "no JSON",
+        "empty": "[]",
+        "bare": json.dumps([{"word": "w", "phonetic": "p"}]),
+        "no meanings": json.dumps([{"word": "w", "meanings": []}]),
+        "no senses": json.dumps([{"word": "w", "meanings": [{"partOfSpeech": "noun", "definitions": []}]}]),
+        "two": json.dumps(
+            [
+                {"word": "w", "meanings": [{"partOfSpeech": "noun", "definitions": [one, {"definition": "d2"}]}, {"partOfSpeech": "verb"}]},
+                {"word": "v"},
+            ]
+        ),
+    }
+    df = frame(spark, schema(text=TEXT, books=TEXTS, response=TEXT), *[(t, [t], a) for t, a in answers.items()])
+    flat = flatten_definitions(df)
+    assert flat.columns[:2] == ["text", "books"] and plan(flat).count("Generate") == 1
+    blank = (None,) * 3
+    assert rows(flat.drop("books", "phonetic")) == rows(
+        frame(
+            spark,
+            schema(text=TEXT, normalizedText=TEXT, partOfSpeech=TEXT, definition=TEXT, examples=TEXTS, synonyms=TEXTS, antonyms=TEXTS),
+            *[(t, None, None, None, *blank) for t in ("nothing", "text", "empty")],
+            *[(t, "w", None, None, *blank) for t in ("bare", "no meanings")],
+            ("no senses", "w", "noun", None, *blank),
+            ("two", "w", "noun", "d1", ["e1"], ["s"], []),
+            ("two", "w", "noun", "d2", [], None, None),
+            ("two", "w", "verb", None, *blank),
+            ("two", "v", None, None, *blank),
+        )
+    )
