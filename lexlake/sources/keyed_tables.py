@@ -213,9 +213,13 @@ class KeyedTable:
         """
         buckets = self.touched(updates) if buckets is None else list(buckets)
         if not buckets:
-            return self._commit(None, buckets, to_micros(stamp))
+            return self.note(stamp)
         return self._commit(merged(self.snapshot(buckets), self.aligned(updates)), buckets, to_micros(stamp))
 
+    def note(self, stamp: datetime) -> DataFrame:
+        """Note that the table is up to date at ``stamp`` though no row changed, so that it falls behind no record of changes."""
+        return self._commit(None, [], to_micros(stamp))
+
     def replace(self, df: DataFrame, stamp: datetime | None = None) -> DataFrame:
         """Make ``df``, which may read the current version, the next state of the whole table."""
         return self._commit(df, None, None if stamp is None else to_micros(stamp))

@@ -11,8 +11,9 @@ from helpers import frame, plan, rows, same
 from lexlake.functions.columns import to_micros
 from lexlake.operators.incremental import newer_than
 from lexlake.operators.merges import merge_accumulate, merge_replace
+from lexlake.plans.jobs import update_golden
 from lexlake.sources.keyed_tables import KeyedTable
-from lexlake.spec import BRONZE, SILVER, UPDATED_AT
+from lexlake.spec import BRONZE, GOLDEN, SILVER, UPDATED_AT
 
 DAY = [datetime(2031, 5, d, tzinfo=timezone.utc) for d in range(1, 29)]
 
@@ -170,3 +171,16 @@ def test_any_course_of_merges(spark, folder, seed):
         since = DAY[draw.choice(seen)] - timedelta(seconds=1)
         changed = {r.text for r in table.changes_since(to_micros(since)).collect()}
         assert changed == {t for t, (_, at) in want.items() if at > since.replace(tzinfo=None)}
+
+
+def test_a_follower_without_changes_keeps_up(spark, folder):
+    """Silver's undefined tokens change in every run; golden has no row to change and still falls behind no record."""
+    silver = KeyedTable(spark, SILVER, f"{folder}/silver", buckets=2, keep_changes=2)
+    golden = KeyedTable(spark, GOLDEN, f"{folder}/golden", buckets=2)
+    for day in range(5):
+        silver.merge(frame(spark, SILVER, token("unknown", now=DAY[day])), merge_replace, DAY[day])
+        assert update_golden(silver, golden, lambda df: df, lambda df: df, DAY[day]).collect() == []
+        assert golden.newest_stamp() == to_micros(DAY[day])
+    version = golden.manifest().version
+    update_golden(silver, golden, lambda df: df, lambda df: df, DAY[9])
+    assert golden.manifest().version == version
