@@ -40,7 +40,7 @@ _FRAME = 1 << 16
 # bytes of text whose unknown pieces are handed to the library together, and pieces in one call
 TOGETHER, IN_CALL = 4_000_000, 4096
 # distinct pieces of text whose ids a task remembers
-PIECES = 600_000
+PIECES = 1_500_000
 PIECE_MARK = "<|startoftext|>"
 # what is cut off behind a word of letters: it neither is a letter, digit or blank nor begins a contraction
 _BEHIND = b".,;:!?#$%&*|"
