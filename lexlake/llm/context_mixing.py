@@ -8,8 +8,9 @@ the same way. Words outside the vocabulary are escaped and spelled in bytes, who
 from the letters before. What every bit costs adds up to the bits of the text.
 
 Counts are gathered over all training documents: tasks count into tables of fixed size, and the tables' blocks are added
-up in a shuffle, so what is gathered grows with the input and the model does not. Weights are learned on a bounded sample,
-from counts less the bit itself.
+up in a shuffle, so what is gathered grows with the input and the model does not. Weights and maps are learned on all
+training documents too: each task goes over its share online, from counts less the bit itself, and what the tasks have
+learned is averaged by how many bits each has seen in a state.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby, islice, repeat
+from itertools import chain, count, groupby, islice, repeat
 from zlib import crc32
 
 import numpy as np
@@ -38,8 +39,8 @@ VOCABULARY = 1 << 17
 LEAST_COUNT = 3
 # slots of a hashed table, as a power of two, for words and for letters
 WORD_BITS, LETTER_BITS = 21, 19
-# documents that the mixers learn from at most
-SAMPLE_ROWS = 600
+# tokens, and distinct spelled words, that one task's mixer learns from, about; tasks grow with the corpus
+LEARN_TOKENS, LEARN_SPELLED = 1_000_000, 200_000
 # the words that tell language and genre as a context
 COMMON = 64
 # words whose spelling or number a task remembers
@@ -106,7 +107,9 @@ class Code:
     zeros: np.ndarray
 
     def __post_init__(self):
-        self.scattered = scattered(np.arange(len(self.ones) + 1), 100)
+        # of each decision of a path, so that the decisions of a symbol lie side by side
+        self.scattered = scattered(np.arange(len(self.ones) + 1), 100)[self.node]
+        self.base = np.clip(stretch(self.zeros, self.ones), -_CLIP, _CLIP)[self.node]
 
     @classmethod
     def huffman(cls, counts: np.ndarray) -> Code:
@@ -136,26 +139,36 @@ class Code:
         start = np.searchsorted(symbol[order], np.arange(n + 1))
         return cls(start, node[order].astype(np.int32), bit[order], ones, zeros)
 
+    def entries(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``symbols``, place among the decisions of all paths) of every decision of the symbols."""
+        low = self.start[symbols]
+        sizes = self.start[symbols + 1] - low
+        ends = np.cumsum(sizes)
+        at = np.repeat(low - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.repeat(np.arange(len(symbols)), sizes), at
+
     def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in ``symbols``, node, bit) of every decision of the symbols."""
-        low = self.start[symbols]
-        count = self.start[symbols + 1] - low
-        ends = np.cumsum(count)
-        at = np.repeat(low - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-        return np.repeat(np.arange(len(symbols)), count), self.node[at], self.bit[at]
+        position, at = self.entries(symbols)
+        return position, self.node[at], self.bit[at]
 
 
 def scattered(values: np.ndarray, order: int) -> np.ndarray:
-    """64 well-mixed bits of nodes or contexts; different for each order of context."""
+    """32 well-mixed bits of nodes or contexts; different for each order of context."""
     h = values.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (order + 1) % (1 << 64))
     h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
+    return ((h ^ h >> np.uint64(31)) >> np.uint64(32)).astype(np.uint32)
+
+
+def picked(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at] for places that are known to exist."""
+    return np.take(values, at, mode="clip")
 
 
 def slots(node: np.ndarray, context: np.ndarray, bits: int) -> np.ndarray:
     """Slots of decisions in a hashed table, from the scattered node and context."""
-    return ((node ^ context) >> np.uint64(64 - bits)).view(np.int64)
+    return ((node ^ context) >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -230,7 +243,7 @@ def letter_steps(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         nodes.append(part)
         bits.append(bit)
         part = part * 2 + bit
-    node, bit = np.stack(nodes, axis=1).ravel(), np.stack(bits, axis=1).ravel().astype(np.uint8)
+    node, bit = np.stack(nodes, axis=1).ravel(), np.stack(bits, axis=1).astype(np.uint8).ravel()
     hashed = [np.repeat(scattered(c, order), 8) for order, c in enumerate(contexts)]
     return np.repeat(word, 8), _LETTER_NODES[node], bit, hashed
 
@@ -331,21 +344,42 @@ _STEPS = 4096
 
 @dataclass
 class Mixer:
-    """Weights for each state of confidence of two contexts, and the map that refines the mixed prediction."""
+    """Weights for each state of confidence of two contexts, and the map that refines the mixed prediction.
+
+    ``met`` counts the decisions of each state, and ``moved`` those that each cell of the map has learned from.
+    """
 
     weights: np.ndarray
     refine: np.ndarray
+    met: np.ndarray
+    moved: np.ndarray
     seen: int = 0
 
     @classmethod
     def new(cls, inputs: int) -> Mixer:
         grid = np.linspace(-8, 8, _MAP)
-        return cls(np.full((16, inputs + 1), 0.3, np.float64), np.tile(1 / (1 + np.exp(-grid)), (16, 1)))
+        refine = np.tile(1 / (1 + np.exp(-grid)), (16, 1))
+        weights = np.full((16, inputs + 1), 0.3, np.float64)
+        return cls(weights, refine, np.zeros(16, np.int64), np.zeros((16, _MAP), np.int64))
+
+    def state(self) -> tuple[np.ndarray, np.ndarray]:
+        """All that has been learned as one row of values, and how many decisions each value is learned from."""
+        inputs = self.weights.shape[1]
+        return (
+            np.concatenate([self.weights.ravel(), self.refine.ravel()]),
+            np.concatenate([np.repeat(self.met, inputs), self.moved.ravel()]),
+        )
 
-    def predict(self, inputs: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mixed prediction in the logistic domain, and the refined probability of a one."""
-        mixed = np.einsum("ij,ij->i", inputs, self.weights[gate])
-        return mixed, self._refined(mixed, gate)
+    def put(self, place: int, value: float, n: int) -> None:
+        """Set one value of the state, which was learned from n decisions."""
+        if place >= self.weights.size:
+            self.refine.ravel()[place - self.weights.size] = value
+            self.moved.ravel()[place - self.weights.size] = n
+            return
+        self.weights.ravel()[place] = value
+        if place % self.weights.shape[1] == 0:  # all inputs of a state meet the same decisions
+            self.met[place // self.weights.shape[1]] = n
+            self.seen += n
 
     def _refined(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
         place = (np.clip(mixed, -7.999, 7.999) + 8) * ((_MAP - 1) / 16)
@@ -366,17 +400,22 @@ class Mixer:
         for at in range(0, len(bit), step):
             self.seen += min(step, len(bit) - at)
             rate = 0.02 if self.seen < 200_000 else 0.006 if self.seen < 1_000_000 else 0.002
-            x, g, y = inputs[at : at + step], gate[at : at + step], bit[at : at + step].astype(np.float64)
-            mixed, _ = self.predict(x, g)
+            x, g, y = inputs[:, at : at + step], gate[at : at + step], bit[at : at + step]
+            weights = self.weights.astype(np.float32)
+            mixed = x[0] * picked(weights[:, 0], g)
+            for j in range(1, len(x)):
+                mixed += x[j] * picked(weights[:, j], g)
             miss = y - 1 / (1 + np.exp(-np.clip(mixed, -12, 12)))
-            seen = np.maximum(np.bincount(g, minlength=16), 1)
-            slope = np.stack([np.bincount(g, weights=miss * x[:, j], minlength=16) for j in range(x.shape[1])], axis=1)
-            self.weights += rate * 10 * slope / np.maximum(seen, 64)[:, None]
+            met = np.bincount(g, minlength=16)
+            self.met += met
+            slope = np.stack([np.bincount(g, weights=miss * one, minlength=16) for one in x], axis=1)
+            self.weights += rate * 10 * slope / np.maximum(met, 64)[:, None]
             if self.seen > 100_000:
-                place = np.rint((np.clip(mixed, -8, 8) + 8) * ((_MAP - 1) / 16)).astype(np.int64)
-                cell = g.astype(np.int64) * _MAP + place
+                place = ((np.clip(mixed, -8, 8) + 8) * ((_MAP - 1) / 16) + 0.5).astype(np.int64)
+                cell = g * _MAP + place
                 n = np.bincount(cell, minlength=16 * _MAP).reshape(16, _MAP)
                 up = np.bincount(cell, weights=y, minlength=16 * _MAP).reshape(16, _MAP)
+                self.moved += n
                 pace = n / (n + 200.0)
                 self.refine += pace * (np.where(n > 0, up / np.maximum(n, 1), 0) - self.refine) * (n > 0)
 
@@ -388,7 +427,6 @@ class Model:
     vocabulary: Vocabulary
     code: Code
     common: np.ndarray
-    base: np.ndarray
     packed_words: np.ndarray
     packed_letters: np.ndarray
     word_mixer: Mixer
@@ -408,35 +446,53 @@ def bit_costs(
     mixer: Mixer, table: np.ndarray, base: np.ndarray | None, packed: np.ndarray, node, contexts, bit, bits: int
 ) -> np.ndarray:
     """log10 of the probability of each decision's bit; ``base`` is the prediction without context of each decision."""
-    found = [packed[order][slots(node, context, bits)] for order, context in enumerate(contexts)]
+    found = [picked(packed[order], slots(node, context, bits)) for order, context in enumerate(contexts)]
     first, second = (found[0], found[1]) if base is not None else (found[-1], found[-3])
-    gate = (first & 3) * 4 + (second & 3)
+    gate = ((first & 3) * 4 + (second & 3)).astype(np.int64)
     weights = mixer.weights.astype(np.float32)
-    mixed = (weights[:, -1] * np.float32(0.3))[gate]
+    mixed = picked(weights[:, -1] * np.float32(0.3), gate)
     for order, value in enumerate(found):
-        mixed += (value >> 2) * (weights[:, order] / 16)[gate]
+        mixed += (value >> 2) * picked(weights[:, order] / 16, gate)
     if base is not None:
-        mixed += base * weights[:, len(found)][gate]
-    place = ((np.clip(mixed, -8, 8) + 8) * (_STEPS / 16) + 0.5).astype(np.int64)
-    return table[(gate.astype(np.int64) * (_STEPS + 1) + place) * 2 + bit]
+        mixed += base * picked(weights[:, len(found)], gate)
+    np.clip(mixed, -8, 8, out=mixed)
+    mixed *= _STEPS / 16
+    mixed += _STEPS / 2 + 0.5
+    gate *= _STEPS + 1
+    gate += mixed.astype(np.int64)
+    return picked(table, gate * 2 + bit)
+
+
+# a pair of counts that large is not told from one without the bit, and may be scaled down
+_LARGE = 1 << 15
+
 
+def fitted(counts: np.ndarray) -> np.ndarray:
+    """Pairs of counts, scaled down together where they pass 16 bits."""
+    out = np.empty(counts.shape, np.uint16)
+    for order, row in enumerate(counts):
+        for at in range(0, len(row), _SLICE):
+            pairs = row[at : at + _SLICE].reshape(-1, 2).astype(np.int64)
+            over = np.maximum(np.ceil(np.log2(pairs.max(axis=1) + 1)) - 16, 0).astype(np.int64)
+            out[order, at : at + _SLICE] = (pairs >> over[:, None]).ravel()
+    return out
 
-def _left_out(base, counts: np.ndarray, node, bit, contexts, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs of the mixer for all decisions of one document, from counts that lack this document, and the gates."""
+
+def _left_out(base, pairs: np.ndarray, node, bit, contexts, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs of the mixer for decisions, a row per input, from counts that lack the decision itself, and the gates."""
     found, gates = [], []
     for order, context in enumerate(contexts):
-        at, where = np.unique(slots(node, context, bits), return_inverse=True)
-        own_ones = np.bincount(where, weights=bit, minlength=len(at))
-        own_zeros = np.bincount(where, minlength=len(at)) - own_ones
-        zeros = np.maximum(counts[order][at * 2] - own_zeros, 0)[where].astype(np.float32)
-        ones = np.maximum(counts[order][at * 2 + 1] - own_ones, 0)[where].astype(np.float32)
+        both = picked(pairs[order].view(np.uint32), slots(node, context, bits))
+        zeros, ones = (both & 0xFFFF).astype(np.float32), (both >> 16).astype(np.float32)
+        small = (zeros < _LARGE) & (ones < _LARGE)
+        zeros, ones = np.maximum(zeros - (small & (bit == 0)), 0), np.maximum(ones - (small & (bit == 1)), 0)
         found.append(np.clip(stretch(zeros, ones), -_CLIP, _CLIP))
         gates.append(confidence(zeros + ones))
     if base is not None:
         found.append(base)
     found.append(np.full(len(node), 0.3, np.float32))
     gate = gates[0] * 4 + gates[1] if base is not None else gates[-1] * 4 + gates[-3]
-    return np.stack(found, axis=1), gate.astype(np.int64)
+    return np.stack(found), gate.astype(np.int64)
 
 
 # ---- streams of documents ----
@@ -455,29 +511,44 @@ class Stream:
 
 
 class Reader:
-    """Turns texts into streams; remembers the hash of words it has met."""
+    """Turns texts into streams; remembers words it has met, with their hashes and symbols, under numbers."""
+
+    _END_WORD = (b" ",)
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self._known: dict[bytes, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self._words: list[bytes] = []
+        self._hashes, self._symbols = np.empty(0, np.int64), np.empty(0, np.int64)
+        self._known[b" "]  # the end of a text
+        self._meet()
+
+    def _meet(self) -> None:
+        fresh = list(islice(self._known, len(self._words), None))
+        if fresh:
+            numbers = hashes(fresh)
+            self._words += fresh
+            self._hashes = np.concatenate([self._hashes, numbers])
+            self._symbols = np.concatenate([self._symbols, self.vocabulary.symbols(numbers)])
 
     def read(self, found: list[list[bytes]]) -> Stream:
         if len(self._known) > REMEMBERED:
-            self._known.clear()
-        known = self._known
-        fresh = list({w for ws in found for w in ws if w not in known})
-        known.update(zip(fresh, hashes(fresh).tolist(), strict=True))
+            self._forget()
         sizes = np.array([len(ws) + 1 for ws in found], dtype=np.int64)
         begins = np.cumsum(sizes) - sizes
-        numbers = np.fromiter((h for ws in found for h in (*map(known.__getitem__, ws), _END_HASH)), np.int64, sizes.sum())
-        symbols = self.vocabulary.symbols(numbers)
-        same = np.zeros(len(numbers), dtype=bool)
-        same[1:] = numbers[1:] == numbers[:-1]
+        flat = chain.from_iterable(part for ws in found for part in (ws, self._END_WORD))
+        own = np.fromiter(map(self._known.__getitem__, flat), np.int64, sizes.sum())
+        self._meet()
+        symbols = self._symbols[own]
+        same = np.zeros(len(own), dtype=bool)
+        same[1:] = own[1:] == own[:-1]
         same[begins] = False
         coded = np.where(same, _SAME, symbols)
-        flat = [w for ws in found for w in (*ws, b"")]
-        spelled = [flat[i] for i in np.flatnonzero(coded == _ESCAPE).tolist()]
-        return Stream(np.repeat(np.arange(len(found)), sizes), begins, numbers, symbols, coded, spelled)
+        spelled = [self._words[i] for i in own[coded == _ESCAPE].tolist()]
+        return Stream(np.repeat(np.arange(len(found)), sizes), begins, self._hashes[own], symbols, coded, spelled)
 
 
 def _batched(found: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
@@ -548,14 +619,16 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.repartition("part", "place").sortWithinPartitions("part", "place").mapInArrow(_added, _ROWS)
 
 
-def table_counts(docs: DataFrame, vocabulary: Vocabulary, code: Code, common: np.ndarray) -> DataFrame:
-    """(part, place, counts): the tables' blocks, added up over all texts of ``docs``.
+def table_counts(
+    docs: DataFrame, vocabulary: Vocabulary, code: Code, common: np.ndarray
+) -> tuple[DataFrame, DataFrame]:
+    """(part, place, counts): the tables' blocks, added up over all texts of ``docs``; and all distinct spelled words.
 
     Letters are counted once per distinct word that is spelled, however many tasks meet it.
     """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, code, common))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value[0])
         _, own_code, own_common = shared.value
         by_word = Gathered(WORD_ORDERS, WORD_BITS)
@@ -565,8 +638,12 @@ def table_counts(docs: DataFrame, vocabulary: Vocabulary, code: Code, common: np
                 stream = reader.read(found)
                 contexts = word_contexts(stream.symbols, stream.begins, own_common)
                 for low, high in _parts(len(stream.coded)):
-                    at, node, bit = own_code.steps(stream.coded[low:high])
-                    by_word.add(own_code.scattered[node], bit, [c[low:high][at] for c in contexts])
+                    at, entry = own_code.entries(stream.coded[low:high])
+                    by_word.add(
+                        picked(own_code.scattered, entry),
+                        picked(own_code.bit, entry),
+                        [picked(c[low:high], at) for c in contexts],
+                    )
                 spelled.update(stream.spelled)
                 if len(spelled) > REMEMBERED:
                     yield from _sent(_spelled_rows(spelled))
@@ -585,14 +662,90 @@ def table_counts(docs: DataFrame, vocabulary: Vocabulary, code: Code, common: np
                     by_letter.add(node, bit, contexts)
         yield from _sent(by_letter.rows(WORD_ORDERS))
 
-    gathered = written(_summed(docs.select("text").mapInArrow(count, _ROWS)), "lm-gathered")
+    gathered = written(_summed(docs.select("text").mapInArrow(count_words, _ROWS)), "lm-gathered")
     is_spelled = F.col("part") == _SPELLED
-    letters = _summed(gathered.where(is_spelled).mapInArrow(count_letters, _ROWS))
-    return gathered.where(~is_spelled).unionByName(letters)
+    spelled = gathered.where(is_spelled)
+    letters = _summed(spelled.mapInArrow(count_letters, _ROWS))
+    return gathered.where(~is_spelled).unionByName(letters), spelled.select("place", "counts")
+
+
+# places after the point of what tasks have learned; sums of whole numbers don't depend on their order
+_POINT = 1 << 20
+_LEARNED_TOGETHER = 4_000
+_LEARNED = "mixer int, place int, total long, n long"
+
+
+def _told(number: int, mixer: Mixer) -> pa.RecordBatch:
+    values, n = mixer.state()
+    of = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(of), number, np.int32)),
+            pa.array(of.astype(np.int32)),
+            pa.array(np.rint(values[of] * _POINT).astype(np.int64) * n[of]),
+            pa.array(n[of]),
+        ],
+        names=["mixer", "place", "total", "n"],
+    )
 
 
-def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[Model, DataFrame]:
-    """The model of the training documents, and their word counts."""
+def learned_mixers(
+    training: DataFrame, tokens: int, spelled: DataFrame, types: int, vocabulary, code, common, words_pairs, letters_pairs
+) -> tuple[Mixer, Mixer]:
+    """The mixers of words and letters, learned from all texts of ``training`` and all ``spelled`` words.
+
+    Rows are dealt out and ordered by their hash, so what is learned does not depend on the layout of the input.
+    """
+    context = training.sparkSession.sparkContext
+    of_words = context.broadcast((vocabulary, code, common, words_pairs))
+    of_letters = context.broadcast(letters_pairs)
+
+    def learn_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_vocabulary, own_code, own_common, pairs = of_words.value
+        reader, mixer = Reader(own_vocabulary), Mixer.new(WORD_ORDERS + 1)
+        for batch in batches:
+            for found in _batched(texts(batch)):
+                stream = reader.read(found)
+                contexts = word_contexts(stream.symbols, stream.begins, own_common)
+                for low in range(0, len(stream.coded), _LEARNED_TOGETHER):
+                    high = low + _LEARNED_TOGETHER
+                    at, entry = own_code.entries(stream.coded[low:high])
+                    node, bit, base = (picked(x, entry) for x in (own_code.scattered, own_code.bit, own_code.base))
+                    own = [picked(c[low:high], at) for c in contexts]
+                    mixer.learn(*_left_out(base, pairs, node, bit, own, WORD_BITS), bit)
+        yield _told(0, mixer)
+
+    def learn_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, mixer = of_letters.value, Mixer.new(LETTER_ORDERS)
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for data in batch.column("counts").to_pylist():
+                some = sorted(expand(data).split(b"\n"))
+                for at in range(0, len(some), 2_000):
+                    _, node, bit, own = letter_steps(some[at : at + 2_000])
+                    mixer.learn(*_left_out(None, pairs, node, bit, own, LETTER_BITS), bit)
+        yield _told(1, mixer)
+
+    by_hash = F.xxhash64("doc_id", "text")
+    dealt = training.select("text", by_hash.alias("h")).repartition(max(1, tokens // LEARN_TOKENS), "h")
+    told = dealt.sortWithinPartitions("h").select("text").mapInArrow(learn_words, _LEARNED)
+    dealt = spelled.repartition(max(1, types // LEARN_SPELLED), "place").sortWithinPartitions("place")
+    told = told.unionByName(dealt.mapInArrow(learn_letters, _LEARNED))
+    # as many rows as the mixers have values
+    sums = told.groupBy("mixer", "place").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n"))
+    mixers = Mixer.new(WORD_ORDERS + 1), Mixer.new(LETTER_ORDERS)
+    for row in sums.collect():
+        mixers[row["mixer"]].put(row["place"], float(row["total"] / row["n"]) / _POINT, row["n"])
+    of_words.destroy()
+    of_letters.destroy()
+    return mixers
+
+
+def learn(docs: DataFrame, rows: int | None = None) -> tuple[Model, DataFrame]:
+    """The model of the training documents, and their word counts.
+
+    All documents are counted; the mixers learn from all of them too, unless the caller bounds their ``rows``.
+    """
     training = docs.where(F.coalesce(fold(F.col("doc_id"), FOLDS) != HELD_OUT, F.lit(True))).select("doc_id", "text")
     counts = written(word_counts(training), "lm-words")
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -607,35 +760,28 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[Model, DataFrame]:
     code = vocabulary.code(float(ends))
     common = np.zeros(len(numbers) + _FIRST_WORD, dtype=bool)
     common[np.argsort(-often, kind="stable")[:COMMON] + _FIRST_WORD] = True
-    base = np.clip(stretch(code.zeros, code.ones), -_CLIP, _CLIP)
     word_tables, letter_tables = Tables(WORD_ORDERS, WORD_BITS), Tables(LETTER_ORDERS, LETTER_BITS)
     # the tables have a fixed size, and so has what comes here
-    for row in table_counts(training, vocabulary, code, common).toLocalIterator():
+    blocks, spelled = table_counts(training, vocabulary, code, common)
+    for row in blocks.toLocalIterator():
         of_words = row["part"] < WORD_ORDERS
         tables, order = (word_tables, row["part"]) if of_words else (letter_tables, row["part"] - WORD_ORDERS)
         tables.take(order, row["place"], bytes(row["counts"]))
-    sample = (
-        training.orderBy(F.xxhash64(F.lit(5), "doc_id"), F.xxhash64("text")).limit(rows).select("text").collect()
+    packed_words, words_pairs = _packed(word_tables.counts), fitted(word_tables.counts)
+    packed_letters, letters_pairs = _packed(letter_tables.counts), fitted(letter_tables.counts)
+    del word_tables, letter_tables
+    if rows is not None:
+        training = training.orderBy(F.xxhash64(F.lit(5), "doc_id"), F.xxhash64("text")).limit(rows)
+    types = max(distinct - len(numbers), 0)
+    word_mixer, letter_mixer = learned_mixers(
+        training, int(total), spelled, types, vocabulary, code, common, words_pairs, letters_pairs
     )
-    word_mixer, letter_mixer = Mixer.new(WORD_ORDERS + 1), Mixer.new(LETTER_ORDERS)
-    reader = Reader(vocabulary)
-    for row in sample:
-        stream = reader.read([words(row["text"])])
-        at, node, bit = code.steps(stream.coded)
-        own = [c[at] for c in word_contexts(stream.symbols, stream.begins, common)]
-        inputs = _left_out(base[node], word_tables.counts, code.scattered[node], bit, own, WORD_BITS)
-        word_mixer.learn(*inputs, bit)
-        spelled = sorted(set(stream.spelled))
-        if spelled:
-            _, node, bit, own = letter_steps(spelled)
-            letter_mixer.learn(*_left_out(None, letter_tables.counts, node, bit, own, LETTER_BITS), bit)
     model = Model(
         vocabulary,
         code,
         common,
-        base,
-        _packed(word_tables.counts),
-        _packed(letter_tables.counts),
+        packed_words,
+        packed_letters,
         word_mixer,
         letter_mixer,
         int(total),
@@ -671,12 +817,10 @@ class Scorer:
         contexts = word_contexts(stream.symbols, stream.begins, m.common)
         per_token = np.zeros(len(stream.coded))
         for low, high in _parts(len(stream.coded)):
-            at, node, bit = m.code.steps(stream.coded[low:high])
-            own = [c[low:high][at] for c in contexts]
-            nodes = m.code.scattered[node]
-            cost = bit_costs(
-                m.word_mixer, self._word_costs, m.base[node], m.packed_words, nodes, own, bit, WORD_BITS
-            )
+            at, entry = m.code.entries(stream.coded[low:high])
+            own = [picked(c[low:high], at) for c in contexts]
+            node, bit, base = (picked(x, entry) for x in (m.code.scattered, m.code.bit, m.code.base))
+            cost = bit_costs(m.word_mixer, self._word_costs, base, m.packed_words, node, own, bit, WORD_BITS)
             per_token[low:high] = np.bincount(at, weights=cost, minlength=high - low)
         per_token[stream.coded == _ESCAPE] += self.spelling(stream.spelled)
         return stream, np.bincount(stream.document, weights=per_token, minlength=len(found))

@@ -383,6 +383,26 @@ def test_context_mixing(spark, make_docs, documents):
     assert sum(out[i].score for i in held) / size > sum(out[i].base_score for i in held) / size - 0.6  # unknown words are spelled
 
 
+def test_mixers_learn_from_every_training_document(make_docs):
+    rows = [(i, f"w{i % 7} w{i % 5} odd{i}", "en", "a", 1) for i in range(800)]
+    model, _ = context_mixing.learn(make_docs(rows))
+    reader = context_mixing.Reader(model.vocabulary)
+    training = [d[1].encode().split() for d in rows if crc32(str(d[0]).encode()) % 7 != 2]
+    stream = reader.read(training)
+    assert len(training) > 650
+    assert model.word_mixer.seen == len(model.code.steps(stream.coded)[0])
+    assert model.letter_mixer.seen == sum(8 * (len(w) + 1) for w in set(stream.spelled))
+    # another layout of the same rows gives the same mixers
+    other, _ = context_mixing.learn(make_docs(rows[::-1]).repartition(7))
+    assert (other.word_mixer.weights == model.word_mixer.weights).all()
+    assert (other.letter_mixer.refine == model.letter_mixer.refine).all()
+
+
+def test_large_pairs_are_scaled_down_together():
+    counts = np.array([[3, 4, 0, 65_535, 65_536, 3, 1 << 31, 1 << 30]], dtype=np.uint32)
+    assert context_mixing.fitted(counts).tolist() == [[3, 4, 0, 65_535, 32_768, 1, 32_768, 16_384]]
+
+
 def test_context_mixing_of_awkward_rows(make_docs, awkward):
     rows = context_mixing.scores(make_docs(awkward, True)).collect()
     assert len(rows) == len(awkward)
