@@ -21,7 +21,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm import near_copies
 from lexlake.llm.common import texts, words
 from lexlake.llm.links import components, forest
 from lexlake.session import written
@@ -107,6 +106,12 @@ def _spread(marks: np.ndarray, excess: int) -> tuple[np.ndarray, np.ndarray]:
     return row, differences[at]
 
 
+def home(words_: np.ndarray) -> np.ndarray:
+    """Names of the anchors next to 23-bit words."""
+    start, differences = offsets()[1][0]
+    return (words_ ^ differences[start[syndrome(words_)]]) >> 11
+
+
 _MASK = np.uint64((1 << _N) - 1)
 
 
@@ -163,10 +168,7 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column("print").to_numpy(zero_copy_only=False).astype(np.int64)
-        start, differences = offsets()[1][0]
-        name = []
-        for word in blocks_of(prints):
-            name.append((word ^ differences[start[syndrome(word)]]) >> 11)
+        name = [home(word) for word in blocks_of(prints)]
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in name], names=["anchor", "second"])
 
 
@@ -316,9 +318,12 @@ def representatives(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` per group of near duplicates, with the columns of ``docs``: the one with the smallest id.
 
     Rows without an id come last, then the smaller hash of the text decides; of rows that still agree one stays. Groups
-    are those of `near_copies`: five-word shingles, similarity 0.8. They are formed on ids and hashes, and on the texts of
-    candidates; whole rows are shuffled once more, to meet the decision.
+    are those of `near_copies`: five-word shingles, similarity 0.8, found by longer fingerprints in the cells of many anchor
+    sets. They are formed on ids and hashes, and on the texts of candidates; whole rows are shuffled once more, to meet the
+    decision.
     """
+    from lexlake.llm import near_copies  # which is built on this module
+
     keyed = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"))
     rows = near_copies.with_groups(keyed)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")

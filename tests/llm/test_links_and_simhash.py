@@ -1,9 +1,11 @@
 """SimHash by anchor covering and components against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
+from lexlake.llm import near_copies
 from lexlake.llm import simhash_anchors as sim
 from lexlake.llm.links import components, forest
 
@@ -155,3 +157,55 @@ def test_a_large_group_of_near_copies_leaves_one(make_docs):
     found = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(edited(rng, found, 1)), "en", "a", 1) for i in range(300)]
     assert [r.doc_id for r in sim.representatives(make_docs(rows)).collect()] == [0]
+
+
+def test_near_copies_are_found_by_anchors(make_docs, monkeypatch):
+    rng = np.random.default_rng(9)
+    found = [f"w{rng.integers(1 << 40)}" for _ in range(200)]
+    docs = make_docs([(i, " ".join(edited(rng, found, i)), "en", "a", 1) for i in range(3)])
+    assert [r.doc_id for r in sim.representatives(docs).collect()] == [0]
+    # without anchors nothing meets
+    monkeypatch.setattr(near_copies, "anchor_sets", lambda n: np.empty((0, 23), np.int64))
+    assert sorted(r.doc_id for r in sim.representatives(docs).collect()) == [0, 1, 2]
+
+
+def test_merged_links_are_one_per_node(monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 500, 3_000), rng.integers(0, 20, 3_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(a[i::7]), pa.array(b[i::7])], names=["a", "b"]) for i in range(7)]
+    want = brute_components(zip(a.tolist(), b.tolist()))
+    for links in (near_copies.LINKS, 100):
+        monkeypatch.setattr(near_copies, "LINKS", links)
+        [got] = near_copies._merged(iter(batches))
+        pairs = list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+        assert len({x for x, _ in pairs}) == len(pairs) and all(want[x] == y for x, y in pairs)
+        assert {x for x, _ in pairs} == {x for x, y in want.items() if x != y}
+
+
+def test_sketches_are_majorities_of_bits():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 300, 20_000):
+        hashes = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        mixed = hashes[:, None] ^ near_copies._SALTS.T
+        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        mixed = (mixed ^ mixed >> np.uint64(31)).astype("<u8")
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").astype(int)
+        ones = 2 * bits.sum(axis=0)
+        want = (ones > n) | ((ones == n) & (bits[0] == 1))
+        assert near_copies.sketch(hashes) == np.packbits(want, bitorder="little").tobytes()
+
+
+def test_sketches_at_a_home_meet_if_near(monkeypatch):
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 1 << 63, (40, near_copies.COMPARED), dtype=np.uint64)
+    prints = np.repeat(prints, 3, axis=0) ^ (np.uint64(1) << rng.integers(0, 64, (120, 2), dtype=np.uint64))
+    unit = np.sort(rng.integers(0, 4, 120))
+    near = near_copies.far(prints[:, None], prints[None]) <= near_copies.FAR
+    a, b = np.nonzero(near & (unit[:, None] == unit[None]))
+    want = sorted(zip(*(x.tolist() for x in forest(a, b)), strict=True))
+    for crowd in (near_copies.CROWD, 1):
+        monkeypatch.setattr(near_copies, "CROWD", crowd)
+        got = forest(*near_copies.met(unit, prints))
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == want
+    assert len(near_copies.anchor_sets(1 << 24)[0]) == 23 + 12 and len(near_copies.anchor_sets(10)[0]) == 23
