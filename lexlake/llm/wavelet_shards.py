@@ -43,7 +43,7 @@ TOGETHER, IN_CALL = 4_000_000, 4096
 PIECES = 1_500_000
 PIECE_MARK = "<|startoftext|>"
 # what is cut off behind a word of letters: it neither is a letter, digit or blank nor begins a contraction
-_BEHIND = b".,;:!?#$%&*|"
+_BEHIND = ".,;:!?#$%&*|"
 
 
 class Frames:
@@ -169,8 +169,9 @@ class WaveletMatrix:
             plane = plane.whole() if isinstance(plane, Frames) else plane
             ones = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             above = np.empty_like(values)
-            above[~ones] = values[: self.zeros[level]]
-            above[ones] = values[self.zeros[level] :] | values.dtype.type(1 << (self.bits - 1 - level))
+            values[self.zeros[level] :] |= values.dtype.type(1 << (self.bits - 1 - level))
+            np.place(above, ~ones, values[: self.zeros[level]])
+            np.place(above, ones, values[self.zeros[level] :])
             values = above
         return values.astype(np.uint32)
 
@@ -242,42 +243,42 @@ class PieceEncoder:
         return np.array(found.ids, dtype="<u4")
 
     def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        known: dict[bytes, bytes] = {}
-        cut: list[tuple[bytes, str, str]] = []
-        others: list[tuple[bytes, str]] = []
-        for piece in pieces:
-            stem = piece.rstrip(_BEHIND)
-            tail = piece[len(stem) :].decode()
-            if stem.isalpha():  # of bytes: ASCII letters only
-                cut.append((piece, stem.decode(), tail))
-                continue
-            word = stem.decode("utf-8", "replace")
+        # pieces hold no line feed, and one never belongs to a damaged letter
+        found = b"\n".join(pieces).decode("utf-8", "replace").split("\n")
+        out = [b""] * len(found)
+        cut, stems, tails, others = [], [], [], []
+        for at, text in enumerate(found):
+            word = text.rstrip(_BEHIND)
             # the library takes some letters apart first
-            if word.isalpha() and word.lower().isalpha() and unicodedata.normalize("NFC", word).isalpha():
-                cut.append((piece, word, tail))
+            if word.isalpha() and (
+                word.isascii() or (word.lower().isalpha() and unicodedata.normalize("NFC", word).isalpha())
+            ):
+                cut.append(at)
+                stems.append(word)
+                tails.append(text[len(word) :])
             else:
-                others.append((piece, piece.decode("utf-8", "replace")))
-        words: dict[str, bytes] = dict.fromkeys(word for _, word, _ in cut)
+                others.append(at)
+        words: dict[str, bytes] = dict.fromkeys(stems)
         listed = list(words)
         for at in range(0, len(listed), IN_CALL):
             some = listed[at : at + IN_CALL]
             self._share(some, words, " ".join(some), self._ends, keep=1)
-        behind = {tail: self._library(tail).tobytes() for tail in {tail for _, _, tail in cut}}
-        for piece, word, tail in cut:
-            known[piece] = words[word] + behind[tail]
+        behind = {tail: self._library(tail).tobytes() for tail in set(tails)}
+        for at, word, tail in zip(cut, stems, tails, strict=True):
+            out[at] = words[word] + behind[tail]
         mark = np.zeros(len(self._ends), dtype=bool)
         mark[self._mark] = True
-        found: dict[str, bytes] = {}
-        for at in range(0, len(others), IN_CALL):
-            some = others[at : at + IN_CALL]
-            if any("<|" in text for _, text in some):
-                for piece, text in some:
-                    known[piece] = self._library(text).tobytes()
+        for low in range(0, len(others), IN_CALL):
+            at = others[low : low + IN_CALL]
+            some = [found[i] for i in at]
+            shared: dict[str, bytes] = {}
+            if any("<|" in text for text in some):
+                shared.update((text, self._library(text).tobytes()) for text in some)
             else:
-                joined = PIECE_MARK.join([*(text for _, text in some), ""])
-                self._share([text for _, text in some], found, joined, mark, keep=0)
-                known.update((piece, found[text]) for piece, text in some)
-        return [known[p] for p in pieces]
+                self._share(some, shared, PIECE_MARK.join([*some, ""]), mark, keep=0)
+            for i, text in zip(at, some, strict=True):
+                out[i] = shared[text]
+        return out
 
     def _share(self, parts: list[str], into: dict[str, bytes], joined: str, ends: np.ndarray, keep: int) -> None:
         """Share the ids of a joined text out among its parts: each ends with a marked id, which it may keep."""
@@ -288,8 +289,9 @@ class PieceEncoder:
             into.update((part, self._library(part).tobytes()) for part in parts)
             return
         first = np.concatenate([[0], last[:-1] + 1])
-        for part, low, high in zip(parts, first.tolist(), (last + keep).tolist(), strict=True):
-            into[part] = ids[low:high].tobytes()
+        raw = ids.tobytes()
+        for part, low, high in zip(parts, (4 * first).tolist(), (4 * (last + keep)).tolist(), strict=True):
+            into[part] = raw[low:high]
 
     def encode_all(self, found: Iterable[str | None]) -> Iterator[np.ndarray]:
         held: list[list[bytes]] = []
