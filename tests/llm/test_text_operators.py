@@ -8,12 +8,13 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lexlake.llm import bpe_backtrack, context_mixing, imatch, pivotal_mixing, surrogates, wavelet_shards
+from lexlake.llm import bpe_backtrack, common, context_mixing, imatch, pivotal_mixing, surrogates, wavelet_shards
 
 VOCABULARY = str(public_tokenizers.path("word_bpe_49k.json"))
 SF = "/root/testdata/sf0.001"
@@ -398,6 +399,59 @@ def test_mixers_learn_from_every_training_document(make_docs):
     assert (other.letter_mixer.refine == model.letter_mixer.refine).all()
 
 
+def test_texts_are_taken_apart_into_words():
+    texts = [None, "", " \t ", "  Ab ab\x0bÉ ", "x\x1cy\x85z q\u00a0w", "Été ÉTÉ\r\nab", "a\0b a\0b"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([False] * 3 + [True] * 4), pa.array(range(7)), pa.array(texts)], names=["training", "doc_id", "text"]
+    )
+    made = list(context_mixing._chunked(iter([batch])))
+    assert [c.column("training").to_pylist() for c in made] == [[False], [True]]
+    assert [c.column("doc_id").to_pylist() for c in made] == [[[0, 1, 2]], [[3, 4, 5, 6]]]
+    found = []
+    for chunk in (c for b in made for c in context_mixing.read_chunks(b)):
+        ids = iter(chunk.ids.tolist())
+        found += [[chunk.words[next(ids)] for _ in range(n)] for n in chunk.sizes]
+    assert found == [common.words(t) for t in texts]
+
+
+def test_what_repeats_is_worked_out_once():
+    rng = np.random.default_rng(3)
+    code = context_mixing.Code.huffman(rng.integers(1, 90, 40).astype(float))
+    symbols, contexts = rng.integers(0, 40, 3_000), [rng.integers(0, 5, 3_000) for _ in range(3)]
+    hashed = [context_mixing.trimmed(context_mixing.scattered(c, o), context_mixing.WORD_BITS) for o, c in enumerate(contexts)]
+    by_word = context_mixing.Gathered(3, context_mixing.WORD_BITS)
+    context_mixing._count_words(by_word, code, symbols, hashed)
+    at, _, _ = code.steps(symbols)
+    assert by_word._size <= 3 * 5 * len(code.steps(np.arange(40))[0]) < 3 * len(at) / 10
+    tables = context_mixing.Tables(3, context_mixing.WORD_BITS)
+    for part, place, data in by_word.rows(0):
+        tables.take(part, place, data)
+    sizes, node, bit, _ = code.decisions(symbols)
+    for order, context in enumerate(hashed):
+        cells = context_mixing.cells(node, np.repeat(context, sizes), context_mixing.WORD_BITS)
+        assert (np.bincount(cells, minlength=tables.counts.shape[1]) == tables.counts[order]).all()
+        assert (cells & 1 == bit).all() and (bit == code.steps(symbols)[2]).all()
+    # letters: words that end alike share all decisions but the first ones
+    by_letter = context_mixing.Gathered(5, context_mixing.LETTER_BITS)
+    some = [b"%d-and-all-the-rest" % i for i in range(1_000)]
+    context_mixing._count_letters(by_letter, some)
+    decisions = sum(8 * (len(w) + 1) for w in some)
+    assert by_letter._size < 5 * decisions / 2
+    assert sum(int(context_mixing.unpacked(data)[1].sum()) for *_, data in by_letter.rows(0)) == 5 * decisions
+
+
+def test_decisions_that_occur_often_teach_as_often():
+    rng = np.random.default_rng(4)
+    x, gate, bit = rng.normal(size=(3, 60)).astype(np.float32), rng.integers(0, 16, 60), rng.integers(0, 2, 60)
+    times = rng.integers(1, 9, 60)
+    one, other = context_mixing.Mixer.new(2), context_mixing.Mixer.new(2)
+    one.learn(x, gate, bit, times)
+    again = np.repeat(np.arange(60), times)
+    other.learn(x[:, again], gate[again], bit[again])
+    assert one.seen == other.seen == times.sum() and (one.met == other.met).all()
+    assert one.weights == pytest.approx(other.weights)
+
+
 def test_large_pairs_are_scaled_down_together():
     counts = np.array([[3, 4, 0, 65_535, 65_536, 3, 1 << 31, 1 << 30]], dtype=np.uint32)
     assert context_mixing.fitted(counts).tolist() == [[3, 4, 0, 65_535, 32_768, 1, 32_768, 16_384]]
