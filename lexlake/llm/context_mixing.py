@@ -23,13 +23,13 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count, groupby, islice, repeat
+from itertools import chain, count, groupby, islice
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +53,6 @@ COMMON = 64
 # spelled words a task holds before it sends them
 REMEMBERED = 200_000
 
-_SEED = 42
 _BLOCK = 4096
 # tokens, or grams of letters, that are worked on together, so that their decisions stay in the processor's cache
 _TOGETHER = 4_000
@@ -64,12 +63,14 @@ _SLICE = 64 * 2 * _BLOCK
 _SPELLED, _SPELLED_PARTS, _SPELLED_TOGETHER = -1, 4096, 50_000
 _END, _ESCAPE, _SAME = 0, 1, 2
 _FIRST_WORD = 3
-_END_HASH = int(np.int64(np.uint64(xxhash.xxh64_intdigest(b" ", _SEED)).view(np.int64)))
 
 
 def hashes(found: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; the end of a text has the hash of a blank, which no word is."""
-    return np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(_SEED)), np.uint64, len(found)).view(np.int64)
+    return pd.util.hash_array(np.array(found, dtype=object), categorize=False).view(np.int64)
+
+
+_END_HASH = int(hashes([b" "])[0])
 
 
 # ---- chunks of documents ----
@@ -292,6 +293,7 @@ class Vocabulary:
     def __init__(self, numbers: np.ndarray, counts: np.ndarray, others: float):
         self.numbers, self.counts = numbers, counts  # sorted by hash, END not among them
         self.others = others
+        self.index = pd.Index(numbers)
 
     def code(self, ends: float) -> Code:
         total = ends + self.others + float(self.counts.sum())
@@ -300,10 +302,8 @@ class Vocabulary:
 
     def symbols(self, found: np.ndarray) -> np.ndarray:
         """Symbol of each hash: END, a word's, or ESCAPE."""
-        if not len(self.numbers):
-            return np.where(found == _END_HASH, _END, _ESCAPE)
-        at = np.minimum(np.searchsorted(self.numbers, found), len(self.numbers) - 1)
-        return np.where(found == _END_HASH, _END, np.where(self.numbers[at] == found, at + _FIRST_WORD, _ESCAPE))
+        at = self.index.get_indexer(found)
+        return np.where(found == _END_HASH, _END, np.where(at >= 0, at + _FIRST_WORD, _ESCAPE))
 
 
 def word_contexts(symbols: np.ndarray, begins: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
