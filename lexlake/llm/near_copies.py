@@ -6,8 +6,10 @@ code) and, in large tables, some further ones taken as they are. In each a sketc
 and sketches that are at home together are compared. Anchor sets are added until sketches that differ in `DIFFERENT` of
 their bits, more than the similarity asked for needs, meet with probability `MEET`; their number grows with the table.
 
-Sketches that meet within `FAR` of 128 bits are candidates, which are then compared by their whole sets. Texts of candidates
-are fetched once: documents that candidates connect meet in one task. Equal sets are one throughout, and a set is compared
+Sketches that meet within `FAR` of 128 bits and `FAR_HELD` of 256 are candidates, which are then compared by their whole sets.
+By the first alone unrelated sketches pass one time in 60,000, which in a large table is often enough to connect very many of
+its documents; by both they hardly ever do. Texts of candidates are fetched once: documents that candidates connect meet in
+one task. Equal sets are one throughout, and a set is compared
 with a group until it links, so a large group of near copies takes about one comparison for each.
 """
 
@@ -30,8 +32,10 @@ from lexlake.session import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# 64-bit words of a sketch, and those of them that are compared, in at most so many bits
+# 64-bit words of a sketch, and those of them that are compared first, in at most so many bits
 WORDS, COMPARED, FAR = 8, 2, 40
+# words that are sent along, these first, and the bits that may differ in all of them
+HELD, FAR_HELD = 4, 76
 # share of bits that may differ, how often such sketches meet, and how often they share a home in one Golay code
 MEET, DIFFERENT, SHARED_HOME = 0.995, 0.17, 0.0945
 # sketches that one anchor has, and links that a task merges, about
@@ -103,6 +107,11 @@ def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether words that are sent along, which the last axis holds, differ in so few bits that their sets may be similar."""
+    return (far(a[..., :COMPARED], b[..., :COMPARED]) <= FAR) & (far(a, b) <= FAR_HELD)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets have the similarity asked for."""
     if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
@@ -130,13 +139,16 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _compared(sketches: list[bytes]) -> np.ndarray:
-    """The words of sketches that are compared, a row each."""
-    return np.frombuffer(b"".join(sketches), "<u8").reshape(-1, WORDS)[:, :COMPARED]
+def _held(sketches: list[bytes]) -> np.ndarray:
+    """The words of sketches that are sent along, a row each."""
+    return np.frombuffer(b"".join(sketches), "<u8").reshape(-1, WORDS)[:, :HELD]
+
+
+_PRINT = [f"word{k}" for k in range(HELD)]
 
 
 def _dealt(places: np.ndarray):
-    """Rows (unit, node, first, second) for each sketch and anchor set of rows (node, sketch)."""
+    """Rows (unit, node, and words that are sent along) for each sketch and anchor set of rows (node, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,15 +157,14 @@ def _dealt(places: np.ndarray):
             for at in range(0, len(found), 2_000):
                 some = found[at : at + 2_000]
                 raw = np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1)
-                words_ = np.tile(_compared(some).view(np.int64), (len(places), 1))
+                words_ = np.tile(_held(some).view(np.int64), (len(places), 1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(units(raw, places).ravel()),
                         pa.array(np.tile(nodes[at : at + 2_000], len(places))),
-                        pa.array(words_[:, 0].copy()),
-                        pa.array(words_[:, 1].copy()),
+                        *[pa.array(words_[:, k].copy()) for k in range(HELD)],
                     ],
-                    names=["unit", "node", "first", "second"],
+                    names=["unit", "node", *_PRINT],
                 )
 
     return run
@@ -166,13 +177,13 @@ def _crowded(prints: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """
     left, right, rest = [], [], np.arange(len(prints))
     while len(rest) > 1:
-        near = far(prints[rest[0]], prints[rest]) <= FAR
+        near = close(prints[rest[0]], prints[rest])
         members, rest = rest[near], rest[~near]
         left.append(members)
         right.append(np.full(len(members), members[0]))
         step = max(1, 1_000_000 // max(len(rest), 1))
         for at in range(1, len(members), step):
-            a, b = np.nonzero(far(prints[members[at : at + step], None], prints[None, rest]) <= FAR)
+            a, b = np.nonzero(close(prints[members[at : at + step], None], prints[None, rest]))
             a, b = forest(members[at : at + step][a], rest[b])
             left.append(a)
             right.append(b)
@@ -192,14 +203,16 @@ def met(unit: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     high = np.repeat((begin + size)[some], size[some])
     own = np.flatnonzero(np.repeat(some, size))
     ends = np.cumsum(high - own - 1)
-    columns = np.ascontiguousarray(prints.T)
+    columns = np.ascontiguousarray(prints.T[:COMPARED])
     at = 0
     while at < len(own):  # a bounded number of comparisons at a time
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, "right")))
         count = (high - own - 1)[at:end]
         mine = np.repeat(own[at:end], count)
         other = np.arange(len(mine)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(own[at:end] + 1, count)
-        near = sum(np.bitwise_count(np.take(c, mine) ^ np.take(c, other)) for c in columns) <= FAR
+        near = np.flatnonzero(sum(np.bitwise_count(np.take(c, mine) ^ np.take(c, other)) for c in columns) <= FAR)
+        mine, other = mine[near], other[near]
+        near = far(prints[mine], prints[other]) <= FAR_HELD
         left.append(mine[near])
         right.append(other[near])
         at = end
@@ -207,7 +220,7 @@ def met(unit: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among rows (unit, node, first, second) sorted by unit."""
+    """Links among rows (unit, node, and words that are sent along) sorted by unit."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -217,7 +230,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
-        held.append(np.stack([batch.column(c).to_numpy() for c in ("unit", "node", "first", "second")]))
+        held.append(np.stack([batch.column(c).to_numpy() for c in ("unit", "node", *_PRINT)]))
         size += batch.num_rows
         if size >= 200_000:
             rows = np.concatenate(held, axis=1)
@@ -251,7 +264,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     cores = classes.sparkSession.sparkContext.defaultParallelism
     rows = n * len(places)
     spread = classes.repartition(max(cores, rows // 5_000_000))
-    dealt = spread.mapInArrow(_dealt(places), "unit long, node long, first long, second long")
+    dealt = spread.mapInArrow(_dealt(places), ", ".join(f"{c} long" for c in ("unit", "node", *_PRINT)))
     dealt = dealt.repartition(max(2 * cores, rows // 1_000_000), "unit").sortWithinPartitions("unit")
     links = written(dealt.mapInArrow(_met, "a long, b long"), "copies-met")
     # copies meet in many anchor sets, each time through another one; a task keeps one link per sketch of all it reads
@@ -263,7 +276,7 @@ def _linked(nodes: list[int], sets: list[np.ndarray], prints: np.ndarray) -> tup
     label = np.arange(len(nodes))
     left, right = [], []
     for at in range(1, len(nodes)):
-        near = np.flatnonzero(far(prints[at], prints[:at]) <= FAR)
+        near = np.flatnonzero(close(prints[at], prints[:at]))
         of = label[near]
         for group in np.unique(of).tolist():
             other = next((b for b in near[of == group].tolist() if similar(sets[at], sets[b])), None)
@@ -279,7 +292,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, nodes, sets, keys = None, [], [], []
 
     def told() -> pa.RecordBatch:
-        a, b = _linked(nodes, sets, _compared(keys))
+        a, b = _linked(nodes, sets, _held(keys))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:

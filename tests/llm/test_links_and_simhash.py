@@ -209,3 +209,15 @@ def test_sketches_at_a_home_meet_if_near(monkeypatch):
         got = forest(*near_copies.met(unit, prints))
         assert sorted(zip(*(x.tolist() for x in got), strict=True)) == want
     assert len(near_copies.anchor_sets(1 << 24)[0]) == 23 + 12 and len(near_copies.anchor_sets(10)[0]) == 23
+
+
+def test_unrelated_sketches_are_no_candidates():
+    """Sketches of unrelated sets that share a home often agree in most of 128 bits by chance; near ones are found."""
+    rng = np.random.default_rng(8)
+    raw = rng.integers(0, 256, (20_000, 8 * near_copies.WORDS), dtype=np.uint8)
+    raw[-1] = raw[5]
+    raw[-1, :10] ^= 4
+    rows = pa.RecordBatch.from_pydict({"node": np.arange(len(raw)), "sketch": [r.tobytes() for r in raw]})
+    dealt = pa.Table.from_batches(near_copies._dealt(near_copies.anchor_sets(len(raw)))(iter([rows]))).sort_by("unit")
+    links = pa.Table.from_batches(near_copies._met(iter(dealt.combine_chunks().to_batches())))
+    assert set(zip(*(links[c].to_pylist() for c in "ab"), strict=True)) == {(len(raw) - 1, 5)}
