@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lexlake.functions.columns import to_micros
 from lexlake.operators.incremental import max_value, newer_than
+from lexlake.session import shuffles_dropped
 from lexlake.sources.append_tables import check_location, ensure_database
 from lexlake.sources.files import (
     bucket_folder,
@@ -252,16 +253,17 @@ class KeyedTable:
 
     def _write(self, df: DataFrame, version: int, incoming: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {incoming}")
-        (
-            df.select(*self.spec.attributes, self._bucket_of().alias(BUCKET))
-            .write.format("parquet")
-            .partitionBy(BUCKET)
-            .bucketBy(self.buckets, *self.spec.bucketed_by)
-            .sortBy(*self.spec.bucketed_by)
-            .option("path", self._version_folder(version))
-            .mode("overwrite")
-            .saveAsTable(incoming)
-        )
+        with shuffles_dropped(self.spark):
+            (
+                df.select(*self.spec.attributes, self._bucket_of().alias(BUCKET))
+                .write.format("parquet")
+                .partitionBy(BUCKET)
+                .bucketBy(self.buckets, *self.spec.bucketed_by)
+                .sortBy(*self.spec.bucketed_by)
+                .option("path", self._version_folder(version))
+                .mode("overwrite")
+                .saveAsTable(incoming)
+            )
 
     def _keep_changes(self, written: DataFrame, manifest: _Manifest) -> None:
         """Put the rows of this merge into a folder of their own, and let the oldest ones go."""
