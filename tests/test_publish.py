@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pytest
 from helpers import at, frame, plan, rows, same
@@ -13,6 +14,7 @@ from lexlake.operators.publish import ARRAY_CELLS, by_id, grown_rows, pair_state
 from lexlake.operators.sheets import InvalidSheetError, read_sheet
 from lexlake.operators.worklist import contained_texts, render_worklist, unpublished
 from lexlake.plans.jobs import publish_csv, update_vocabulary, update_worklist
+from lexlake.session import written
 from lexlake.sources.append_tables import SnapshotTable
 from lexlake.sources.sheet_store import SheetStore, read_csv_sheet
 from lexlake.spec import (
@@ -288,6 +290,42 @@ def test_publishing_the_vocabulary_twice_changes_nothing(spark, folder):
     assert [r.id for r in store.read().collect()] == [1, 2]
 
 
+def test_sheets_are_stored_compressed_and_read_beside_plain_ones(spark, folder):
+    published = frame(spark, VOCABULARY_SHEET, *[sheet_row(i, f"w{i}", "wrapped\nline, \"quoted\"") for i in range(1, 400)])
+    packed = SheetStore(spark, VOCABULARY_SHEET, f"{folder}/sheet")
+    same(packed.publish(published), published)
+    plain = SheetStore(spark, VOCABULARY_SHEET, f"{folder}/sheet", compression="none")
+    same(plain.publish(published), packed.read(1))
+    size = [sum(os.path.getsize(f"{at_}/{f}") for at_, _, fs in os.walk(f"{folder}/sheet/version={v}") for f in fs) for v in (1, 2)]
+    assert 2 * size[0] < size[1]
+    table = SnapshotTable(spark, VOCABULARY_CSV, f"{folder}/packed", compression="gzip")
+    publish_csv(frame(spark, GOLDEN, TERSE, HERON), table, at("2031-03-01"))
+    assert publish_csv(frame(spark, GOLDEN, TERSE, HERON), table, at("2031-03-02")).count() == 2
+    files = [f for _, _, names in os.walk(f"{folder}/packed") for f in names if ".csv" in f and not f.startswith(".")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark, folder):
+    """Also where the query was put together long before; a setting of the caller's comes back."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in manager.getAllFiles().mkString("|").split("|") if "/shuffle_" in f}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    counts = spark.range(10_000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    before = shuffled()
+    stored = written(counts, "counts")
+    store = SheetStore(spark, WORKLIST_SHEET, f"{folder}/sheet")
+    store.publish(frame(spark, WORKLIST_SHEET, worklist_row("a"), worklist_row("b")).orderBy("text"))
+    end = time.monotonic() + 10
+    while (left := shuffled() - before) and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not left and stored.count() == 7
+    assert spark.conf.get(setting) == was
+
+
 def test_snapshots_keep_their_history_in_one_file_each(spark, folder):
     spec = TableSpec("snaps", schema(id=LONG, updatedAt=TIME), pk=("id",))
     table = SnapshotTable(spark, spec, f"{folder}/snaps", output_files=1)
@@ -391,6 +429,23 @@ def test_substring_search_against_brute_force(spark, monkeypatch, broadcast_limi
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_substrings_are_filtered_before_many_texts_meet_them(spark, monkeypatch):
+    """Texts too many to broadcast, which all begin alike: their beginnings are broadcast, and few other substrings shuffled."""
+    from lexlake.operators import worklist
+
+    texts = spark.range(3_000).selectExpr("concat('all begin so ', id) AS text")
+    cell = spark.range(3_000).selectExpr("concat('x all begin so ', id + 1500, ' y') AS cell")
+    filtered, maybe_wanted = [], worklist.maybe_wanted
+    monkeypatch.setattr(worklist, "BROADCAST_LIMIT", 10_000)
+    monkeypatch.setattr(worklist, "maybe_wanted", lambda grams, *of: filtered.append(grams.columns) or maybe_wanted(grams, *of))
+    found = contained_texts(texts, cell)
+    # places are not, but whole substrings
+    assert filtered == [["gram"]]
+    # 150 to 159 lie inside 1500 and so on, 15 to 44 and 1 to 4 as well
+    numbers = {n for n in range(3_000) if any(str(m).startswith(str(n)) for m in range(1_500, 4_500))}
+    assert {r.text for r in found.collect()} == {f"all begin so {n}" for n in numbers}
+
+
 def test_substring_search_in_a_very_long_cell(spark):
     """Two million characters in one cell, texts at its ends and over the borders of its chunks."""
     body = "".join("abcdefgh "[(i * i + i // 7) % 9] for i in range(2_000_000))
