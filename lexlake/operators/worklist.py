@@ -22,7 +22,7 @@ POSITIONS_PER_PIECE = 32
 CHUNK_LENGTH = 1024
 # bits of the filter of wanted grams: so many per gram, within these bounds. The upper one keeps its table, of a row for 64
 # bits, small enough to broadcast; with very many grams it lets most others pass, and they are shuffled as without it.
-FILTER_BITS_PER_GRAM, FILTER_BITS = 16, (1 << 16, 1 << 26)
+FILTER_BITS_PER_GRAM, FILTER_BITS = 16, (1 << 16, 1 << 24)
 
 
 def render_worklist(silver: DataFrame) -> DataFrame:
@@ -114,10 +114,10 @@ def contained_texts(texts: DataFrame, cells: DataFrame) -> DataFrame:
     with the cells' characters and not with texts x cells, even if very many texts share their beginning.
 
     Where the texts are few (their size is measured) they are broadcast and only the hits are shuffled; otherwise both sides
-    are shuffled, after a filter of bounded size has dropped nearly all grams that no text begins with.
+    are shuffled, after a filter of bounded size has dropped nearly all grams that no text begins with and nearly all
+    substrings that are no text. What texts begin with is measured by itself, as it is broadcast more often.
     """
     wanted = written(texts.select("text").where(F.col("text").isNotNull()).distinct(), "wanted-texts")
-    few = byte_size(wanted) <= BROADCAST_LIMIT
     cells = (
         cells.select("cell").where(F.col("cell").isNotNull()).distinct().withColumn("cell_id", F.xxhash64("cell"))
     )
@@ -127,31 +127,32 @@ def contained_texts(texts: DataFrame, cells: DataFrame) -> DataFrame:
     lengths = sorted(r["n"] for r in sizes)
     short = [n for n in lengths if n <= ANCHOR_LENGTH]
 
-    def small(side: DataFrame) -> DataFrame:
-        return F.broadcast(side) if few else side
+    def is_few(side: DataFrame) -> bool:
+        return byte_size(side) <= BROADCAST_LIMIT
 
-    begins = F.substr("text", F.lit(1), F.lit(ANCHOR_LENGTH)).alias("gram")
-    passed = None if few else gram_filter(wanted.select(begins), wanted.count())
+    def small(side: DataFrame, few: bool) -> DataFrame:
+        return F.broadcast(side) if few else side
 
-    def grams_of(lengths: list[int]) -> DataFrame:
-        grams = _grams(cells, lengths)
-        return grams if passed is None else maybe_wanted(grams, *passed)
+    def maybe(grams: DataFrame, texts: DataFrame, few: bool) -> DataFrame:
+        return grams if few else maybe_wanted(grams, *gram_filter(texts.select(F.col(texts.columns[0]).alias("gram")), texts.count()))
 
     found = []
     if short:
-        grams = grams_of(short).select(F.col("gram").alias("text"))
+        texts = wanted.where(size <= ANCHOR_LENGTH)
+        few = is_few(texts)
+        grams = maybe(_grams(cells, short), texts, few).select(F.col("gram").alias("text"))
         grams = grams if few else grams.distinct()
-        found.append(grams.join(small(wanted.where(size <= ANCHOR_LENGTH)), "text", "left_semi"))
+        found.append(grams.join(small(texts, few), "text", "left_semi"))
     if len(lengths) > len(short):
-        anchors = (
-            wanted.where(size > ANCHOR_LENGTH)
-            .groupBy(begins)
-            .agg(F.collect_set(size).alias("lengths"))
-        )
+        texts = wanted.where(size > ANCHOR_LENGTH)
+        few = is_few(texts)
+        begins = F.substr("text", F.lit(1), F.lit(ANCHOR_LENGTH)).alias("gram")
+        anchors = written(texts.groupBy(begins).agg(F.collect_set(size).alias("lengths")), "wanted-anchors")
+        few_anchors = is_few(anchors)
         longest = wanted.agg(F.max(size).alias("n")).first()["n"]
         reach = max(longest, CHUNK_LENGTH)
         # a place is looked at in the chunk it begins in, which reaches as far as the longest text
-        places = grams_of([ANCHOR_LENGTH]).join(small(anchors), "gram")
+        places = maybe(_grams(cells, [ANCHOR_LENGTH]), anchors, few_anchors).join(small(anchors, few_anchors), "gram")
         places = places.select(
             "cell_id",
             F.floor((F.col("position") - 1) / reach).cast("int").alias("chunk"),
@@ -162,10 +163,11 @@ def contained_texts(texts: DataFrame, cells: DataFrame) -> DataFrame:
         fitting = F.filter("lengths", lambda n: F.col("begin") + n - 1 <= F.length("chunk_text"))
         reached = _chunks(cells, reach, reach).select("cell_id", "chunk", F.col("text").alias("chunk_text"))
         whole = places.join(reached, ["cell_id", "chunk"]).select(
-            F.explode(F.transform(fitting, lambda n: F.substr("chunk_text", F.col("begin"), n))).alias("text")
+            F.explode(F.transform(fitting, lambda n: F.substr("chunk_text", F.col("begin"), n))).alias("gram")
         )
+        whole = maybe(whole, texts, few).select(F.col("gram").alias("text"))
         whole = whole if few else whole.distinct()
-        found.append(whole.join(small(wanted.where(size > ANCHOR_LENGTH)), "text", "left_semi"))
+        found.append(whole.join(small(texts, few), "text", "left_semi"))
     return reduce(DataFrame.union, found, wanted.limit(0)).distinct()
 
 
